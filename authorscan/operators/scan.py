@@ -7,7 +7,8 @@ partitions by the sampled bounds), runs the window inside each
 ``(partition, key)`` cell, and adds the carry of the earlier (or later)
 partitions of the same key. Only the first and last key of a range partition
 can span partitions, so the carry table has at most ``2 * partitions`` rows —
-a proven bound, broadcast safely.
+a proven bound, broadcast safely. The ranged rows are checkpointed (reliable
+checkpoint into ``spark.checkpoint.dir``), so ``scan`` runs one job when called.
 """
 
 from __future__ import annotations
@@ -15,11 +16,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from authorscan.session import shuffle_partitions
+from authorscan.session import cut_lineage, shuffle_partitions
 
 _FRAMES = {
     "upto": (Window.unboundedPreceding, Window.currentRow),
@@ -30,15 +30,6 @@ _FRAMES = {
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-_PERSISTED: list[DataFrame] = []
-
-
-def release() -> None:
-    """Unpersist the ranged inputs of earlier scans (call after the action)."""
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
-
-
 @dataclass(frozen=True)
 class Acc:
     """One running aggregate: ``fn`` over ``col`` of the rows in ``frame``.
@@ -73,14 +64,14 @@ def scan(df: DataFrame, keys: list[str], order: list, accs: list[Acc],
     order = [_as_col(o) for o in order]
     n = num_partitions or shuffle_partitions(df.sparkSession)
     vals = {f"_sv{i}": _as_col(a.col) for i, a in enumerate(accs)}
-    # Every branch below must see the same range bounds: the ranged rows are
-    # materialised once (a lost block is recomputed from the same shuffle
-    # dependency, whose bounds are fixed, so partition ids stay consistent).
-    ranged = (df.withColumns(vals)
-              .repartitionByRange(n, *[F.col(k) for k in keys], *order)
-              .withColumn("_pid", F.spark_partition_id())
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    _PERSISTED.append(ranged)
+    # Every branch below must see the same range bounds, so the ranged rows and
+    # their partition ids are written once to the shared checkpoint folder
+    # (spark.checkpoint.dir). This also cuts the lineage: later plans start
+    # from the stored rows, and a lost executor re-reads them instead of
+    # re-sampling the bounds.
+    ranged = cut_lineage(df.withColumns(vals)
+                         .repartitionByRange(n, *[F.col(k) for k in keys], *order)
+                         .withColumn("_pid", F.spark_partition_id()))
 
     cell = Window.partitionBy("_pid", *keys).orderBy(*order)
     local = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,9 +56,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into ``spark.checkpoint.dir`` (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a Parquet table under ``spark.checkpoint.dir`` and read it back.
+
+    One job; later plans start from the stored table (short lineage, survives
+    executor loss) and the planner sees its real size, so AQE can pick
+    broadcast joins for small stage outputs.
+    """
+    spark = df.sparkSession
+    root = checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/stage-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
