@@ -104,9 +104,10 @@ def with_cache(df: DataFrame, cache: DataFrame, scorer, text_col: str = "text",
     keyed = df.withColumn("sent_key", cache_key(text_col))
     c = cache.select("sent_key", F.col("response").alias("_cached"))
     j = keyed.join(c, "sent_key", "left")
-    hits = j.filter(F.col("_cached").isNotNull()).withColumn(out, F.col("_cached")).drop("_cached")
-    miss = scorer(j.filter(F.col("_cached").isNull()).drop("_cached"))
-    return hits.unionByName(miss.withColumn("_src", F.lit("model")).drop("_src"))
+    hits = (j.filter(F.col("_cached").isNotNull()).withColumn(out, F.col("_cached")).drop("_cached")
+            .withColumn("from_cache", F.lit(True)))
+    miss = scorer(j.filter(F.col("_cached").isNull()).drop("_cached")).withColumn("from_cache", F.lit(False))
+    return hits.unionByName(miss)
 
 
 def cache_misses(df: DataFrame, cache: DataFrame, text_col: str = "text") -> DataFrame:

@@ -151,8 +151,9 @@ def grid_pvalue(df: DataFrame, grid: DataFrame, keys=("fold",), length_col: str
     d = d.join(gsel, [*keys, "_l", "_g"], "left")
     zi = F.when(F.col("xg_next").isNull() | (F.col("xg_next") == F.col("xg")), F.col("z")).otherwise(
         (F.col("z_next") - F.col("z")) / (F.col("xg_next") - F.col("xg")) * (F.col("_x") - F.col("xg")) + F.col("z"))
-    p = F.least(F.lit(1.0), F.exp(-zi))
-    p = F.when(F.col(length_col).isNull() | F.col(x_col).isNull(), F.lit(None).cast("double")).otherwise(p)
+    # least() skips NULLs: a missing grid row must stay NULL, not become p = 1
+    p = F.when(F.col(length_col).isNull() | F.col(x_col).isNull() | zi.isNull(),
+               F.lit(None).cast("double")).otherwise(F.least(F.lit(1.0), F.exp(-zi)))
     return d.withColumn(out, p).drop("_l", "_x", "_g", "xg", "z", "xg_next", "z_next",
                                      "lmin", "lmax", "xmin", "xmax", "dx", "gmax")
 
