@@ -23,7 +23,7 @@ from authorscan.operators.folds import fold_roles
 from authorscan.operators.lm import BigramLM, fit_bigram, score_bigram
 from authorscan.operators.survival import fit_null_grid
 from authorscan.params import ACCURACY_EDIT_RATIOS, Params
-from authorscan.session import cut_lineage, read_table
+from authorscan.session import cut_lineage, read_table, spread
 from authorscan.sources.articles import (document_sentences, fixture_article_sentences,
                                          lm_training_sentences)
 
@@ -47,7 +47,7 @@ class Corpus:
         return self._memo(("t", name), lambda: read_table(self.spark, self.sf_dir, name))
 
     def sentences(self) -> DataFrame:
-        return self._memo("sentences", lambda: document_sentences(self.table("documents")))
+        return self._memo("sentences", lambda: document_sentences(spread(self.table("documents"), "doc_id")))
 
     def flat_articles(self) -> DataFrame:
         return self._memo("flat", lambda: fixture_article_sentences(self.sentences()))

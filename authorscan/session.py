@@ -69,6 +69,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-repartition ``df`` by ``keys`` when its scan yields fewer partitions
+    than the cluster can run at once (e.g. a small file written as one row
+    group). Large inputs already split into many tasks are left untouched."""
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    return df.repartition(max(2 * par, shuffle_partitions(spark)), *keys)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
