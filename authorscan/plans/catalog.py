@@ -477,7 +477,16 @@ def q_doc_precision_recall(spark, sf):
 @register("doc_stats_responses", "M5 P4", [("doc_id", "bigint"), ("n_valid", "bigint"), ("HC", "double"),
                                            ("hc_threshold", "double"), ("fisher", "double"),
                                            ("fisher_pvalue", "double"), ("minP", "double"), ("bonf", "double")],
-          None)
+          O.with_(*SQL_LM, "hs AS (SELECT * FROM sentences WHERE lang = 'en' AND doc_id % 5 <> 0)",
+                  O.score_cte("ts", "hs"),
+                  "sc AS (SELECT hs.*, ts.response, 1 AS _k FROM hs LEFT JOIN ts USING (text))",
+                  "nul AS (SELECT _k, length, response AS x FROM sc WHERE length BETWEEN 10 AND 100 "
+                  "AND response IS NOT NULL AND NOT isnan(response))",
+                  O.grid_cte("nul", "_k"),
+                  "pol AS (SELECT *, {0} AS eff_length, {1} AS comment FROM sc)".format(*O.policy_sql()),
+                  O.pvalue_cte("pv", "pol", "_k", "gg._k = j._k"),
+                  O.tests_cte("pv", "doc_id"))
+          + "\nSELECT doc_id, n_valid, HC, hc_threshold, fisher, fisher_pvalue, minP, bonf FROM tests")
 def q_doc_stats_responses(spark, sf):
     """M5: tests straight from (document, length, response) rows, null fitted on
     the LM training side: every host sentence of every document is tested."""
@@ -514,17 +523,20 @@ def _bucket_sql(col: str) -> str:
 
 SQL_HCN = [*SQL_DETECT, f"""hnull AS (SELECT 1 AS _k, {_bucket_sql('t.n_valid2')} AS length, t.HC AS x
     FROM tests_all t WHERE t.edited = 0 AND t.role = 'calibration' AND t.HC IS NOT NULL)""",
-           O.grid_cte("hnull", "_k", 57).replace("min(x) AS xmin, max(x) AS xmax, (max(x) - min(x))",
-                                                 f"{O.d(-1.0)} AS xmin, {O.d(8.0)} AS xmax, ({O.d(8.0)} - {O.d(-1.0)})")]
+           O.grid_cte("hnull", "_k", 57, p="h", fill=False, xrange=(-1.0, 8.0))]
 
 
 @register("hc_null", "A30 S15", [("length", "bigint"), ("g", "bigint"), ("xg", "double"), ("z", "double")],
-          None)
+          O.with_(*SQL_HCN) + "\nSELECT length, g, xg, z FROM hgrid")
 def q_hc_null(spark, sf):
     return _hc_null(corpus(spark, sf))
 
 
-@register("hc_pvalue", "J4", [*DOC_SPEC, ("n_valid", "bigint"), ("HC", "double"), ("HC_pvalue", "double")], None)
+@register("hc_pvalue", "J4", [*DOC_SPEC, ("n_valid", "bigint"), ("HC", "double"), ("HC_pvalue", "double")],
+          O.with_(*SQL_HCN, f"hsrc AS (SELECT {DKS}, n_valid2 AS n_valid, HC, 1 AS _k, {_bucket_sql('n_valid2')} AS eff_length, "
+                  "HC AS response FROM tests_all)",
+                  O.pvalue_cte("hp", "hsrc", "_k", "gg._k = j._k", grid="hgrid"))
+          + f"\nSELECT {DKS}, n_valid, HC, pvalue AS HC_pvalue FROM hp")
 def q_hc_pvalue(spark, sf):
     c = corpus(spark, sf)
     return D.hc_pvalue(_detect(c)["tests"], _hc_null(c), PARAMS, sizes=HCN_SIZES)
@@ -577,18 +589,22 @@ def q_binary_metrics(spark, sf):
     return E.binary_metrics(pr, "quality", "pred", ["lang"])
 
 
-SQL_ROC = [SQL_LAB, """rg AS (SELECT lang, n_chars AS threshold, sum(quality) AS pos, sum(1 - quality) AS neg
-                        FROM labelled GROUP BY lang, n_chars)""",
-           """rc AS (SELECT *, sum(pos) OVER wf AS tp, sum(neg) OVER wf AS fp,
+def roc_sql(y: str, score: str) -> list:
+    return [SQL_LAB, f"""rg AS (SELECT lang, {score} AS threshold, sum({y}) AS pos, sum(1 - {y}) AS neg
+                        FROM labelled GROUP BY lang, {score})""",
+            """rc AS (SELECT *, sum(pos) OVER wf AS tp, sum(neg) OVER wf AS fp,
                     coalesce(sum(pos) OVER wa, 0) AS tp_after, coalesce(sum(neg) OVER wa, 0) AS fp_after,
                     sum(pos) OVER (PARTITION BY lang) AS P, sum(neg) OVER (PARTITION BY lang) AS N FROM rg
              WINDOW wf AS (PARTITION BY lang ORDER BY threshold ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
                     wa AS (PARTITION BY lang ORDER BY threshold ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))""",
-           """roc AS (SELECT lang, threshold, tp, fp, CASE WHEN P > 0 THEN tp / P END AS tpr,
+            """roc AS (SELECT lang, threshold, tp, fp, CASE WHEN P > 0 THEN tp / P END AS tpr,
                       CASE WHEN N > 0 THEN fp / N END AS fpr, CASE WHEN P > 0 THEN tp_after / P END AS tpr_prev,
                       CASE WHEN N > 0 THEN fp_after / N END AS fpr_prev FROM rc)"""]
 
 
+SQL_ROC = roc_sql("quality", "n_chars")
+
+
 def _roc(spark, sf):
     c = corpus(spark, sf)
     return _memo(c, "roc_labels", lambda: E.roc_curve(_labelled(c), "quality", "n_chars", ["lang"]))
@@ -655,7 +671,13 @@ def q_threshold_acc(spark, sf):
 
 
 @register("calibrate", "A23", [("lang", "string"), ("threshold_youden", "double"), ("auc", "double"),
-                               ("threshold_fpr", "double"), ("threshold_acc", "double")], None)
+                               ("threshold_fpr", "double"), ("threshold_acc", "double")],
+          O.with_(*roc_sql("toxic", "log_chars")) + """
+SELECT yd.lang, yd.threshold_youden, au.auc, tf.threshold_fpr, ta.threshold_acc FROM
+  (SELECT lang, arg_max(threshold, row(tpr - fpr, threshold)) AS threshold_youden FROM roc GROUP BY lang) yd
+  JOIN (SELECT lang, sum((fpr - fpr_prev) * (tpr + tpr_prev) / 2) AS auc FROM roc GROUP BY lang) au USING (lang)
+  JOIN (WITH """ + _sweep_sql("toxic", "log_chars", 0.01, 0.05, "threshold_fpr") + """) tf USING (lang)
+  JOIN (WITH """ + _sweep_sql("toxic", "log_chars", 0.01, None, "threshold_acc") + """) ta USING (lang)""")
 def q_calibrate(spark, sf):
     return E.calibrate(_labelled(corpus(spark, sf)), "toxic", "log_chars", ["lang"], 0.01, 0.05)
 

@@ -7,6 +7,8 @@ Literals are cast to DOUBLE where the Spark side multiplies by a double
 
 from __future__ import annotations
 
+import re
+
 WS = (r"[ \t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
       r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
@@ -123,11 +125,16 @@ roles AS (SELECT i.topic, i.edit_ratio, i.doc_id, bt.fold, bt.block, i.row_index
                              AND CAST(floor(i.row_index * {k} / i.n_rows) AS BIGINT) = bt.block)"""
 
 
-def grid_cte(null_src: str, K: str, G: int = 43) -> str:
-    """null grid over ``null_src(K..., length, x)``; K = comma separated key list."""
+def grid_cte(null_src: str, K: str, G: int = 43, p: str = "", fill: bool = True, xrange=None) -> str:
+    """null grid over ``null_src(K..., length, x)``; K = comma separated key list;
+    CTE names get the prefix ``p``; ``xrange`` fixes the x range."""
     g1 = G - 1
-    return f"""
-st AS (SELECT {K}, min(x) AS xmin, max(x) AS xmax, (max(x) - min(x)) / {d(max(g1, 1))} AS dx FROM {null_src} GROUP BY {K}),
+    if xrange is None:
+        xs = f"min(x) AS xmin, max(x) AS xmax, (max(x) - min(x))"
+    else:
+        xs = f"{d(xrange[0])} AS xmin, {d(xrange[1])} AS xmax, ({d(xrange[1])} - {d(xrange[0])})"
+    body = f"""
+st AS (SELECT {K}, {xs} / {d(max(g1, 1))} AS dx FROM {null_src} GROUP BY {K}),
 vc AS (SELECT {K}, length, x, count(*) AS cnt FROM {null_src} GROUP BY {K}, length, x),
 nl AS (SELECT {K}, length, sum(cnt) AS n FROM vc GROUP BY {K}, length),
 valid AS (SELECT * FROM nl WHERE n > 1),
@@ -147,7 +154,9 @@ gr3 AS (SELECT {K}, length, g, xg, xmin, xmax, dx,
                     ELSE ((-ln(above / n)) - (-ln((above + cmlo) / n))) / (xhi - xlo) * (xg - xlo)
                          + (-ln((above + cmlo) / n)) END AS z FROM gr2),
 lr AS (SELECT {K}, min(length) AS lmin, max(length) AS lmax, any_value(xmin) AS xmin, any_value(xmax) AS xmax,
-              any_value(dx) AS dx FROM gr3 GROUP BY {K}),
+              any_value(dx) AS dx FROM gr3 GROUP BY {K}),"""
+    if fill:
+        body += f"""
 gcols AS (SELECT DISTINCT {K}, g, xg FROM gr3),
 dense AS (SELECT * FROM (SELECT {K}, lmin, lmax, xmin, xmax, dx, unnest(range(lmin, lmax + 1)) AS length FROM lr)
           JOIN gcols USING ({K})),
@@ -159,8 +168,16 @@ dz2 AS (SELECT *, last_value(zv IGNORE NULLS) OVER wu AS zl, last_value(lv IGNOR
                        wf AS (PARTITION BY {K}, g ORDER BY length ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 grid0 AS (SELECT {K}, length, g, xg, xmin, xmax, dx, lmin, lmax,
                  CASE WHEN ll = lh THEN zl ELSE zl + (length - ll) / (lh - ll) * (zh - zl) END AS z FROM dz2),
+"""
+    else:
+        body += f"""
+grid0 AS (SELECT gr3.*, lr.lmin, lr.lmax FROM gr3 JOIN (SELECT {K}, lmin, lmax FROM lr) lr USING ({K})),"""
+    body += f"""
 grid AS (SELECT *, lead(xg) OVER w AS xg_next, lead(z) OVER w AS z_next FROM grid0
          WINDOW w AS (PARTITION BY {K}, length ORDER BY g))"""
+    for nm in ("grid0", "grid", "gcols", "dense", "dz2", "dz", "gr3", "gr2", "gr", "scaf", "ag", "valid", "nl", "vc", "st", "lr"):
+        body = re.sub(rf"\b{nm}\b", p + nm, body) if p else body
+    return body
 
 
 def policy_sql(length: str = "length", response: str = "response", mn: int = 10, mx: int = 50,
@@ -179,11 +196,11 @@ def policy_sql(length: str = "length", response: str = "response", mn: int = 10,
     return eff, com
 
 
-def pvalue_cte(name: str, src: str, K: str, on: str) -> str:
+def pvalue_cte(name: str, src: str, K: str, on: str, grid: str = "grid") -> str:
     """``name`` = ``src`` (with eff_length, response) + pvalue from ``grid``; ``on`` joins grid keys."""
     return f"""
-{name}_b AS (SELECT b.*, nc.gmax FROM (SELECT DISTINCT {K}, lmin, lmax, xmin, xmax, dx FROM grid) b
-             JOIN (SELECT {K}, max(g) AS gmax FROM grid GROUP BY {K}) nc USING ({K})),
+{name}_b AS (SELECT b.*, nc.gmax FROM (SELECT DISTINCT {K}, lmin, lmax, xmin, xmax, dx FROM {grid}) b
+             JOIN (SELECT {K}, max(g) AS gmax FROM {grid} GROUP BY {K}) nc USING ({K})),
 {name}_j AS (SELECT s.*, b.lmin, b.lmax, b.xmin, b.xmax, b.dx, b.gmax FROM {src} s LEFT JOIN {name}_b b USING ({K})),
 {name}_j2 AS (SELECT *, least(greatest(eff_length, lmin), lmax) AS _l, least(greatest(response, xmin), xmax) AS _x
               FROM {name}_j),
@@ -191,7 +208,7 @@ def pvalue_cte(name: str, src: str, K: str, on: str) -> str:
                              ELSE 0 END AS INTEGER) AS _g FROM {name}_j2),
 {name}_z AS (SELECT j.*, CASE WHEN gg.xg_next IS NULL OR gg.xg_next = gg.xg THEN gg.z
                          ELSE (gg.z_next - gg.z) / (gg.xg_next - gg.xg) * (j._x - gg.xg) + gg.z END AS zi
-             FROM {name}_j3 j LEFT JOIN grid gg ON {on} AND gg.length = j._l AND gg.g = j._g),
+             FROM {name}_j3 j LEFT JOIN {grid} gg ON {on} AND gg.length = j._l AND gg.g = j._g),
 {name} AS (SELECT *, CASE WHEN eff_length IS NULL OR response IS NULL OR zi IS NULL THEN NULL
                           ELSE least({d(1.0)}, exp(-zi)) END AS pvalue FROM {name}_z)"""
 
