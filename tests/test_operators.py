@@ -158,7 +158,7 @@ def test_grid_matches_exact_at_grid_points(spark):
     null = spark.createDataFrame(rows, "fold int, length int, x double")
     grid = fit_null_grid(null, Params(grid_points=11), ["fold"], fill_lengths=True)
     pts = grid.select("fold", F.col("length").alias("eff_length"), F.col("xg").alias("response"),
-                      F.monotonically_increasing_id().alias("doc_id"), F.lit(0).alias("atom_no"))
+                      (F.col("length") * 1000 + F.col("g")).cast("long").alias("doc_id"), F.lit(0).alias("atom_no"))
     g = grid_pvalue(pts, grid, ["fold"])
     e = exact_pvalue(pts, null, ["fold"], id_cols=("doc_id", "atom_no"))
     j = g.select("doc_id", F.col("pvalue").alias("pg")).join(e.select("doc_id", F.col("pvalue").alias("pe")), "doc_id")
