@@ -69,7 +69,8 @@ def score_bigram(df: DataFrame, lm: BigramLM, text_col: str = "text", out: str =
     if context_col:
         last_ctx = F.slice(F.coalesce(lm_tokens(context_col), F.array().cast("array<string>")), -1, 1)
         toks = F.concat(last_ctx, toks)
-    pairs = texts.select(*key_cols, F.inline(_pairs(toks)))
+    # tokens as a column first: the generator would otherwise re-split per use
+    pairs = texts.withColumn("_t", toks).select(*key_cols, F.inline(_pairs(F.col("_t"))))
     dp = pairs.select("u", "w").distinct()
     denom = float(lm.n_tokens + lm.vocab + 1)
     p1 = (F.coalesce(F.col("c_w"), F.lit(0)) + 1.0) / F.lit(denom)

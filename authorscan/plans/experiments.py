@@ -47,10 +47,13 @@ class Corpus:
         return self._memo(("t", name), lambda: read_table(self.spark, self.sf_dir, name))
 
     def sentences(self) -> DataFrame:
-        return self._memo("sentences", lambda: document_sentences(spread(self.table("documents"), "doc_id")))
+        # stage output: the regex split is the costliest per-byte step and feeds the
+        # LM training side, the hosts and the donors; it is computed once.
+        return self._memo("sentences", lambda: cut_lineage(
+            document_sentences(spread(self.table("documents"), "doc_id"))))
 
     def flat_articles(self) -> DataFrame:
-        return self._memo("flat", lambda: fixture_article_sentences(self.sentences()))
+        return self._memo("flat", lambda: cut_lineage(fixture_article_sentences(self.sentences())))
 
     def articles(self) -> DataFrame:
         return self._memo("articles", lambda: self.flat_articles().select("topic", "doc_id").distinct())
@@ -78,31 +81,63 @@ def scored_atoms(corpus: Corpus, params: Params, ratios=(0.15,), keep_text: bool
     return cut_lineage(scored.select(*cols))
 
 
-def detect_folds(corpus: Corpus, params: Params, ratios=(0.15,)) -> dict:
+class Stages(dict):
+    """Stage outputs built on first access (a query asking for the grid does not
+    pay for p-values and tests)."""
+
+    def __init__(self, builders: dict):
+        super().__init__()
+        self._builders = builders
+
+    def __getitem__(self, key):
+        if not dict.__contains__(self, key):
+            dict.__setitem__(self, key, self._builders[key](self))
+        return dict.__getitem__(self, key)
+
+
+def detect_folds(corpus: Corpus, params: Params, ratios=(0.15,)) -> Stages:
     """Atom p-values and document tests for every (topic, ratio, fold)."""
     gkeys = ["topic", "edit_ratio"]
-    scored = scored_atoms(corpus, params, ratios)
-    arts = reduce(DataFrame.unionByName,
-                  [corpus.articles().withColumn("edit_ratio", F.lit(float(r))) for r in ratios])
-    roles = cut_lineage(fold_roles(arts, params, gkeys, ["doc_id"]).select(*gkeys, "doc_id", "fold", "role"))
     fkeys = [*gkeys, "fold"]
-    with_roles = scored.join(roles, [*gkeys, "doc_id"])
-    null = (with_roles.filter((F.col("role") == "null") & (F.col("edited") == 0))
-            .select(*fkeys, "length", F.col("response").alias("x"))
-            .filter(F.col("x").isNotNull()))
-    grid = cut_lineage(fit_null_grid(null, params, fkeys))
-    docs = with_roles.filter(F.col("role") != "null")
     dkeys = [*fkeys, "doc_id", "edited"]
-    pv = cut_lineage(sentence_pvalues(docs, grid, params, fkeys, doc_keys=dkeys))
-    tests = document_tests(pv, dkeys, params,
-                           documents=docs.select(*dkeys, "role").distinct())
-    masked = sentence_mask(pv, tests, dkeys)
-    pr = precision_recall(masked, dkeys)
-    doc_scores = (tests.join(pr, dkeys, "left").join(roles, [*fkeys, "doc_id"])
-                  .withColumn("name", F.format_string("article_%d_sentences_%s", F.col("doc_id"),
-                                                      F.when(F.col("edited") == 1, "edited").otherwise("original"))))
-    return {"scored": scored, "roles": roles, "null": null, "grid": grid, "pvalues": pv,
-            "tests": tests, "masked": masked, "doc_scores": doc_scores}
+
+    def roles(st):
+        arts = reduce(DataFrame.unionByName,
+                      [corpus.articles().withColumn("edit_ratio", F.lit(float(r))) for r in ratios])
+        return cut_lineage(fold_roles(arts, params, gkeys, ["doc_id"]).select(*gkeys, "doc_id", "fold", "role"))
+
+    def with_roles(st):
+        return st["scored"].join(st["roles"], [*gkeys, "doc_id"])
+
+    def null(st):
+        return (st["with_roles"].filter((F.col("role") == "null") & (F.col("edited") == 0))
+                .select(*fkeys, "length", F.col("response").alias("x"))
+                .filter(F.col("x").isNotNull()))
+
+    def docs(st):
+        return st["with_roles"].filter(F.col("role") != "null")
+
+    def tests(st):
+        return document_tests(st["pvalues"], dkeys, params, documents=st["docs"].select(*dkeys, "role").distinct())
+
+    def doc_scores(st):
+        pr = precision_recall(st["masked"], dkeys)
+        return (st["tests"].join(pr, dkeys, "left").join(st["roles"], [*fkeys, "doc_id"])
+                .withColumn("name", F.format_string("article_%d_sentences_%s", F.col("doc_id"),
+                                                    F.when(F.col("edited") == 1, "edited").otherwise("original"))))
+
+    return Stages({
+        "scored": lambda st: scored_atoms(corpus, params, ratios),
+        "roles": roles,
+        "with_roles": with_roles,
+        "null": null,
+        "grid": lambda st: cut_lineage(fit_null_grid(st["null"], params, fkeys)),
+        "docs": docs,
+        "pvalues": lambda st: cut_lineage(sentence_pvalues(st["docs"], st["grid"], params, fkeys, doc_keys=dkeys)),
+        "tests": tests,
+        "masked": lambda st: sentence_mask(st["pvalues"], st["tests"], dkeys),
+        "doc_scores": doc_scores,
+    })
 
 
 def _long_stats(doc_scores: DataFrame, keys) -> DataFrame:
@@ -137,7 +172,9 @@ def accuracy_run(corpus: Corpus, params: Params, ratios=ACCURACY_EDIT_RATIOS) ->
         F.avg("accuracy_optimal_acc").alias("accuracy"), F.stddev_samp("accuracy_optimal_acc").alias("accuracy_std"),
         F.avg("FPR_optimal_acc").alias("FPR"), F.stddev_samp("FPR_optimal_acc").alias("FPR_std"),
         F.avg("accuracy_005").alias("accuracy_005"), F.stddev_samp("accuracy_005").alias("accuracy_005_std"))
-    return {**d, "per_fold": per_fold, "summary": summary}
+    d["per_fold"] = per_fold
+    d["summary"] = summary
+    return d
 
 
 def power_run(corpus: Corpus, params: Params, ratios=(0.1, 0.2), sizes=(50, 100, 200)) -> dict:
