@@ -178,3 +178,21 @@ def test_fixed_length_articles(spark):
     # budget floor(30 * 0.2) = 6 edits; cut after the sentence reaching 10 atoms (may overshoot by one)
     assert len(v1) in (10, 11) and [r.atom_no for r in v1] == list(range(1, len(v1) + 1))
     assert sum(r.kind for r in v1) <= 6
+
+
+def test_parity_length_range_excludes_max(spark):
+    rows = [(0, L, float(x)) for L in (10, 11, 12) for x in range(5)]
+    null = spark.createDataFrame(rows, "fold int, length int, x double")
+    lens = lambda p: sorted(r.length for r in fit_null_grid(null, p, ["fold"], fill_lengths=False)
+                            .select("length").distinct().collect())
+    assert lens(Params(grid_points=5)) == [10, 11, 12]
+    assert lens(Params(grid_points=5, parity=True)) == [10, 11]
+
+
+def test_parity_eval_split_by_name(spark):
+    from authorscan.operators.folds import parity_eval_split
+    names = [f"article_{i}_sentences_{s}" for i in range(12) for s in ("original", "edited")]
+    df = spark.createDataFrame([("t", 0, n) for n in names], "topic string, fold int, name string")
+    out = parity_eval_split(df, Params(k_folds=4), 12)
+    test_names = sorted(r.name for r in out.filter("eval_role = 'test'").collect())
+    assert test_names == sorted(names)[:3]  # floor(12 / 4) rows by string order, not by article
