@@ -723,18 +723,163 @@ def q_power_tpr(spark, sf):
 
 # ---------------------------------------------------------------- experiments
 
+def detect_sql(ratios) -> list:
+    """Detection chain for several edit ratios (``edit_ratio`` column throughout)."""
+    atoms = [O.atoms_cte(f"atoms_{i}", r) for i, r in enumerate(ratios)]
+    union = " UNION ALL ".join(f"SELECT *, {O.d(r)} AS edit_ratio FROM atoms_{i}" for i, r in enumerate(ratios))
+    rlist = ", ".join(f"({O.d(r)})" for r in ratios)
+    return [
+        *SQL_LM, *atoms, f"atoms_all AS ({union})", O.score_cte("ts", "atoms_all"),
+        "scored AS (SELECT a.*, ts.response FROM atoms_all a LEFT JOIN ts USING (text))",
+        f"arts AS (SELECT DISTINCT f.topic, r.edit_ratio, f.doc_id FROM flat f, (VALUES {rlist}) r(edit_ratio))",
+        O.roles_cte("arts"),
+        "wr AS (SELECT s.*, r.fold, r.role FROM scored s JOIN roles r USING (topic, edit_ratio, doc_id))",
+        "nul AS (SELECT topic, edit_ratio, fold, length, response AS x FROM wr "
+        "WHERE role = 'null' AND edited = 0 AND response IS NOT NULL)",
+        O.grid_cte("nul", KS),
+        "docs AS (SELECT * FROM wr WHERE role <> 'null')",
+        "pol AS (SELECT *, {0} AS eff_length, {1} AS comment FROM docs)".format(*O.policy_sql()),
+        O.pvalue_cte("pv", "pol", KS, "gg.topic = j.topic AND gg.edit_ratio = j.edit_ratio AND gg.fold = j.fold"),
+        O.tests_cte("pv", DKS),
+        f"doclist AS (SELECT DISTINCT {DKS}, role FROM docs)",
+        f"tests_all AS (SELECT doclist.*, coalesce(t.n_valid, 0) AS n_valid2, t.* EXCLUDE ({DKS}) "
+        f"FROM doclist LEFT JOIN tests t USING ({DKS}))",
+    ]
+
+
+CK = "topic, edit_ratio, fold, statistic"
+
+
+def _sweep_keys_sql(src: str, step: float, max_fpr: float | None, name: str) -> str:
+    s = O.d(step)
+    j0 = f"floor((x.value - st.mn) / {s})"
+    b = (f"least({j0} + CASE WHEN st.mn + ({j0} + 1) * {s} <= x.value THEN 1 ELSE 0 END "
+         f"- CASE WHEN st.mn + {j0} * {s} > x.value THEN 1 ELSE 0 END, st.J - 1)")
+    cond = f" AND fpr <= {O.d(max_fpr)}" if max_fpr is not None else ""
+    return f"""
+{name}_st AS (SELECT {CK}, min(value) AS mn, max(value) AS mx,
+                     CAST(ceil((max(value) - min(value)) / {s}) AS INTEGER) AS J FROM {src} GROUP BY {CK}),
+{name}_cnt AS (SELECT {CK}, b, sum(edited) AS pos, sum(1 - edited) AS neg FROM (
+                 SELECT x.topic, x.edit_ratio, x.fold, x.statistic, x.edited, {b} AS b
+                 FROM {src} x JOIN {name}_st st USING ({CK})) GROUP BY {CK}, b),
+{name}_tot AS (SELECT {CK}, sum(pos) AS P, sum(neg) AS N FROM {name}_cnt GROUP BY {CK}),
+{name}_scaf AS (SELECT {CK}, mn, unnest(range(0, J)) AS b FROM {name}_st WHERE J > 0),
+{name}_t AS (SELECT sc.*, tt.P, tt.N, coalesce(sum(c.pos) OVER w, 0) AS TP, coalesce(sum(c.neg) OVER w, 0) AS FP
+             FROM {name}_scaf sc LEFT JOIN {name}_cnt c USING ({CK}, b) JOIN {name}_tot tt USING ({CK})
+             WINDOW w AS (PARTITION BY sc.topic, sc.edit_ratio, sc.fold, sc.statistic ORDER BY sc.b DESC
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+{name}_t2 AS (SELECT *, (TP + (N - FP)) / (P + N) AS acc, CASE WHEN N > 0 THEN FP / N END AS fpr FROM {name}_t),
+{name}_best AS (SELECT {CK}, arg_max(mn + b * {s}, row(acc, -b)) AS th FROM {name}_t2
+                WHERE acc > 0{cond} GROUP BY {CK}),
+{name} AS (SELECT st.topic, st.edit_ratio, st.fold, st.statistic, coalesce(bb.th, st.mx) AS t
+           FROM {name}_st st LEFT JOIN {name}_best bb USING ({CK}))"""
+
+
+def _metrics_sql(name: str, th: str) -> str:
+    return f"""
+{name} AS (SELECT {CK}, TP, FN, FP, TN, CASE WHEN TP + FN > 0 THEN TP / (TP + FN) END AS TPR,
+                  CASE WHEN FP + TN > 0 THEN FP / (FP + TN) END AS FPR, (TP + TN) / (TP + TN + FP + FN) AS accuracy
+           FROM (SELECT x.topic, x.edit_ratio, x.fold, x.statistic,
+                        count(*) FILTER (WHERE x.value >= h.t AND x.edited = 1) AS TP,
+                        count(*) FILTER (WHERE x.value < h.t AND x.edited = 1) AS FN,
+                        count(*) FILTER (WHERE x.value >= h.t AND x.edited = 0) AS FP,
+                        count(*) FILTER (WHERE x.value < h.t AND x.edited = 0) AS TN
+                 FROM test_l x JOIN {th} h USING ({CK}) GROUP BY x.topic, x.edit_ratio, x.fold, x.statistic))"""
+
+
+def cv_summary_sql(ratios) -> str:
+    return O.with_(*detect_sql(ratios), f"""longs AS (
+    SELECT topic, edit_ratio, fold, doc_id, edited, role, 'HC' AS statistic, CAST(HC AS DOUBLE) AS value
+    FROM tests_all WHERE HC IS NOT NULL
+    UNION ALL SELECT topic, edit_ratio, fold, doc_id, edited, role, 'minP', CAST(minP AS DOUBLE) FROM tests_all
+    WHERE minP IS NOT NULL)""",
+        "calib_l AS (SELECT * FROM longs WHERE role = 'calibration')",
+        "test_l AS (SELECT * FROM longs WHERE role = 'test')",
+        f"""crg AS (SELECT {CK}, value AS threshold, sum(edited) AS pos, sum(1 - edited) AS neg
+               FROM calib_l GROUP BY {CK}, value)""",
+        f"""crc AS (SELECT *, sum(pos) OVER wf AS tp, sum(neg) OVER wf AS fp,
+                sum(pos) OVER (PARTITION BY {CK}) AS P, sum(neg) OVER (PARTITION BY {CK}) AS N FROM crg
+                WINDOW wf AS (PARTITION BY {CK} ORDER BY threshold ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""",
+        f"""yd AS (SELECT {CK}, arg_max(threshold, row(CASE WHEN P > 0 THEN tp / P END - CASE WHEN N > 0 THEN fp / N END,
+                  threshold)) AS t FROM crc GROUP BY {CK})""",
+        _sweep_keys_sql("calib_l", 0.01, 0.05, "tf"), _sweep_keys_sql("calib_l", 0.01, None, "ta"),
+        _metrics_sql("m0", "yd"), _metrics_sql("m1", "tf"), _metrics_sql("m2", "ta"),
+        f"""pf AS (SELECT * FROM (SELECT {CK}, TPR, FPR, accuracy FROM m0)
+               FULL JOIN (SELECT {CK}, TPR AS TPR_005, FPR AS FPR_005, accuracy AS accuracy_005 FROM m1) USING ({CK})
+               FULL JOIN (SELECT {CK}, TPR AS TPR_optimal_acc, FPR AS FPR_optimal_acc,
+                                 accuracy AS accuracy_optimal_acc FROM m2) USING ({CK}))""") + """
+SELECT topic, statistic, edit_ratio, avg(accuracy_optimal_acc) AS accuracy, stddev_samp(accuracy_optimal_acc) AS accuracy_std,
+       avg(FPR_optimal_acc) AS FPR, stddev_samp(FPR_optimal_acc) AS FPR_std, avg(accuracy_005) AS accuracy_005,
+       stddev_samp(accuracy_005) AS accuracy_005_std
+FROM pf GROUP BY topic, statistic, edit_ratio"""
+
+
 @register("cv_summary", "M9 A26 F13 T13 A21 A22 A20", [
     ("topic", "string"), ("statistic", "string"), ("edit_ratio", "double"), ("accuracy", "double"),
     ("accuracy_std", "double"), ("FPR", "double"), ("FPR_std", "double"), ("accuracy_005", "double"),
-    ("accuracy_005_std", "double")], None)
+    ("accuracy_005_std", "double")], cv_summary_sql((0.05, 0.1, 0.15)))
 def q_cv_summary(spark, sf):
     return accuracy_run(corpus(spark, sf), PARAMS)["summary"]
 
 
+def power_summary_sql(ratios=(0.1, 0.2), sizes=(50, 100, 200)) -> str:
+    K = "topic, number_sentence, edit_ratio, fold"
+    DKP = f"{K}, doc_id, edited"
+    CKP = f"{K}, statistic"
+    atoms, parts = [], []
+    for i, r in enumerate(ratios):
+        for j, m in enumerate(sizes):
+            atoms.append(O.atoms_cte(f"atoms_{i}_{j}", r, m))
+            parts.append(f"SELECT *, {O.d(r)} AS edit_ratio, {m} AS number_sentence FROM atoms_{i}_{j}")
+    rlist = ", ".join(f"({O.d(r)})" for r in ratios)
+    on = " AND ".join(f"gg.{c} = j.{c}" for c in ("topic", "number_sentence", "edit_ratio", "fold"))
+    s01 = O.d(0.1)
+    j0 = f"(ceil((x.value - pst.f) / {s01}) - 1)"
+    b = (f"least({j0} + CASE WHEN pst.f + ({j0} + 1) * {s01} < x.value THEN 1 ELSE 0 END "
+         f"- CASE WHEN pst.f + {j0} * {s01} >= x.value THEN 1 ELSE 0 END, pst.J - 1)")
+    return O.with_(
+        *SQL_LM, *atoms, f"atoms_all AS ({' UNION ALL '.join(parts)})", O.score_cte("ts", "atoms_all"),
+        "scored AS (SELECT a.*, ts.response FROM atoms_all a LEFT JOIN ts USING (text))",
+        f"arts AS (SELECT DISTINCT f.topic, r.edit_ratio, f.doc_id FROM flat f, (VALUES {rlist}) r(edit_ratio))",
+        O.roles_cte("arts"),
+        "wr AS (SELECT s.*, r.fold, r.role FROM scored s JOIN roles r USING (topic, edit_ratio, doc_id))",
+        f"nul AS (SELECT {K}, length, response AS x FROM wr WHERE role = 'null' AND edited = 0 AND response IS NOT NULL)",
+        O.grid_cte("nul", K),
+        "docs AS (SELECT * FROM wr WHERE role <> 'null')",
+        "pol AS (SELECT *, {0} AS eff_length, {1} AS comment FROM docs)".format(*O.policy_sql()),
+        O.pvalue_cte("pv", "pol", K, on),
+        O.tests_cte("pv", DKP),
+        f"doclist AS (SELECT DISTINCT {DKP}, role FROM docs)",
+        f"tests_all AS (SELECT doclist.*, t.* EXCLUDE ({DKP}) FROM doclist LEFT JOIN tests t USING ({DKP}))",
+        f"""longs AS (SELECT {K}, doc_id, edited, 'HC' AS statistic, CAST(HC AS DOUBLE) AS value FROM tests_all
+                     WHERE HC IS NOT NULL
+                     UNION ALL SELECT {K}, doc_id, edited, 'minP', CAST(minP AS DOUBLE) FROM tests_all
+                     WHERE minP IS NOT NULL)""",
+        f"""pst AS (SELECT {CKP}, CAST(floor(min(value)) AS DOUBLE) AS f, count(*) AS n,
+                  CAST(ceil((CAST(ceil(max(value)) AS DOUBLE) - CAST(floor(min(value)) AS DOUBLE)) / {s01}) AS INTEGER) AS J
+                  FROM longs WHERE edited = 0 GROUP BY {CKP})""",
+        f"""pcnt AS (SELECT {CKP}, b, count(*) AS c FROM (
+                  SELECT x.topic, x.number_sentence, x.edit_ratio, x.fold, x.statistic, {b} AS b
+                  FROM longs x JOIN pst USING ({CKP}) WHERE x.edited = 0) WHERE b >= 0 GROUP BY {CKP}, b)""",
+        f"pscaf AS (SELECT {CKP}, f, n, unnest(range(0, J)) AS b FROM pst WHERE J > 0)",
+        f"""ptt AS (SELECT sc.*, coalesce(sum(c.c) OVER w, 0) AS FP FROM pscaf sc LEFT JOIN pcnt c USING ({CKP}, b)
+                 WINDOW w AS (PARTITION BY sc.topic, sc.number_sentence, sc.edit_ratio, sc.fold, sc.statistic
+                              ORDER BY sc.b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+        f"pok AS (SELECT {CKP}, min(b) AS jb, any_value(f) AS f0 FROM ptt WHERE FP / n <= {O.d(0.05)} GROUP BY {CKP})",
+        f"pth AS (SELECT pst.*, coalesce(pok.f0 + pok.jb * {s01}, {O.d(-1.0)}) AS t FROM pst LEFT JOIN pok USING ({CKP}))",
+        f"""pf AS (SELECT x.topic, x.number_sentence, x.edit_ratio, x.fold, x.statistic,
+                  avg(CASE WHEN x.value > pth.t THEN 1.0 ELSE 0.0 END) AS TPR
+                  FROM longs x JOIN pth USING ({CKP}) WHERE x.edited = 1
+                  GROUP BY x.topic, x.number_sentence, x.edit_ratio, x.fold, x.statistic)""") + """
+SELECT topic, statistic, edit_ratio, number_sentence, avg(TPR) AS accuracy_at_FPR_005,
+       stddev_samp(TPR) AS accuracy_at_FPR_005_std, avg(TPR) AS TPR_at_FPR_005, stddev_samp(TPR) AS TPR_at_FPR_005_std
+FROM pf GROUP BY topic, statistic, edit_ratio, number_sentence"""
+
+
 @register("power_summary", "M10 A27", [
     ("topic", "string"), ("statistic", "string"), ("edit_ratio", "double"), ("number_sentence", "bigint"),
     ("accuracy_at_FPR_005", "double"), ("accuracy_at_FPR_005_std", "double"), ("TPR_at_FPR_005", "double"),
-    ("TPR_at_FPR_005_std", "double")], None)
+    ("TPR_at_FPR_005_std", "double")], power_summary_sql())
 def q_power_summary(spark, sf):
     return power_run(corpus(spark, sf), PARAMS)["summary"]
 
