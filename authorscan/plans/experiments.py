@@ -118,13 +118,15 @@ def detect_folds(corpus: Corpus, params: Params, ratios=(0.15,)) -> Stages:
         return st["with_roles"].filter(F.col("role") != "null")
 
     def tests(st):
-        return document_tests(st["pvalues"], dkeys, params, documents=st["docs"].select(*dkeys, "role").distinct())
+        return cut_lineage(document_tests(st["pvalues"], dkeys, params,
+                                          documents=st["docs"].select(*dkeys, "role").distinct()))
 
     def doc_scores(st):
         pr = precision_recall(st["masked"], dkeys)
-        return (st["tests"].join(pr, dkeys, "left").join(st["roles"], [*fkeys, "doc_id"])
-                .withColumn("name", F.format_string("article_%d_sentences_%s", F.col("doc_id"),
-                                                    F.when(F.col("edited") == 1, "edited").otherwise("original"))))
+        return cut_lineage(
+            st["tests"].join(pr, dkeys, "left").join(st["roles"], [*fkeys, "doc_id"])
+            .withColumn("name", F.format_string("article_%d_sentences_%s", F.col("doc_id"),
+                                                F.when(F.col("edited") == 1, "edited").otherwise("original"))))
 
     return Stages({
         "scored": lambda st: scored_atoms(corpus, params, ratios),
