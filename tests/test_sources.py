@@ -84,3 +84,24 @@ def test_detect_stream(spark):
     q.awaitTermination(300)
     out = spark.read.parquet(os.path.join(base, "out"))
     assert out.count() > 0 and out.filter(F.col("HC").isNotNull()).count() > 0
+
+
+def test_read_articles_power_layout(spark):
+    base = tempfile.mkdtemp(prefix="authorscan-pow-")
+    art = {"title": "T", "sub_titles": [{"sub_title": "S", "sentences": [{"sentence": "a b c"}]}]}
+    for n, r in ((50, "0.1"), (100, "0.2")):
+        with open(_mk(base, "News", f"{n}_sentences", r, "News.csv"), "w") as f:
+            f.write("article_json\n" + '"' + json.dumps(art).replace('"', '""') + '"\n')
+    good, bad = A.read_articles(spark, os.path.join(base, "*", "*_sentences", "*", "*.csv"), layout="power")
+    got = sorted((r.topic, r.number_sentence, r.edit_ratio) for r in good.collect())
+    assert got == [("News", 50, 0.1), ("News", 100, 0.2)] and bad.count() == 0
+
+
+def test_pair_registry(spark):
+    from authorscan.sources.pairs import load_registered
+    df = spark.createDataFrame([("m1", "h1", "train"), ("m2", "h2", "test")],
+                               "generated_intro string, wiki_intro string, split string")
+    short = load_registered(df, "wiki-intro")
+    assert [(r.id, r.human_text, r.machine_text) for r in short.collect()] == [(0, "h1", "m1")]
+    long = load_registered(df, "wiki-intro-long")
+    assert long.count() == 2 and "id" not in long.columns
