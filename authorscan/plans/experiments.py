@@ -19,7 +19,7 @@ from authorscan.operators.corpus import article_atoms
 from authorscan.operators.detect import document_tests, precision_recall, sentence_mask, sentence_pvalues
 from authorscan.operators.evaluate import (apply_threshold, binary_metrics, null_threshold, power_tpr,
                                            roc_curve, threshold_sweep, youden_threshold)
-from authorscan.operators.folds import fold_roles
+from authorscan.operators.folds import fold_roles, parity_eval_split
 from authorscan.operators.lm import BigramLM, fit_bigram, score_bigram
 from authorscan.operators.survival import fit_null_grid
 from authorscan.params import ACCURACY_EDIT_RATIOS, Params
@@ -155,7 +155,14 @@ def accuracy_run(corpus: Corpus, params: Params, ratios=ACCURACY_EDIT_RATIOS) ->
     then mean / sample std over folds per topic x ratio x statistic (A26)."""
     d = detect_folds(corpus, params, ratios)
     fkeys = ["topic", "edit_ratio", "fold"]
-    longs = _long_stats(d["doc_scores"], fkeys).filter(F.col("value").isNotNull())
+    ds = d["doc_scores"]
+    if params.parity:
+        # Q6: the published evaluation takes the first floor(n/k) results of a fold
+        # by string order of their names as test rows (original and edited mixed)
+        sizes = corpus.articles().groupBy("topic").agg(F.count(F.lit(1)).alias("_n_articles"))
+        ds = (parity_eval_split(ds.join(sizes, "topic"), params, "_n_articles", fkeys)
+              .withColumn("role", F.col("eval_role")).drop("eval_role", "_n_articles", "row_index", "n_rows"))
+    longs = _long_stats(ds, fkeys).filter(F.col("value").isNotNull())
     ck = [*fkeys, "statistic"]
     calib = longs.filter(F.col("role") == "calibration")
     test = longs.filter(F.col("role") == "test")
