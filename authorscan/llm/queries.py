@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+from authorscan.llm.line_dedup import line_dedup
+from authorscan.llm.lm_scoring import backoff_scores
 from authorscan.llm.substring_dedup import substring_dedup
+from authorscan.llm.suffix_dedup import suffix_dedup
 from authorscan.session import read_table
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return backoff_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark, sf_dir):
     return substring_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(read_table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark, sf_dir):
+    return line_dedup(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_lm_scoring": op2_lm_scoring,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op9_line_dedup": op9_line_dedup,
 }
 ORACLES: dict[str, str] = {}
