@@ -74,7 +74,7 @@ class _Runs:
         ok = valid[s]
         self.s, self.e = s[ok], e[ok]
         self.a = low[self.s]
-        self.key = h[self.a]
+        self.key = B.mix(h[self.a])  # the least hashes are small; as keys they spread again
         self.row = np.searchsorted(self.row_starts, self.s, "right") - 1
         self.offset = self.s - self.row_starts[self.row]
 
