@@ -104,20 +104,17 @@ def firsts(sorted_values: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------- blocks
 
 
-def seal(docs: DataFrame, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
-    """(block, bytes, payload): whole rows of ``docs`` gathered up to ``block_bytes`` of text
-    (a longer text is a block of its own rows' size), as compressed Arrow, written once."""
+def gather_blocks(docs: DataFrame, block_bytes: int, emit, schema: str, text: str = "text") -> DataFrame:
+    """Whole rows of ``docs`` gathered up to ``block_bytes`` of text (a longer text is its own block):
+    ``emit(block id, table) -> dict`` makes the row of a block."""
+    out = arrow_schema(schema)
+
     def gather(it):
         part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def row():
-            t = pa.Table.from_batches(held).combine_chunks()
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(t)
-            return pa.RecordBatch.from_pydict(
-                {"block": pa.array([(part << 32) + n], pa.int64()), "bytes": pa.array([size], pa.int64()),
-                 "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+            got = emit((part << 32) + n, pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_pydict({f.name: pa.array([got[f.name]], f.type) for f in out})
 
         for rb in it:
             lens = pc.fill_null(pc.binary_length(rb.column(rb.schema.get_field_index(text))), 0)
@@ -136,7 +133,20 @@ def seal(docs: DataFrame, block_bytes: int = BLOCK_BYTES, text: str = "text") ->
         if held:
             yield row()
 
-    return store(docs.mapInArrow(gather, "block long, bytes long, payload binary"), "uncompressed")
+    return docs.mapInArrow(gather, schema)
+
+
+def seal(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, bytes, payload): blocks of ``docs`` as compressed Arrow, written once."""
+
+    def emit(block, t):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(t)
+        size = pc.sum(pc.binary_length(t.column("text"))).as_py() or 0
+        return {"block": block, "bytes": size + t.num_rows, "payload": sink.getvalue().to_pybytes()}
+
+    return store(gather_blocks(docs, block_bytes, emit, "block long, bytes long, payload binary"), "uncompressed")
 
 
 def open_block(payload: bytes) -> pa.Table:

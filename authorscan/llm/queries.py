@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from authorscan.llm.decontamination import contamination
 from authorscan.llm.line_dedup import line_dedup
 from authorscan.llm.lm_scoring import backoff_scores
+from authorscan.llm.packing import pack_documents
+from authorscan.llm.simhash import simhash_groups
 from authorscan.llm.substring_dedup import substring_dedup
 from authorscan.llm.suffix_dedup import suffix_dedup
 from authorscan.session import read_table
@@ -13,6 +16,10 @@ def op2_lm_scoring(spark, sf_dir):
     return backoff_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op4_simhash_near_dedup(spark, sf_dir):
+    return simhash_groups(read_table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
 def op5_substring_dedup(spark, sf_dir):
     return substring_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -21,14 +28,32 @@ def op6_suffix_dedup(spark, sf_dir):
     return suffix_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark, sf_dir):
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
+
+
 def op9_line_dedup(spark, sf_dir):
     return line_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark, sf_dir):
+    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(), tokens=2048)
+
+
+def tokenizer_path() -> str:
+    """A vocabulary file of the public tokenizers installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 QUERIES = {
     "op2_lm_scoring": op2_lm_scoring,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_line_dedup": op9_line_dedup,
+    "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}

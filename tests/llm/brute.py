@@ -103,3 +103,58 @@ def backoff_scores(rows, order=2, alpha=0.4):
                 back, unknown = back + 1, unknown + 1
         out.append((i, len(w), back, unknown, round(log, 6)))
     return out
+
+
+def fingerprint(text, shingle=4):
+    import xxhash
+
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0
+    s = [b" ".join(w[k:k + shingle]) for k in range(max(1, len(w) - shingle + 1))]
+    h = [xxhash.xxh64_intdigest(x, seed=42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def simhash_groups(rows, shingle=4, radius=4):
+    fps = [fingerprint(t, shingle) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= radius:
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root(k)] = min(least.get(root(k), i), i)
+    return [(i, f"{fps[k]:016x}", least.get(root(k))) for k, (i, _) in enumerate(rows)]
+
+
+def contamination(rows, items, window=10, slop=20):
+    def toks(t):
+        return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+
+    windows = defaultdict(set)
+    for i, t in items:
+        w = toks(t)
+        for k in range(max(0, len(w) - window) + 1 if w else 0):
+            windows[tuple(w[k:k + window])].add(i)
+    sizes = {len(w) for w in windows}
+    out = []
+    for i, t in rows:
+        w, hit, got = toks(t), set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if (x := tuple(w[k:k + n])) in windows:
+                    hit |= set(range(k, k + n))
+                    got |= windows[x]
+        got = sorted(str(x) for x in got if x is not None)
+        out.append((i, len(w), len(hit), len(got), hashlib.sha256(",".join(got).encode()).hexdigest(), bool(hit)))
+    return out
