@@ -142,35 +142,34 @@ def _sort(p: int, ids: list[int], datas: list[bytes], length: int, digit: int):
     del texts
     sums, inv = B.prefix_sums(buf.astype(U64) + U64(1)), B.powers(B._INV, buf.size + 1)
     base = np.cumsum(count + length - 1) - (count + length - 1)
+    order = np.lexsort((offset, doc))  # runs of a document have no start in common, so runs in order give suffixes in order
+    new = np.r_[True, (doc[order][1:] != doc[order][:-1]) | (offset[order][1:] != offset[order][:-1])][:key.size]
+    before = np.cumsum(count[order]) - count[order]
+    rank = np.empty(key.size, np.int64)
+    rank[order] = before[np.flatnonzero(new)[np.cumsum(new) - 1]] if key.size else rank
     run = np.repeat(np.arange(key.size), count)
     step = np.arange(run.size) - np.repeat(np.cumsum(count) - count, count)
-    start = base[run] + step
+    start, place = base[run] + step, rank[run] + step
     # the first digit: the anchor's bytes and its place in the window
     group = key[run] ^ B.mix((anchor[run] - step).astype(U64) + U64(1))
-    live = np.arange(run.size)
-    hit = np.zeros(run.size, bool)
-    at = 0
-    while True:
+    del run, step
+    live = np.arange(group.size)
+    hit = np.zeros(group.size, bool)
+    for at in range(0, length, digit):
+        i = start[live] + at
+        group = B.mix(group + (sums[i + min(digit, length - at)] - sums[i]) * inv[i] * U64(0xD6E8FEB86659FD93))
         order = np.argsort(group)
         group, live = group[order], live[order]
         first = B.firsts(group)
         size = np.diff(np.r_[first, group.size])
         several = np.repeat(size > 1, size)  # a suffix alone is sorted already
         group, live = group[several], live[several]
-        if at >= length or not live.size:
+        if not live.size:
             break
-        i = start[live] + at
-        j = start[live] + min(at + digit, length)
-        group = B.mix(group + (sums[j] - sums[i]) * inv[i] * U64(0xD6E8FEB86659FD93))
-        at += digit
     if live.size:
-        r = run[live]
-        d, o = doc[r], offset[r] + step[live]
-        order = np.lexsort((o, d, group))
-        group, live, d, o = group[order], live[order], d[order], o[order]
         first = B.firsts(group)
-        head = np.repeat(first, np.diff(np.r_[first, group.size]))
-        hit[live] = (d != d[head]) | (o != o[head])
+        o = place[live]
+        hit[live] = o > np.repeat(np.minimum.reduceat(o, first), np.diff(np.r_[first, group.size]))
     at = 0
     for b, h in zip(ids, heads, strict=True):
         n = int(h[3].sum())
@@ -224,7 +223,7 @@ def _per_row(x: _Runs, gone: np.ndarray):
             yield x.buf[s:s + len(text)][~g].tobytes(), n, int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1]))
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 30, digit: int = 25, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 30, digit: int = 50, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``."""
 
     def finish(t, x, gone):
@@ -238,7 +237,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 30, digit: int
                   "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", block_bytes)
 
 
-def keep_bytes(docs: DataFrame, length: int = 100, gram: int = 30, digit: int = 25, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def keep_bytes(docs: DataFrame, length: int = 100, gram: int = 30, digit: int = 50, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id and the bytes kept (binary)."""
 
     def finish(t, x, gone):
