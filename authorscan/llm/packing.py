@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from authorscan.llm import blocks as B
 
 # Unicode's White_Space property, which the tokenizer's \\s means
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-CACHE = 400_000
+CACHE = 500_000
 END_ID = 1
 GROUP = 2000
 
@@ -98,10 +99,12 @@ def vector_pack(examples: DataFrame, sizes: list[str], limits: list[int], group:
 # ------------------------------------------------------------- tokenization
 
 
-class _Ids(dict):
-    """Piece -> its ids, little-endian unsigned 32-bit."""
+class _Ids:
+    """Piece -> its ids, little-endian unsigned 32-bit, in two generations of at most about CACHE pieces: what
+    recurs moves on to the young one, the rest goes with the old one."""
 
     def __init__(self, path: str):
+        self.young, self.old = {}, {}
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -113,14 +116,18 @@ class _Ids(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(x) for x in texts]
-        if len(self) > CACHE:
-            self.clear()
-        new = list({p for c in cut for p in c if p not in self})
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = set().union(*cut).difference(young)
+        for p in new & old.keys():
+            young[p] = old[p]
+        new = list(new.difference(young))
         for i in range(0, len(new), 4096):
             some = new[i:i + 4096]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, c)) for c in cut]
+                young[p] = np.array(e.ids, "<u4").tobytes()
+        return [b"".join(map(young.__getitem__, c)) for c in cut]
 
 
 @functools.lru_cache(1)
@@ -140,7 +147,7 @@ def cut_documents(docs: DataFrame, path: str, tokens: int, end_id: int = END_ID)
     def run(it):
         for rb in it:
             texts, ids = rb.column("text"), rb.column("doc_id")
-            lens = np.cumsum([len(x) if x is not None else 0 for x in (y.as_py() for y in texts)])
+            lens = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             cuts = [0, *(np.flatnonzero(np.diff(lens // (1 << 20))) + 1).tolist(), rb.num_rows] if rb.num_rows else []
             for i, j in zip(cuts, cuts[1:], strict=False):
                 rows = []
