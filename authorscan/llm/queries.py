@@ -6,16 +6,29 @@ from authorscan.llm.decontamination import contamination
 from authorscan.llm.line_dedup import line_dedup
 from authorscan.llm.lm_scoring import backoff_scores
 from authorscan.llm.packing import pack_documents
+from authorscan.llm.quality_rules import quality_rules
+from authorscan.llm.sharding import shard_documents
 from authorscan.llm.simhash import simhash_groups
 from authorscan.llm.substring_dedup import substring_dedup
 from authorscan.llm.suffix_dedup import suffix_dedup
+from authorscan.llm.url_filters import judge_pages
 from authorscan.session import read_table
 
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op1_quality_rules(spark, sf_dir):
+    return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
 
 def op2_lm_scoring(spark, sf_dir):
     return backoff_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark, sf_dir):
+    return shard_documents(read_table(spark, sf_dir, "documents"), shards=8)
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     return simhash_groups(read_table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
@@ -28,6 +41,10 @@ def op6_suffix_dedup(spark, sf_dir):
     return suffix_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark, sf_dir):
+    return judge_pages(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_benchmark_decontamination(spark, sf_dir):
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
 
@@ -48,10 +65,13 @@ def tokenizer_path() -> str:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_sharding": op3_sharding,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_url_filters": op7_url_filters,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,

@@ -1,12 +1,57 @@
-"""A cleaning pipeline over ``documents``: each stage calls one operator of ``authorscan.llm``."""
+"""A cleaning pipeline over ``documents``: each stage calls one operator of ``authorscan.llm``.
+
+A stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns of
+``documents``; the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from authorscan.llm.blocks import store
+from authorscan.llm.decontamination import decontaminate
+from authorscan.llm.line_dedup import dedup_lines
+from authorscan.llm.packing import pack_documents
+from authorscan.llm.quality_rules import quality_filter
+from authorscan.llm.queries import tokenizer_path
+from authorscan.llm.simhash import near_dedup
 from authorscan.session import read_table
 
-STAGES = []
 
+def quality_rules(spark, docs, sf_dir):
+    """Documents that fail the rules go."""
+    return quality_filter(docs, read_table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark, docs, sf_dir):
+    """Lines that stand, or nearly stand, earlier go; ``n_chars`` follows the text."""
+    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def simhash_near_dedup(spark, docs, sf_dir):
+    """One document of each group of near copies stays."""
+    return near_dedup(docs, shingle=4, radius=4)
+
+
+def benchmark_decontamination(spark, docs, sf_dir):
+    """Documents that hold a benchmark passage go."""
+    return decontaminate(docs, read_table(spark, sf_dir, "benchmark"), window=10)
+
+
+def packing(spark, docs, sf_dir):
+    """What is left becomes training sequences."""
+    return pack_documents(docs, tokenizer_path(), tokens=2048)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("simhash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("packing", packing),
+]
+
+#: XXH64, edit distances, components and the tokenizer have no SQL form; tests/llm/test_pipeline.py holds it against brute force.
 ORACLE_SQL = None
 
 
