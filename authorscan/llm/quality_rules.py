@@ -7,6 +7,9 @@ a bucket that few trusted documents could have shown says little. A document's s
 words and pairs divided by their number, and a document is kept if it passes the counted rules and
 scores at least ``threshold``. Weights are whole numbers of 2^-20, so sums don't depend on their order.
 
+The target is fitted on the trusted documents if there are at most ``trusted_rows`` of them, else on those with the
+least hashed ids; so their ids are a broadcast of bounded size and no text is shuffled. The raw corpus is always counted whole.
+
 Only built-in functions run. The counts pre-aggregate to at most ``buckets`` rows a task; the weights are one row with an
 array of that fixed length, read by every task as a scalar subquery; scoring a document needs no shuffle.
 
@@ -26,6 +29,7 @@ BUCKETS = 1 << 16
 SCALE = 1 << 20
 SPACES = " \t\n\x0b\x0c\r"
 THRESHOLD = -0.12
+TRUSTED_ROWS = 200_000
 
 
 def let(value: Column, body) -> Column:
@@ -94,9 +98,10 @@ def bucket_counts(docs: DataFrame, buckets: int) -> DataFrame:
     return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smooth: float = 5.0) -> DataFrame:
+def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smooth: float = 5.0, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
     """One row: the array of all buckets' weights."""
-    trusted = labels.where("quality = 1").select("doc_id")
+    ids = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    trusted = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows))  # at most trusted_rows longs
     raw = bucket_counts(docs, buckets).select("bucket", F.col("n").alias("raw"), F.lit(0).cast("long").alias("target"))
     target = bucket_counts(docs.join(trusted, "doc_id", "left_semi"), buckets).select(
         "bucket", F.lit(0).cast("long").alias("raw"), F.col("n").alias("target"))
