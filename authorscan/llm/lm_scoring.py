@@ -112,7 +112,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, block_by
         log, used = _scores(g, answers, order, alpha)
         n = len(g.texts)
         words = np.bincount(g.row, minlength=n)
-        total = np.bincount(g.row, log, minlength=n)
+        total = np.bincount(g.row, log, minlength=n).astype(np.float64)
         return pa.table({
             "doc_id": t.column("doc_id"), "n_words": words.astype(np.int64),
             "n_backoff": np.bincount(g.row[used < order], minlength=n).astype(np.int64),
