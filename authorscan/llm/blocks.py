@@ -153,10 +153,10 @@ def open_block(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
-def partitions(blocks: DataFrame) -> int:
-    """Number of hash partitions: a power of two with about PART_BYTES of text for each."""
+def partitions(blocks: DataFrame, part_bytes: int = PART_BYTES) -> int:
+    """Number of hash partitions: a power of two with about ``part_bytes`` of text for each."""
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
-    return max(MIN_PARTS, 1 << max(0, (total // PART_BYTES).bit_length()))
+    return max(MIN_PARTS, 1 << max(0, (total // part_bytes).bit_length()))
 
 
 def map_blocks(blocks: DataFrame, fn, schema: str) -> DataFrame:

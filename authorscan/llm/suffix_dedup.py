@@ -30,6 +30,7 @@ U64 = np.uint64
 LOW = U64(24)
 PLACE = U64((1 << 31) - 1)  # a block has fewer bytes
 BLOCK_BYTES = 2 << 20
+PART_BYTES = 4 << 20  # a byte can start a window, so a partition has more of them than one of words
 
 
 class _Runs:
@@ -181,7 +182,7 @@ def _sort(p: int, ids: list[int], datas: list[bytes], length: int, digit: int):
 def _judge(docs: DataFrame, length: int, gram: int, digit: int, finish, schema, block_bytes: int) -> DataFrame:
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     sealed = B.seal(docs, block_bytes)
-    parts = B.partitions(sealed)
+    parts = B.partitions(sealed, PART_BYTES)
     digits = B.map_blocks(sealed, lambda b, t: _probe(_Runs(t, length, gram), b, parts), B.PACKED)
     known = B.store(B.reduce_parts(digits, _repeated), "uncompressed")
 
