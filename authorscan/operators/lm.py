@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from authorscan.operators.scan import null_safe_join
 from authorscan.functions.text import cache_key, lm_tokens
 from authorscan.session import cut_lineage
 
@@ -83,7 +84,7 @@ def score_bigram(df: DataFrame, lm: BigramLM, text_col: str = "text", out: str =
             .groupBy(*key_cols).agg(F.avg("nll").alias(out)))
     if decimals is not None:
         resp = resp.withColumn(out, F.round(out, decimals))
-    return df.join(resp, key_cols, "left")
+    return null_safe_join(df, resp, key_cols, "left")  # a NULL context is a context of its own
 
 
 def ngram_counts(lm: BigramLM) -> DataFrame:
@@ -145,4 +146,4 @@ def score_with(df: DataFrame, make_scorer, text_col: str = "text", out: str = "r
                 res[out] = pd.Series(vals, index=part.index, dtype="float64")
                 yield res
 
-    return df.join(texts.mapInPandas(run, schema), key_cols, "left")
+    return null_safe_join(df, texts.mapInPandas(run, schema), key_cols, "left")

@@ -3,7 +3,6 @@ and the checkpoint folder used to cut lineage."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -44,10 +43,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names shared storage and is always read from the
-    session. Only when it is unset (local tests) a private folder is created.
+    session. Only a local master, as in tests, gets a private folder where it is
+    unset; executors of a cluster would not see one another's, so there it raises.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="authorscan-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -82,10 +84,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

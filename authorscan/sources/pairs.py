@@ -45,7 +45,9 @@ def load_pairs(df: DataFrame, machine_field: str, human_field: str, text_field:
 def load_registered(df: DataFrame, name: str, split_col: str = "split") -> DataFrame:
     """A registered dataset; the "long" variants keep every split."""
     machine, human, split = PAIR_REGISTRY[name]
-    src = df.filter(F.col(split_col) == split) if split and split_col in df.columns else df
+    if split and split_col not in df.columns:
+        raise ValueError(f"{name} is registered for split {split!r}, but the data has no column {split_col!r}")
+    src = df.filter(F.col(split_col) == split) if split else df
     if split is None:  # long loaders: no id added, all splits kept
         return src.withColumnsRenamed({human: "human_text", machine: "machine_text"})
     return load_pairs(src, machine, human)

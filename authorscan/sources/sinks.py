@@ -22,5 +22,7 @@ def write_doc_scores(doc_scores: DataFrame, path: str) -> None:
 
 
 def write_hc_null(hc_null: DataFrame, path: str) -> None:
-    """HC null table with ``gamma`` / ``variant`` as columns (filter on read)."""
-    hc_null.write.mode("append").partitionBy("variant", "gamma").parquet(path)
+    """HC null table with ``gamma`` / ``variant`` as columns (filter on read).
+    A second run replaces the (variant, gamma) partitions it writes and leaves the others."""
+    (hc_null.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("variant", "gamma").parquet(path))

@@ -105,3 +105,33 @@ def test_pair_registry(spark):
     assert [(r.id, r.human_text, r.machine_text) for r in short.collect()] == [(0, "h1", "m1")]
     long = load_registered(df, "wiki-intro-long")
     assert long.count() == 2 and "id" not in long.columns
+
+
+def test_null_context_keeps_its_score(spark):
+    from authorscan.operators.lm import fit_bigram, score_bigram
+
+    rows = spark.createDataFrame([(1, "the cat sat", None), (2, "the dog sat", "a b"), (3, "the cat ran", None)],
+                                 "id int, text string, context string")
+    lm = fit_bigram(rows.select("text"))
+    got = score_bigram(rows, lm, context_col="context").collect()
+    assert len(got) == 3 and all(r.response is not None for r in got)
+
+
+def test_hc_null_written_twice_is_read_once(spark, tmp_path):
+    from authorscan.sources.sinks import write_hc_null
+
+    df = spark.createDataFrame([("a", 0.4, 1), ("a", 0.4, 2), ("b", 0.2, 3)], "variant string, gamma double, n int")
+    for _ in range(2):
+        write_hc_null(df, str(tmp_path / "hc"))
+    write_hc_null(df.where("variant = 'b'"), str(tmp_path / "hc"))
+    assert spark.read.parquet(str(tmp_path / "hc")).count() == 3
+
+
+def test_registered_pairs_need_their_split(spark):
+    import pytest
+
+    from authorscan.sources.pairs import PAIR_REGISTRY, load_registered
+
+    name, (machine, human, _) = next((k, v) for k, v in PAIR_REGISTRY.items() if v[2])
+    with pytest.raises(ValueError):
+        load_registered(spark.createDataFrame([("m", "h")], [machine, human]), name)
