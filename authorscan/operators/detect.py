@@ -182,13 +182,16 @@ def hc_null_table(doc_scores: DataFrame, params: Params, keys=(), sizes=None) ->
             .withColumn("variant", F.lit(params.hc_variant)))
 
 
-def hc_pvalue(doc_scores: DataFrame, hc_null: DataFrame, params: Params, keys=(), sizes=None) -> DataFrame:
-    """HC p-value from (n valid, HC) via the bucket row of the HC null table."""
-    sizes = sizes or params.hc_null_sizes
-    d = doc_scores.withColumn("_bucket", nearest_bucket("n_valid", sizes))
+def hc_pvalue(doc_scores: DataFrame, hc_null: DataFrame, keys=()) -> DataFrame:
+    """HC p-value from (n valid, HC) via the nearest bucket (ties -> smaller) that the
+    HC null table has for the document's key; NULL if it has none for it."""
     tbl = hc_null.drop("gamma", "variant")
+    d = doc_scores
     if not keys:
         d = d.withColumn("_k", F.lit(1))
         keys = ("_k",)
+    present = tbl.groupBy(*keys).agg(F.collect_set("length").alias("_present"))  # at most one value per bucket size
+    near = F.array_min(F.transform("_present", lambda s: F.struct(F.abs(s - F.col("n_valid")).alias("d"), s.alias("s"))))
+    d = d.join(present, list(keys), "left").withColumn("_bucket", near["s"])
     out = grid_pvalue(d, tbl, keys, "_bucket", "HC", "HC_pvalue")
-    return out.drop("_bucket", "_k")
+    return out.drop("_bucket", "_present", "_k")

@@ -35,12 +35,15 @@ def binary_metrics(df: DataFrame, y: str, yhat: str, keys=(), fpr_zero_if_no_neg
 
 def roc_curve(df: DataFrame, y: str, score: str, keys=()) -> DataFrame:
     """One row per distinct score (threshold), with TPR / FPR of ``score >= threshold``
-    and of the next larger threshold (``tpr_prev``, ``fpr_prev``; 0 at the top)."""
+    and of the next larger threshold (``tpr_prev``, ``fpr_prev``; 0 at the top).
+
+    Every key of ``df``, also one without a score, has the origin as well: threshold
+    infinity, which predicts none, with rates 0."""
     ks = list(keys) or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(1))
     yy = F.col(y).cast("long")
     g = (src.filter(F.col(score).isNotNull())
-         .groupBy(*ks, F.col(score).alias("threshold"))
+         .groupBy(*ks, F.col(score).cast("double").alias("threshold"))
          .agg(F.sum(yy).alias("pos"), F.sum(1 - yy).alias("neg")))
     s = scan(g, ks, ["threshold"], [Acc("tp", "sum", "pos", "from"), Acc("fp", "sum", "neg", "from"),
                                     Acc("tp_after", "sum", "pos", "after"), Acc("fp_after", "sum", "neg", "after"),
@@ -53,6 +56,11 @@ def roc_curve(df: DataFrame, y: str, score: str, keys=()) -> DataFrame:
                    F.try_divide(F.col("fp").cast("double"), N).alias("fpr"),
                    F.try_divide(z("tp_after").cast("double"), P).alias("tpr_prev"),
                    F.try_divide(z("fp_after").cast("double"), N).alias("fpr_prev"))
+    zero, none = F.lit(0.0), F.lit(0).cast("long")
+    origin = src.select(*ks).distinct().select(
+        *ks, F.lit(float("inf")).alias("threshold"), none.alias("tp"), none.alias("fp"),
+        *[zero.alias(c) for c in ("tpr", "fpr", "tpr_prev", "fpr_prev")])
+    out = out.unionByName(origin)
     return out if keys else out.drop("_all")
 
 
@@ -64,14 +72,15 @@ def auc(roc: DataFrame, keys=()) -> DataFrame:
 
 
 def youden_threshold(roc: DataFrame, keys=()) -> DataFrame:
-    """First maximum of TPR - FPR in descending threshold order."""
+    """First maximum of TPR - FPR in descending threshold order, from the origin on
+    (infinity, if no threshold does better than predicting none; also with one class only)."""
     ks = list(keys)
-    best = F.max_by("threshold", F.struct(F.col("tpr") - F.col("fpr"), F.col("threshold")))
+    best = F.max_by("threshold", F.struct(F.coalesce(F.col("tpr") - F.col("fpr"), F.lit(0.0)), F.col("threshold")))
     return (roc.groupBy(*ks) if ks else roc.groupBy()).agg(best.alias("threshold_youden"))
 
 
 def fpr_cut_threshold(roc: DataFrame, max_fpr: float = 0.05, keys=()) -> DataFrame:
-    """Last ROC threshold (descending order) whose FPR <= max_fpr."""
+    """Last ROC threshold (descending order) whose FPR <= max_fpr; the origin always qualifies."""
     ks = list(keys)
     r = roc.filter(F.col("fpr") <= max_fpr)
     return (r.groupBy(*ks) if ks else r.groupBy()).agg(F.min("threshold").alias("threshold_fpr_cut"))

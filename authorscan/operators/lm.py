@@ -12,6 +12,7 @@ context) have no response.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import pandas as pd
@@ -55,23 +56,35 @@ def fit_bigram(train: DataFrame, text_col: str = "text") -> BigramLM:
     return BigramLM(uni, big, pre, int(row["n"] or 0), int(row["v"] or 0))
 
 
+def _text_id(text_col: str, context_col: str | None):
+    """128-bit id of a text (and its context); NULL for a NULL text."""
+    digest = F.md5(text_col)
+    if context_col:
+        digest = F.md5(F.concat(digest, F.coalesce(F.md5(context_col), F.lit(""))))
+    return F.unhex(digest)
+
+
 def score_bigram(df: DataFrame, lm: BigramLM, text_col: str = "text", out: str = "response",
                  context_col: str | None = None, decimals: int | None = 9) -> DataFrame:
     """M1 (apply) + M3: add the bigram response of every row's text.
 
-    Distinct texts are scored once (memoised like the reference's cache); distinct
-    token pairs are looked up once, so a frequent pair ("of the") is one join row,
-    not millions. With a context, its last token is the predecessor of the first
-    text token (conditioned on, not scored).
+    Distinct texts are scored once (memoised like a score cache). A text travels
+    with its token pairs as a 16-byte id, never as itself, and its equal pairs are
+    counted before the shuffle; distinct pairs are looked up in the model once.
+    With a context, its last token is the predecessor of the first text token
+    (conditioned on, not scored); a NULL context is a context of its own. A NULL
+    text, or one without a pair, has no response.
     """
     key_cols = [text_col] + ([context_col] if context_col else [])
-    texts = df.select(*key_cols).distinct()
+    ided = df.withColumn("_tid", _text_id(text_col, context_col))
+    texts = ided.select("_tid", *key_cols).distinct()
     toks = lm_tokens(text_col)
     if context_col:
         last_ctx = F.slice(F.coalesce(lm_tokens(context_col), F.array().cast("array<string>")), -1, 1)
         toks = F.concat(last_ctx, toks)
     # tokens as a column first: the generator would otherwise re-split per use
-    pairs = texts.withColumn("_t", toks).select(*key_cols, F.inline(_pairs(F.col("_t"))))
+    pairs = (texts.withColumn("_t", toks).select("_tid", F.inline(_pairs(F.col("_t"))))
+             .groupBy("_tid", "u", "w").agg(F.count(F.lit(1)).alias("_m")))
     dp = pairs.select("u", "w").distinct()
     denom = float(lm.n_tokens + lm.vocab + 1)
     p1 = (F.coalesce(F.col("c_w"), F.lit(0)) + 1.0) / F.lit(denom)
@@ -81,10 +94,10 @@ def score_bigram(df: DataFrame, lm: BigramLM, text_col: str = "text", out: str =
                     .select("u", "w", (-F.log((F.coalesce("c_uw", F.lit(0)) + F.lit(BETA) * p1)
                                               / (F.coalesce("c_u", F.lit(0)) + F.lit(BETA)))).alias("nll")))
     resp = (pairs.join(scored_pairs, ["u", "w"])
-            .groupBy(*key_cols).agg(F.avg("nll").alias(out)))
+            .groupBy("_tid").agg((F.sum(F.col("_m") * F.col("nll")) / F.sum("_m")).alias(out)))
     if decimals is not None:
         resp = resp.withColumn(out, F.round(out, decimals))
-    return null_safe_join(df, resp, key_cols, "left")  # a NULL context is a context of its own
+    return ided.join(resp, "_tid", "left").drop("_tid")
 
 
 def ngram_counts(lm: BigramLM) -> DataFrame:
@@ -104,7 +117,8 @@ def with_cache(df: DataFrame, cache: DataFrame, scorer, text_col: str = "text",
     ``cache``: ``sent_key, response``. ``scorer``: DataFrame -> DataFrame adding ``out``.
     """
     keyed = df.withColumn("sent_key", cache_key(text_col))
-    c = cache.select("sent_key", F.col("response").alias("_cached"))
+    # one row per key whatever the cache holds; the aggregation shares the join's partitioning
+    c = cache.groupBy("sent_key").agg(F.min("response").alias("_cached"))
     j = keyed.join(c, "sent_key", "left")
     hits = (j.filter(F.col("_cached").isNotNull()).withColumn(out, F.col("_cached")).drop("_cached")
             .withColumn("from_cache", F.lit(True)))
@@ -130,7 +144,7 @@ def score_with(df: DataFrame, make_scorer, text_col: str = "text", out: str = "r
     """
     key_cols = [text_col] + ([context_col] if context_col else [])
     texts = df.select(*key_cols).distinct()
-    factory_id = id(make_scorer)
+    factory_id = uuid.uuid4().hex  # a worker may be reused by a later call with another model
     schema = T.StructType([*[texts.schema[c] for c in key_cols], T.StructField(out, T.DoubleType())])
 
     def run(batches):

@@ -165,7 +165,8 @@ def exact_pvalue(df: DataFrame, null: DataFrame, keys=("fold",), length_col: str
     As-of lookup without a theta join: null value counts and the scored rows are
     stacked and scanned in x order per (key, length): the largest null value <= x,
     the smallest > x and the suffix count give S at both ends; z is linear in x
-    between them (0 below the smallest null value, ln n above the largest).
+    between them (0 below the smallest null value, ln n above the largest). A
+    length without null rows has no p-value (NULL).
     """
     keys = list(keys)
     vc = null.groupBy(*keys, "length", "x").agg(F.count(F.lit(1)).alias("cnt"))
@@ -189,9 +190,11 @@ def exact_pvalue(df: DataFrame, null: DataFrame, keys=("fold",), length_col: str
     above = F.coalesce("above", F.lit(0))
     zlo = -F.log((above + F.col("cmlo")) / n)
     zhi = -F.log(above / n)
-    z = (F.when(F.col("xlo").isNull(), F.lit(0.0))
+    z = (F.when(n == 0, F.lit(None).cast("double"))
+         .when(F.col("xlo").isNull(), F.lit(0.0))
          .when(F.col("xhi").isNull(), F.log(n.cast("double")))
          .otherwise((zhi - zlo) / (F.col("xhi") - F.col("xlo")) * (F.col("x") - F.col("xlo")) + zlo))
+    # least() skips NULLs: no null rows must stay NULL, not become p = 1
     res = s.select(*keys, *[F.col(f"_id.{c}").alias(c) for c in id_cols],
-                   F.least(F.lit(1.0), F.exp(-z)).alias(out))
+                   F.when(z.isNotNull(), F.least(F.lit(1.0), F.exp(-z))).alias(out))
     return df.join(res, [*keys, *id_cols], "left")

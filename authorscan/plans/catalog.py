@@ -368,11 +368,11 @@ ev AS (SELECT d.*,
        FROM pol d WHERE d.eff_length IS NOT NULL AND d.response IS NOT NULL),
 ev2 AS (SELECT ev.*, (SELECT count(*) FROM nul n WHERE n.topic = ev.topic AND n.fold = ev.fold
                        AND n.length = ev.eff_length AND n.x = ev.xlo) AS cmlo FROM ev),
-ez AS (SELECT *, CASE WHEN xlo IS NULL THEN {O.d(0)} WHEN xhi IS NULL THEN ln(CAST(nn AS DOUBLE))
+ez AS (SELECT *, CASE WHEN nn = 0 THEN NULL WHEN xlo IS NULL THEN {O.d(0)} WHEN xhi IS NULL THEN ln(CAST(nn AS DOUBLE))
                       ELSE ((-ln(above / nn)) - (-ln((above + cmlo) / nn))) / (xhi - xlo) * (response - xlo)
                            + (-ln((above + cmlo) / nn)) END AS zz FROM ev2)
 SELECT p.topic, p.edit_ratio, p.fold, p.doc_id, p.edited, p.atom_no, p.eff_length, p.comment,
-       least({O.d(1.0)}, exp(-ez.zz)) AS pvalue
+       CASE WHEN ez.zz IS NOT NULL THEN least({O.d(1.0)}, exp(-ez.zz)) END AS pvalue
 FROM pol p LEFT JOIN ez USING (topic, edit_ratio, fold, doc_id, edited, atom_no)""")
 def q_exact_pvalue(spark, sf):
     d = _detect(corpus(spark, sf))
@@ -479,8 +479,8 @@ def q_doc_precision_recall(spark, sf):
                                            ("fisher_pvalue", "double"), ("minP", "double"), ("bonf", "double")],
           O.with_(*SQL_LM, "hs AS (SELECT * FROM sentences WHERE lang = 'en' AND doc_id % 5 <> 0)",
                   O.score_cte("ts", "hs"),
-                  "sc AS (SELECT hs.*, ts.response, 1 AS _k FROM hs LEFT JOIN ts USING (text))",
-                  "nul AS (SELECT _k, length, response AS x FROM sc WHERE length BETWEEN 10 AND 100 "
+                  "sc AS (SELECT hs.*, ts.response, doc_id % 2 AS _k FROM hs LEFT JOIN ts USING (text))",
+                  "nul AS (SELECT 1 - _k AS _k, length, response AS x FROM sc WHERE length BETWEEN 10 AND 100 "
                   "AND response IS NOT NULL AND NOT isnan(response))",
                   O.grid_cte("nul", "_k"),
                   "pol AS (SELECT *, {0} AS eff_length, {1} AS comment FROM sc)".format(*O.policy_sql()),
@@ -488,13 +488,14 @@ def q_doc_precision_recall(spark, sf):
                   O.tests_cte("pv", "doc_id"))
           + "\nSELECT doc_id, n_valid, HC, hc_threshold, fisher, fisher_pvalue, minP, bonf FROM tests")
 def q_doc_stats_responses(spark, sf):
-    """M5: tests straight from (document, length, response) rows, null fitted on
-    the LM training side: every host sentence of every document is tested."""
+    """M5: tests straight from (document, length, response) rows. Cross-fitted: the null
+    of an even document comes from the odd ones and the other way round, so every
+    host sentence of every document is tested, and none against itself."""
     c = corpus(spark, sf)
     sents = c.sentences()
     host = sents.filter((F.col("lang") == "en") & (F.col("doc_id") % 5 != 0)).select("doc_id", "pos", "text", "length")
-    sc = L.score_bigram(host, c.lm()).withColumn("_k", F.lit(1))
-    null = S.null_sample(sc.filter(F.col("length").between(10, 100)), ["_k"])
+    sc = L.score_bigram(host, c.lm()).withColumn("_k", F.col("doc_id") % 2)
+    null = S.null_sample(sc.filter(F.col("length").between(10, 100)).withColumn("_k", 1 - F.col("_k")), ["_k"])
     grid = S.fit_null_grid(null, PARAMS, ["_k"])
     pv = D.sentence_pvalues(sc, grid, PARAMS, ["_k"])
     return D.document_tests(pv, ["doc_id"], PARAMS)
@@ -509,7 +510,7 @@ def _hc_null(c: Corpus) -> DataFrame:
     def build():
         ds = _detect(c)["doc_scores"]
         null_docs = ds.filter((F.col("edited") == 0) & (F.col("role") == "calibration"))
-        return D.hc_null_table(null_docs, PARAMS, keys=(), sizes=HCN_SIZES)
+        return D.hc_null_table(null_docs, PARAMS, keys=FK, sizes=HCN_SIZES)  # a fold's own calibration documents
     return _memo(c, "hc_null", build)
 
 
@@ -521,25 +522,30 @@ def _bucket_sql(col: str) -> str:
     return expr
 
 
-SQL_HCN = [*SQL_DETECT, f"""hnull AS (SELECT 1 AS _k, {_bucket_sql('t.n_valid2')} AS length, t.HC AS x
+SQL_HCN = [*SQL_DETECT, f"""hnull AS (SELECT {KS}, {_bucket_sql('t.n_valid2')} AS length, t.HC AS x
     FROM tests_all t WHERE t.edited = 0 AND t.role = 'calibration' AND t.HC IS NOT NULL)""",
-           O.grid_cte("hnull", "_k", 57, p="h", fill=False, xrange=(-1.0, 8.0))]
+           O.grid_cte("hnull", KS, 57, p="h", fill=False, xrange=(-1.0, 8.0))]
 
 
-@register("hc_null", "A30 S15", [("length", "bigint"), ("g", "bigint"), ("xg", "double"), ("z", "double")],
-          O.with_(*SQL_HCN) + "\nSELECT length, g, xg, z FROM hgrid")
+@register("hc_null", "A30 S15", [("topic", "string"), ("edit_ratio", "double"), ("fold", "bigint"),
+                                 ("length", "bigint"), ("g", "bigint"), ("xg", "double"), ("z", "double")],
+          O.with_(*SQL_HCN) + f"\nSELECT {KS}, length, g, xg, z FROM hgrid")
 def q_hc_null(spark, sf):
     return _hc_null(corpus(spark, sf))
 
 
 @register("hc_pvalue", "J4", [*DOC_SPEC, ("n_valid", "bigint"), ("HC", "double"), ("HC_pvalue", "double")],
-          O.with_(*SQL_HCN, f"hsrc AS (SELECT {DKS}, n_valid2 AS n_valid, HC, 1 AS _k, {_bucket_sql('n_valid2')} AS eff_length, "
-                  "HC AS response FROM tests_all)",
-                  O.pvalue_cte("hp", "hsrc", "_k", "gg._k = j._k", grid="hgrid"))
+          O.with_(*SQL_HCN, f"hpres AS (SELECT DISTINCT {KS}, length FROM hgrid)",
+                  f"hnear AS (SELECT {DKS}, arg_min(h.length, row(abs(h.length - t.n_valid2), h.length)) AS eff_length "
+                  f"FROM tests_all t JOIN hpres h USING ({KS}) GROUP BY {DKS})",
+                  f"hsrc AS (SELECT {DKS}, t.n_valid2 AS n_valid, t.HC, n.eff_length, t.HC AS response "
+                  f"FROM tests_all t LEFT JOIN hnear n USING ({DKS}))",
+                  O.pvalue_cte("hp", "hsrc", KS, "gg.topic = j.topic AND gg.edit_ratio = j.edit_ratio AND gg.fold = j.fold",
+                               grid="hgrid"))
           + f"\nSELECT {DKS}, n_valid, HC, pvalue AS HC_pvalue FROM hp")
 def q_hc_pvalue(spark, sf):
     c = corpus(spark, sf)
-    return D.hc_pvalue(_detect(c)["tests"], _hc_null(c), PARAMS, sizes=HCN_SIZES)
+    return D.hc_pvalue(_detect(c)["tests"], _hc_null(c), FK)
 
 
 # ---------------------------------------------------------------- folds
@@ -599,7 +605,11 @@ def roc_sql(y: str, score: str) -> list:
                     wa AS (PARTITION BY lang ORDER BY threshold ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))""",
             """roc AS (SELECT lang, threshold, tp, fp, CASE WHEN P > 0 THEN tp / P END AS tpr,
                       CASE WHEN N > 0 THEN fp / N END AS fpr, CASE WHEN P > 0 THEN tp_after / P END AS tpr_prev,
-                      CASE WHEN N > 0 THEN fp_after / N END AS fpr_prev FROM rc)"""]
+                      CASE WHEN N > 0 THEN fp_after / N END AS fpr_prev FROM rc
+               UNION ALL SELECT DISTINCT lang, CAST('infinity' AS DOUBLE), 0, 0, 0, 0, 0, 0 FROM labelled)"""]
+
+
+YOUDEN_SQL = "arg_max(threshold, row(coalesce(tpr - fpr, 0), threshold)) AS threshold_youden"
 
 
 SQL_ROC = roc_sql("quality", "n_chars")
@@ -624,8 +634,7 @@ def q_auc(spark, sf):
 
 
 @register("youden", "A20", [("lang", "string"), ("threshold_youden", "double")],
-          O.with_(*SQL_ROC) + "\nSELECT lang, arg_max(threshold, row(tpr - fpr, threshold)) AS threshold_youden "
-                              "FROM roc GROUP BY lang")
+          O.with_(*SQL_ROC) + f"\nSELECT lang, {YOUDEN_SQL} FROM roc GROUP BY lang")
 def q_youden(spark, sf):
     return E.youden_threshold(_roc(spark, sf), ["lang"])
 
@@ -672,9 +681,9 @@ def q_threshold_acc(spark, sf):
 
 @register("calibrate", "A23", [("lang", "string"), ("threshold_youden", "double"), ("auc", "double"),
                                ("threshold_fpr", "double"), ("threshold_acc", "double")],
-          O.with_(*roc_sql("toxic", "log_chars")) + """
+          O.with_(*roc_sql("toxic", "log_chars")) + f"""
 SELECT yd.lang, yd.threshold_youden, au.auc, tf.threshold_fpr, ta.threshold_acc FROM
-  (SELECT lang, arg_max(threshold, row(tpr - fpr, threshold)) AS threshold_youden FROM roc GROUP BY lang) yd
+  (SELECT lang, {YOUDEN_SQL} FROM roc GROUP BY lang) yd
   JOIN (SELECT lang, sum((fpr - fpr_prev) * (tpr + tpr_prev) / 2) AS auc FROM roc GROUP BY lang) au USING (lang)
   JOIN (WITH """ + _sweep_sql("toxic", "log_chars", 0.01, 0.05, "threshold_fpr") + """) tf USING (lang)
   JOIN (WITH """ + _sweep_sql("toxic", "log_chars", 0.01, None, "threshold_acc") + """) ta USING (lang)""")

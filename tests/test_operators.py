@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from authorscan.functions.stats import chi2_even_sf, fisher_of, hc_of_sorted
 from authorscan.functions.text import cache_key, word_count
 from authorscan.operators.corpus import article_atoms, tag_spans
-from authorscan.operators.detect import apply_length_policy, document_tests
-from authorscan.operators.evaluate import (auc, null_threshold, roc_curve, threshold_sweep,
+from authorscan.operators.detect import apply_length_policy, document_tests, hc_null_table, hc_pvalue
+from authorscan.operators.evaluate import (auc, fpr_cut_threshold, null_threshold, roc_curve, threshold_sweep,
                                            youden_threshold)
 from authorscan.operators.folds import fold_roles
 from authorscan.operators.survival import exact_pvalue, fit_null_grid, grid_pvalue, survival_1d
@@ -151,6 +151,33 @@ def test_roc_auc_properties(spark):
     assert youden_threshold(roc_curve(df, "y", "s")).first().threshold_youden is not None
 
 
+def test_thresholds_fall_back_to_the_origin(spark):
+    # key a: scores the wrong way round; key b: the top score is already a false positive; key c: no positives
+    rows = [("a", 1, 1.0), ("a", 0, 2.0), ("b", 0, 3.0), ("b", 1, 2.0), ("b", 1, 1.0), ("c", 0, 1.0)]
+    roc = roc_curve(spark.createDataFrame(rows, "k string, y int, s double"), "y", "s", ["k"])
+    yd = {r.k: r.threshold_youden for r in youden_threshold(roc, ["k"]).collect()}
+    assert yd == {"a": math.inf, "b": math.inf, "c": math.inf}
+    cut = {r.k: r.threshold_fpr_cut for r in fpr_cut_threshold(roc, 0.05, ["k"]).collect()}
+    assert cut == {"a": math.inf, "b": math.inf, "c": math.inf}
+
+
+def test_exact_pvalue_without_null_rows_is_null(spark):
+    null = spark.createDataFrame([(0, 10, 1.0), (0, 10, 2.0)], "fold int, length int, x double")
+    q = spark.createDataFrame([(0, 12, 5.0, 1, 1), (0, 10, 5.0, 1, 2)],
+                              "fold int, eff_length int, response double, doc_id int, atom_no int")
+    got = {r.eff_length: r.pvalue for r in exact_pvalue(q, null, ["fold"]).collect()}
+    assert got[12] is None and got[10] == pytest.approx(0.5)
+
+
+def test_hc_pvalue_takes_the_nearest_present_bucket(spark):
+    rows = [(0, i, 50, float(i % 5)) for i in range(20)] + [(0, 20, 100, 1.0)] + [(1, 21, 50, 1.0)]
+    docs = spark.createDataFrame(rows, "fold int, doc_id int, n_valid int, HC double")
+    null = hc_null_table(docs, Params(), ["fold"], sizes=(50, 100))
+    got = {r.doc_id: r.HC_pvalue for r in hc_pvalue(docs, null, ["fold"]).collect()}
+    assert len(got) == 22 and got[20] == pytest.approx(got[1])  # the bucket of 100 holds one row and has no curve
+    assert got[21] is None  # neither has any bucket of fold 1
+
+
 def test_grid_matches_exact_at_grid_points(spark):
     import random
     rnd = random.Random(5)
