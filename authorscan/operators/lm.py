@@ -32,8 +32,8 @@ class BigramLM:
     unigrams: DataFrame   # w, c_w
     bigrams: DataFrame    # u, w, c_uw
     prefixes: DataFrame   # u, c_u
-    n_tokens: int
-    vocab: int
+    denominators: DataFrame  # denom = N + V + 1, one row a model
+    keys: tuple = ()      # columns that tell models apart; they lead every table
 
 
 def _pairs(tokens_col):
@@ -43,22 +43,39 @@ def _pairs(tokens_col):
                         F.slice(tokens_col, 2, F.greatest(n - 1, F.lit(0))).alias("w"))
 
 
-def fit_bigram(train: DataFrame, text_col: str = "text") -> BigramLM:
-    """M1 (fit): unigram / bigram / prefix counts by hash aggregation (map-side combine)."""
-    toks = train.select(lm_tokens(text_col).alias("t"))
-    # the model tables are a stage output: stored once, re-read by every scoring join
-    uni = cut_lineage(toks.select(F.explode("t").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c_w")))
-    big = cut_lineage(toks.select(F.inline(_pairs(F.col("t"))))
-                      .groupBy("u", "w").agg(F.count(F.lit(1)).alias("c_uw")))
-    pre = cut_lineage(big.groupBy("u").agg(F.sum("c_uw").alias("c_u")))
-    # two scalars, bounded: the only values brought to the driver
-    row = uni.agg(F.sum("c_w").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    return BigramLM(uni, big, pre, int(row["n"] or 0), int(row["v"] or 0))
-
+def fit_bigram(train: DataFrame, text_col: str = "text", keys: tuple = ()) -> BigramLM:
+    """M1 (fit): unigram / bigram / prefix counts by hash aggregation (map-side combine).
 
-def _text_id(text_col: str, context_col: str | None):
-    """128-bit id of a text (and its context); NULL for a NULL text."""
+    With ``keys``, one model for each of their values (no NULLs), all in the same tables.
+    """
+    toks = train.select(*keys, lm_tokens(text_col).alias("t"))
+    # the model tables are a stage output: stored once, re-read by every scoring join
+    uni = cut_lineage(toks.select(*keys, F.explode("t").alias("w")).groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("c_w")))
+    big = cut_lineage(toks.select(*keys, F.inline(_pairs(F.col("t"))))
+                      .groupBy(*keys, "u", "w").agg(F.count(F.lit(1)).alias("c_uw")))
+    pre = cut_lineage(big.groupBy(*keys, "u").agg(F.sum("c_uw").alias("c_u")))
+    # one row a model, stored: the planner sees its size
+    den = cut_lineage(uni.groupBy(*keys).agg(
+        (F.coalesce(F.sum("c_w"), F.lit(0)) + F.count(F.lit(1)) + 1).cast("double").alias("denom")))
+    return BigramLM(uni, big, pre, den, tuple(keys))
+
+
+def _with_p1(df: DataFrame, lm: BigramLM) -> DataFrame:
+    """Add ``p1``, the unigram probability of ``w`` (column ``c_w``, NULL: unseen) in the row's model.
+    A model without training text has N = V = 0."""
+    if lm.keys:
+        j = df.join(lm.denominators, list(lm.keys), "left")
+        denom = F.coalesce("denom", F.lit(1.0))
+    else:
+        j, denom = df, F.lit(lm.denominators.first()["denom"])  # one scalar
+    return j.withColumn("p1", (F.coalesce(F.col("c_w"), F.lit(0)) + 1.0) / denom).drop("denom")
+
+
+def _text_id(text_col: str, context_col: str | None, keys: tuple = ()):
+    """128-bit id of a text (with its model and context); NULL for a NULL text."""
     digest = F.md5(text_col)
+    if keys:
+        digest = F.md5(F.concat(digest, *[F.md5(k) for k in keys]))
     if context_col:
         digest = F.md5(F.concat(digest, F.coalesce(F.md5(context_col), F.lit(""))))
     return F.unhex(digest)
@@ -73,27 +90,28 @@ def score_bigram(df: DataFrame, lm: BigramLM, text_col: str = "text", out: str =
     counted before the shuffle; distinct pairs are looked up in the model once.
     With a context, its last token is the predecessor of the first text token
     (conditioned on, not scored); a NULL context is a context of its own. A NULL
-    text, or one without a pair, has no response.
+    text, or one without a pair, has no response. A keyed model scores each row with
+    the model that the row's key columns name.
     """
+    keys = list(lm.keys)
     key_cols = [text_col] + ([context_col] if context_col else [])
-    ided = df.withColumn("_tid", _text_id(text_col, context_col))
-    texts = ided.select("_tid", *key_cols).distinct()
+    ided = df.withColumn("_tid", _text_id(text_col, context_col, lm.keys))
+    texts = ided.select("_tid", *keys, *key_cols).distinct()
     toks = lm_tokens(text_col)
     if context_col:
         last_ctx = F.slice(F.coalesce(lm_tokens(context_col), F.array().cast("array<string>")), -1, 1)
         toks = F.concat(last_ctx, toks)
     # tokens as a column first: the generator would otherwise re-split per use
-    pairs = (texts.withColumn("_t", toks).select("_tid", F.inline(_pairs(F.col("_t"))))
-             .groupBy("_tid", "u", "w").agg(F.count(F.lit(1)).alias("_m")))
-    dp = pairs.select("u", "w").distinct()
-    denom = float(lm.n_tokens + lm.vocab + 1)
-    p1 = (F.coalesce(F.col("c_w"), F.lit(0)) + 1.0) / F.lit(denom)
-    scored_pairs = (dp.join(lm.bigrams, ["u", "w"], "left")
-                    .join(lm.prefixes, "u", "left")
-                    .join(lm.unigrams, "w", "left")
-                    .select("u", "w", (-F.log((F.coalesce("c_uw", F.lit(0)) + F.lit(BETA) * p1)
-                                              / (F.coalesce("c_u", F.lit(0)) + F.lit(BETA)))).alias("nll")))
-    resp = (pairs.join(scored_pairs, ["u", "w"])
+    pairs = (texts.withColumn("_t", toks).select("_tid", *keys, F.inline(_pairs(F.col("_t"))))
+             .groupBy("_tid", *keys, "u", "w").agg(F.count(F.lit(1)).alias("_m")))
+    dp = pairs.select(*keys, "u", "w").distinct()
+    counted = (dp.join(lm.bigrams, [*keys, "u", "w"], "left")
+               .join(lm.prefixes, [*keys, "u"], "left")
+               .join(lm.unigrams, [*keys, "w"], "left"))
+    scored_pairs = (_with_p1(counted, lm)
+                    .select(*keys, "u", "w", (-F.log((F.coalesce("c_uw", F.lit(0)) + F.lit(BETA) * F.col("p1"))
+                                                     / (F.coalesce("c_u", F.lit(0)) + F.lit(BETA)))).alias("nll")))
+    resp = (pairs.join(scored_pairs, [*keys, "u", "w"])
             .groupBy("_tid").agg((F.sum(F.col("_m") * F.col("nll")) / F.sum("_m")).alias(out)))
     if decimals is not None:
         resp = resp.withColumn(out, F.round(out, decimals))
@@ -102,11 +120,11 @@ def score_bigram(df: DataFrame, lm: BigramLM, text_col: str = "text", out: str =
 
 def ngram_counts(lm: BigramLM) -> DataFrame:
     """Bigram table with its conditional probability (inspection / export)."""
-    denom = float(lm.n_tokens + lm.vocab + 1)
-    return (lm.bigrams.join(lm.prefixes, "u").join(lm.unigrams, "w")
-            .select("u", "w", "c_uw", "c_u", "c_w",
-                    ((F.col("c_uw") + F.lit(BETA) * (F.col("c_w") + 1.0) / F.lit(denom))
-                     / (F.col("c_u") + F.lit(BETA))).alias("p_w_given_u")))
+    keys = list(lm.keys)
+    counted = lm.bigrams.join(lm.prefixes, [*keys, "u"]).join(lm.unigrams, [*keys, "w"])
+    return (_with_p1(counted, lm)
+            .select(*keys, "u", "w", "c_uw", "c_u", "c_w",
+                    ((F.col("c_uw") + F.lit(BETA) * F.col("p1")) / (F.col("c_u") + F.lit(BETA))).alias("p_w_given_u")))
 
 
 def with_cache(df: DataFrame, cache: DataFrame, scorer, text_col: str = "text",

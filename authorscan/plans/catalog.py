@@ -23,7 +23,7 @@ from authorscan.operators import survival as S
 from authorscan.operators.scan import Acc, scan
 from authorscan.params import Params
 from authorscan.plans import oracle as O
-from authorscan.plans.experiments import Corpus, accuracy_run, detect_folds, power_run, scored_atoms
+from authorscan.plans.experiments import ARTICLE_KEYS, Corpus, accuracy_run, detect_folds, power_run, scored_atoms
 from authorscan.sources import articles as A
 
 PARAMS = Params()
@@ -80,7 +80,7 @@ def register(name: str, ids: str, spec: list, sql: str | None):
 def _atoms(c: Corpus, ratio=RATIO, max_sentences=None) -> DataFrame:
     p = PARAMS.with_(edit_ratio=ratio, max_sentences=max_sentences)
     return _memo(c, ("atoms", ratio, max_sentences),
-                 lambda: C.article_atoms(c.flat_articles(), p).withColumn("edit_ratio", F.lit(float(ratio))))
+                 lambda: C.article_atoms(c.flat_articles(), p, ARTICLE_KEYS).withColumn("edit_ratio", F.lit(float(ratio))))
 
 
 def _detect(c: Corpus) -> dict:
@@ -101,7 +101,7 @@ SQL_BASE = [O.SENTENCES, O.FLAT]
 SQL_LM = [*SQL_BASE, O.LM]
 SQL_ATOMS = [*SQL_BASE, O.atoms_cte("atoms", RATIO)]
 SQL_SCORED = [*SQL_LM, O.atoms_cte("atoms", RATIO), O.score_cte("ts", "atoms"),
-              "scored AS (SELECT a.*, ts.response FROM atoms a LEFT JOIN ts USING (text))"]
+              O.scored_cte("scored", "atoms")]
 KS = "topic, edit_ratio, fold"
 DKS = "topic, edit_ratio, fold, doc_id, edited"
 SQL_DETECT = [
@@ -265,12 +265,12 @@ def q_pair_long(spark, sf):
 
 # ---------------------------------------------------------------- language model
 
-@register("ngram_counts", "M1", [("u", "string"), ("w", "string"), ("c_uw", "bigint"), ("c_u", "bigint"),
-                                 ("c_w", "bigint"), ("p_w_given_u", "double")],
+@register("ngram_counts", "M1", [("model", "string"), ("u", "string"), ("w", "string"), ("c_uw", "bigint"),
+                                 ("c_u", "bigint"), ("c_w", "bigint"), ("p_w_given_u", "double")],
           O.with_(*SQL_LM) + f"""
-SELECT b.u, b.w, b.c_uw, pr.c_u, un.c_w,
+SELECT b.model, b.u, b.w, b.c_uw, pr.c_u, un.c_w,
        (b.c_uw + {O.d(5.0)} * (un.c_w + {O.d(1.0)}) / nv.denom) / (pr.c_u + {O.d(5.0)}) AS p_w_given_u
-FROM big b JOIN pre pr USING (u) JOIN uni un USING (w), nv""")
+FROM big b JOIN pre pr USING (model, u) JOIN uni un USING (model, w) JOIN nv USING (model)""")
 def q_ngram_counts(spark, sf):
     return L.ngram_counts(corpus(spark, sf).lm())
 
@@ -283,16 +283,21 @@ def q_ngram_logloss(spark, sf):
 
 
 def _cache_table(c: Corpus) -> DataFrame:
-    """Score cache written from the bigram responses of the LM training side."""
+    """Score cache: bigram responses of the sentences that more than one document has (the least, if models differ)."""
     def build():
-        tr = A.lm_training_sentences(c.sentences()).select("text")
-        sc = L.score_bigram(tr.distinct(), c.lm())
+        s = c.sentences()
+        # a repeated text's id decides; the texts themselves are not grouped
+        ided = s.select("doc_id", "model", "text", F.unhex(F.md5("text")).alias("_id"))
+        shared = (ided.groupBy("_id").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+                  .filter(F.col("a") < F.col("b")).select("_id"))
+        sc = L.score_bigram(ided.join(shared, "_id", "left_semi").select("model", "text").distinct(), c.lm())
         return (sc.filter(F.col("response").isNotNull()).withColumn("sent_key", cache_key("text"))
                 .groupBy("sent_key").agg(F.min("response").alias("response")))
     return _memo(c, "cache", build)
 
 
-SQL_CACHE = [*SQL_SCORED, "trs AS (SELECT DISTINCT text FROM sentences WHERE lang = 'en' AND doc_id % 5 = 0)",
+SQL_CACHE = [*SQL_SCORED, "trs AS (SELECT * FROM sentences WHERE text IN "
+             "(SELECT text FROM sentences GROUP BY text HAVING count(DISTINCT doc_id) > 1))",
              O.score_cte("cs", "trs"),
              "cache AS (SELECT {k} AS sent_key, min(response) AS response FROM cs WHERE response IS NOT NULL "
              "GROUP BY 1)".format(k=O.strip("lower(trim(" + O.strip("regexp_replace(text, '\\\\[nrt]', '', 'g')")
@@ -308,7 +313,7 @@ SELECT a.topic, a.doc_id, a.edited, a.atom_no, c.response IS NOT NULL AS from_ca
 FROM scored a LEFT JOIN cache c ON c.sent_key = {SENT_KEY_SQL}""")
 def q_cache_lookup(spark, sf):
     c = corpus(spark, sf)
-    atoms = _atoms(c).select("topic", "doc_id", "edited", "atom_no", "text")
+    atoms = _atoms(c).select("topic", "doc_id", "model", "edited", "atom_no", "text")
     cache = _cache_table(c)
     return L.with_cache(atoms, cache, lambda df: L.score_bigram(df, c.lm()))
 
@@ -385,19 +390,16 @@ def _policy_sql_union() -> str:
     for pol in ("truncate", "ignore", "max_available"):
         eff, com = O.policy_sql(policy=pol)
         parts.append(f"SELECT '{pol}' AS policy, doc_id, pos, length, {eff} AS eff_length, {com} AS comment "
-                     "FROM hs LEFT JOIN ts USING (text)")
+                     "FROM sc")
     return "\nUNION ALL\n".join(parts)
 
 
 @register("length_policy", "F8 F9", [("policy", "string"), ("doc_id", "bigint"), ("pos", "bigint"),
                                      ("length", "bigint"), ("eff_length", "bigint"), ("comment", "string")],
-          O.with_(*SQL_LM, "hs AS (SELECT * FROM sentences WHERE lang = 'en' AND doc_id % 5 <> 0)",
-                  O.score_cte("ts", "hs")) + "\n" + _policy_sql_union())
+          O.with_(*SQL_LM, O.score_cte("ts", "sentences"), O.scored_cte("sc", "sentences")) + "\n" + _policy_sql_union())
 def q_length_policy(spark, sf):
     c = corpus(spark, sf)
-    hs = (c.sentences().filter((F.col("lang") == "en") & (F.col("doc_id") % 5 != 0))
-          .select("doc_id", "pos", "text", "length"))
-    sc = L.score_bigram(hs, c.lm())
+    sc = L.score_bigram(c.sentences().select("doc_id", "model", "pos", "text", "length"), c.lm())
     outs = [D.apply_length_policy(sc, PARAMS.with_(length_policy=p)).withColumn("policy", F.lit(p))
             for p in ("truncate", "ignore", "max_available")]
     return outs[0].unionByName(outs[1]).unionByName(outs[2])
@@ -477,9 +479,8 @@ def q_doc_precision_recall(spark, sf):
 @register("doc_stats_responses", "M5 P4", [("doc_id", "bigint"), ("n_valid", "bigint"), ("HC", "double"),
                                            ("hc_threshold", "double"), ("fisher", "double"),
                                            ("fisher_pvalue", "double"), ("minP", "double"), ("bonf", "double")],
-          O.with_(*SQL_LM, "hs AS (SELECT * FROM sentences WHERE lang = 'en' AND doc_id % 5 <> 0)",
-                  O.score_cte("ts", "hs"),
-                  "sc AS (SELECT hs.*, ts.response, doc_id % 2 AS _k FROM hs LEFT JOIN ts USING (text))",
+          O.with_(*SQL_LM, O.score_cte("ts", "sentences"), O.scored_cte("sc0", "sentences"),
+                  "sc AS (SELECT *, doc_id % 2 AS _k FROM sc0)",
                   "nul AS (SELECT 1 - _k AS _k, length, response AS x FROM sc WHERE length BETWEEN 10 AND 100 "
                   "AND response IS NOT NULL AND NOT isnan(response))",
                   O.grid_cte("nul", "_k"),
@@ -490,11 +491,10 @@ def q_doc_precision_recall(spark, sf):
 def q_doc_stats_responses(spark, sf):
     """M5: tests straight from (document, length, response) rows. Cross-fitted: the null
     of an even document comes from the odd ones and the other way round, so every
-    host sentence of every document is tested, and none against itself."""
+    sentence of every document is tested, and none against itself."""
     c = corpus(spark, sf)
-    sents = c.sentences()
-    host = sents.filter((F.col("lang") == "en") & (F.col("doc_id") % 5 != 0)).select("doc_id", "pos", "text", "length")
-    sc = L.score_bigram(host, c.lm()).withColumn("_k", F.col("doc_id") % 2)
+    sents = c.sentences().select("doc_id", "model", "pos", "text", "length")
+    sc = L.score_bigram(sents, c.lm()).withColumn("_k", F.col("doc_id") % 2)
     null = S.null_sample(sc.filter(F.col("length").between(10, 100)).withColumn("_k", 1 - F.col("_k")), ["_k"])
     grid = S.fit_null_grid(null, PARAMS, ["_k"])
     pv = D.sentence_pvalues(sc, grid, PARAMS, ["_k"])
@@ -739,7 +739,7 @@ def detect_sql(ratios) -> list:
     rlist = ", ".join(f"({O.d(r)})" for r in ratios)
     return [
         *SQL_LM, *atoms, f"atoms_all AS ({union})", O.score_cte("ts", "atoms_all"),
-        "scored AS (SELECT a.*, ts.response FROM atoms_all a LEFT JOIN ts USING (text))",
+        O.scored_cte("scored", "atoms_all"),
         f"arts AS (SELECT DISTINCT f.topic, r.edit_ratio, f.doc_id FROM flat f, (VALUES {rlist}) r(edit_ratio))",
         O.roles_cte("arts"),
         "wr AS (SELECT s.*, r.fold, r.role FROM scored s JOIN roles r USING (topic, edit_ratio, doc_id))",
@@ -848,7 +848,7 @@ def power_summary_sql(ratios=(0.1, 0.2), sizes=(50, 100, 200)) -> str:
          f"- CASE WHEN pst.f + {j0} * {s01} >= x.value THEN 1 ELSE 0 END, pst.J - 1)")
     return O.with_(
         *SQL_LM, *atoms, f"atoms_all AS ({' UNION ALL '.join(parts)})", O.score_cte("ts", "atoms_all"),
-        "scored AS (SELECT a.*, ts.response FROM atoms_all a LEFT JOIN ts USING (text))",
+        O.scored_cte("scored", "atoms_all"),
         f"arts AS (SELECT DISTINCT f.topic, r.edit_ratio, f.doc_id FROM flat f, (VALUES {rlist}) r(edit_ratio))",
         O.roles_cte("arts"),
         "wr AS (SELECT s.*, r.fold, r.role FROM scored s JOIN roles r USING (topic, edit_ratio, doc_id))",

@@ -28,6 +28,7 @@ from authorscan.sources.articles import (document_sentences, fixture_article_sen
                                          lm_training_sentences)
 
 STATISTICS = ("HC", "minP")
+ARTICLE_KEYS = ("topic", "doc_id", "model")  # the model follows from the document
 
 
 @dataclass
@@ -48,24 +49,26 @@ class Corpus:
 
     def sentences(self) -> DataFrame:
         # stage output: the regex split is the costliest per-byte step and feeds the
-        # LM training side, the hosts and the donors; it is computed once.
+        # language models, the articles and the donors; it is computed once.
         return self._memo("sentences", lambda: cut_lineage(
             document_sentences(spread(self.table("documents"), "doc_id"))))
 
     def flat_articles(self) -> DataFrame:
-        return self._memo("flat", lambda: cut_lineage(fixture_article_sentences(self.sentences())))
+        return self._memo("flat", lambda: cut_lineage(
+            fixture_article_sentences(self.sentences(), self.table("documents"))))
 
     def articles(self) -> DataFrame:
         return self._memo("articles", lambda: self.flat_articles().select("topic", "doc_id").distinct())
 
     def lm(self) -> BigramLM:
-        return self._memo("lm", lambda: fit_bigram(lm_training_sentences(self.sentences())))
+        return self._memo("lm", lambda: fit_bigram(
+            lm_training_sentences(self.sentences()), keys=("model",)))
 
 
 def ratio_atoms(corpus: Corpus, params: Params, ratios) -> DataFrame:
     """Atoms of both versions for every edit ratio (``edit_ratio`` column)."""
     return reduce(DataFrame.unionByName, [
-        article_atoms(corpus.flat_articles(), params.with_(edit_ratio=r)).withColumn("edit_ratio", F.lit(float(r)))
+        article_atoms(corpus.flat_articles(), params.with_(edit_ratio=r), ARTICLE_KEYS).withColumn("edit_ratio", F.lit(float(r)))
         for r in ratios])
 
 

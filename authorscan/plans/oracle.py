@@ -42,14 +42,13 @@ sentences AS (
   WHERE text <> '')"""
 
 FLAT = """
-hosts AS (SELECT source AS topic, doc_id, pos, text AS sentence FROM sentences
-          WHERE lang = 'en' AND doc_id % 5 <> 0),
-other AS (SELECT * FROM sentences WHERE lang <> 'en'),
-donors AS (SELECT doc_id % 50 AS bucket, min(doc_id) AS doc_id
-           FROM (SELECT doc_id FROM other GROUP BY doc_id HAVING count(*) >= 20) GROUP BY 1),
-donor_sent AS (SELECT dn.bucket, o.pos AS apos, o.text AS alternative FROM other o JOIN donors dn USING (doc_id)),
-flat AS (SELECT h.topic, h.doc_id, h.pos, h.sentence, ds.alternative FROM hosts h
-         LEFT JOIN donor_sent ds ON ds.bucket = h.doc_id % 50 AND h.pos % 3 = 1 AND ds.apos = h.pos)"""
+docl AS (SELECT doc_id, coalesce(lang, '') AS l, row_number() OVER (ORDER BY coalesce(lang, ''), doc_id) - 1 AS g FROM documents),
+runs AS (SELECT l, min(g) AS first, count(*) AS n, (SELECT count(*) FROM documents) AS total FROM docl GROUP BY l),
+donors AS (SELECT a.doc_id, o.doc_id AS donor_id FROM docl a JOIN runs USING (l)
+           JOIN docl o ON o.g = (first + n + (a.g - first) % (total - n)) % total WHERE total > n),
+flat AS (SELECT h.source AS topic, h.doc_id, h.pos, h.text AS sentence, o.text AS alternative FROM sentences h
+         LEFT JOIN donors dn ON dn.doc_id = h.doc_id AND h.pos % 3 = 1
+         LEFT JOIN sentences o ON o.doc_id = dn.donor_id AND o.pos = h.pos)"""
 
 
 def atoms_cte(name: str, ratio: float, max_sentences: int | None = None, lo: int = 10, hi: int = 100) -> str:
@@ -82,26 +81,35 @@ def atoms_cte(name: str, ratio: float, max_sentences: int | None = None, lo: int
 
 
 LM = f"""
-train_tok AS (SELECT {lm_tokens('text')} AS t FROM sentences WHERE lang = 'en' AND doc_id % 5 = 0),
-uni AS (SELECT w, count(*) AS c_w FROM (SELECT unnest(t) AS w FROM train_tok) GROUP BY w),
-big AS (SELECT u, w, count(*) AS c_uw FROM (
-          SELECT unnest(t[1:len(t) - 1]) AS u, unnest(t[2:len(t)]) AS w FROM train_tok WHERE len(t) >= 2)
-        GROUP BY u, w),
-pre AS (SELECT u, sum(c_uw) AS c_u FROM big GROUP BY u),
-nv AS (SELECT CAST(sum(c_w) + count(*) + 1 AS DOUBLE) AS denom FROM uni)"""
-
-
-def score_cte(name: str, src: str, text_col: str = "text") -> str:
-    """``name(text, response)`` for the distinct texts of ``src``."""
+docmodel AS (SELECT doc_id, coalesce(lang, '') || ':' || CAST(doc_id % 2 AS VARCHAR) AS model,
+                    coalesce(lang, '') || ':' || CAST((doc_id + 1) % 2 AS VARCHAR) AS trains FROM documents),
+train_tok AS (SELECT m.trains AS model, {lm_tokens('text')} AS t FROM sentences JOIN docmodel m USING (doc_id)),
+uni AS (SELECT model, w, count(*) AS c_w FROM (SELECT model, unnest(t) AS w FROM train_tok) GROUP BY model, w),
+big AS (SELECT model, u, w, count(*) AS c_uw FROM (
+          SELECT model, unnest(t[1:len(t) - 1]) AS u, unnest(t[2:len(t)]) AS w FROM train_tok WHERE len(t) >= 2)
+        GROUP BY model, u, w),
+pre AS (SELECT model, u, sum(c_uw) AS c_u FROM big GROUP BY model, u),
+nv AS (SELECT model, CAST(sum(c_w) + count(*) + 1 AS DOUBLE) AS denom FROM uni GROUP BY model)"""
+
+
+def score_cte(name: str, src: str) -> str:
+    """``name(text, model, response)`` for the distinct texts of ``src(doc_id, text)``, each by its document's model."""
     return f"""
-{name}_tok AS (SELECT DISTINCT {text_col} AS text FROM {src}),
-{name}_pairs AS (SELECT text, unnest(t[1:len(t) - 1]) AS u, unnest(t[2:len(t)]) AS w
-                 FROM (SELECT text, {lm_tokens('text')} AS t FROM {name}_tok) WHERE len(t) >= 2),
+{name}_tok AS (SELECT DISTINCT text, model FROM {src} JOIN docmodel USING (doc_id)),
+{name}_pairs AS (SELECT text, model, unnest(t[1:len(t) - 1]) AS u, unnest(t[2:len(t)]) AS w
+                 FROM (SELECT text, model, {lm_tokens('text')} AS t FROM {name}_tok) WHERE len(t) >= 2),
 {name}_nll AS (
-  SELECT p.text, -ln((coalesce(b.c_uw, 0) + {d(5.0)} * ((coalesce(un.c_w, 0) + {d(1.0)}) / nv.denom))
+  SELECT p.text, p.model, -ln((coalesce(b.c_uw, 0) + {d(5.0)} * ((coalesce(un.c_w, 0) + {d(1.0)}) / coalesce(nv.denom, {d(1.0)})))
                     / (coalesce(pr.c_u, 0) + {d(5.0)})) AS nll
-  FROM {name}_pairs p LEFT JOIN big b USING (u, w) LEFT JOIN pre pr USING (u) LEFT JOIN uni un USING (w), nv),
-{name} AS (SELECT text, round(avg(nll), 9) AS response FROM {name}_nll GROUP BY text)"""
+  FROM {name}_pairs p LEFT JOIN big b USING (model, u, w) LEFT JOIN pre pr USING (model, u)
+  LEFT JOIN uni un USING (model, w) LEFT JOIN nv USING (model)),
+{name} AS (SELECT text, model, round(avg(nll), 9) AS response FROM {name}_nll GROUP BY text, model)"""
+
+
+def scored_cte(name: str, src: str, ts: str = "ts") -> str:
+    """``name`` = ``src`` with its model and response."""
+    return (f"{name} AS (SELECT a.*, m.model, {ts}.response FROM {src} a JOIN docmodel m USING (doc_id) "
+            f"LEFT JOIN {ts} ON {ts}.text = a.text AND {ts}.model = m.model)")
 
 
 def roles_cte(src: str, gkeys: str = "topic, edit_ratio", k: int = 10, split: float = 0.8) -> str:

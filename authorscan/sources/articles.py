@@ -8,11 +8,12 @@ string column ``article_json`` in CSV files laid out ``topic/edit_ratio_{r}/topi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from authorscan.operators.corpus import split_sentences
+from authorscan.operators.scan import row_index
 
 SENTENCE_T = T.StructType([
     T.StructField("sentence", T.StringType()),
@@ -30,41 +31,63 @@ ARTICLE_SCHEMA = T.StructType([
 ])
 
 # Fixed values of the fixture recipe (FIXTURES.md §3).
-LM_TRAIN_MOD = 5          # en documents with doc_id % 5 = 0 train the language model
-DONOR_BUCKETS = 50        # donor of a host = smallest non-en doc of bucket doc_id % 50 ...
-DONOR_MIN_SENTENCES = 20  # ... with at least 20 sentences
-ALT_EVERY = 3             # host sentences with pos % 3 = 1 get the donor sentence at the same pos
-BLOCK = 10                # sub-title = block of 10 positions
+LM_FOLDS = 2   # cross-fit folds of the language models: every sentence trains one model and is scored by another
+ALT_EVERY = 3  # article sentences with pos % 3 = 1 get the donor's sentence at the same pos
+BLOCK = 10     # sub-title = block of 10 positions
+
+
+def lm_model(fold) -> Column:
+    """Name of the language model of the row's language (NULL: a language of its own) for a cross-fit fold."""
+    return F.concat(F.coalesce("lang", F.lit("")), F.lit(":"), F.pmod(fold, F.lit(LM_FOLDS)).cast("string"))
 
 
 def document_sentences(documents: DataFrame) -> DataFrame:
-    """Sentences of every document with language and source."""
-    return split_sentences(documents, ("doc_id",), "text", "punct", keep=("lang", "source"))
+    """Sentences of every document with source, the model that scores them and the one that they train.
+
+    A document of fold ``doc_id mod LM_FOLDS`` is scored by its language's model of that fold,
+    which the next fold's documents train: nothing is scored by a model that has seen it.
+    """
+    docs = (documents.withColumn("model", lm_model(F.col("doc_id")))
+            .withColumn("trains", lm_model(F.col("doc_id") - 1)))
+    return split_sentences(docs, ("doc_id",), "text", "punct", keep=("source", "model", "trains"))
 
 
 def lm_training_sentences(sentences: DataFrame) -> DataFrame:
-    """Language-model training side of the fixture (disjoint from scored articles)."""
-    return sentences.filter((F.col("lang") == "en") & (F.col("doc_id") % LM_TRAIN_MOD == 0))
+    """All sentences, under the model that they train."""
+    return sentences.select(F.col("trains").alias("model"), "text")
 
 
-def fixture_article_sentences(sentences: DataFrame) -> DataFrame:
-    """Flat article table: ``topic, doc_id, pos, sentence, alternative``.
+def donor_pairs(documents: DataFrame) -> DataFrame:
+    """``doc_id, donor_id``: every document's donor, a document of another language.
 
-    Hosts are en documents outside the LM training side (topic = source); the
-    alternative of a host sentence with pos % 3 = 1 is the sentence at the same
-    position of its bucket's donor (a non-en document), if any.
+    Documents are numbered by (language, doc_id); the documents of one language are dealt in turn
+    to all documents of the others, starting behind the language's own run. A donor serves
+    ceil(documents of the language / documents of the others) documents of a language at most.
+    ``donor_id`` is NULL where all documents are of one language.
+    """
+    docs = documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("_lang"), F.lit(0).alias("_all"))
+    ranked = row_index(docs, ["_all"], ["_lang", "doc_id"], out="_g").drop("_all")
+    total = F.lit(ranked.count())
+    runs = ranked.groupBy("_lang").agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    others = total - F.col("_n")
+    turn = F.col("_first") + F.col("_n") + (F.col("_g") - F.col("_first")) % others
+    asked = ranked.join(runs, "_lang").select("doc_id", F.when(others > 0, turn % total).alias("_g"))
+    return asked.join(ranked.select("_g", F.col("doc_id").alias("donor_id")), "_g", "left").drop("_g")
+
+
+def fixture_article_sentences(sentences: DataFrame, documents: DataFrame) -> DataFrame:
+    """Flat article table: ``topic, doc_id, model, pos, sentence, alternative``.
+
+    Every document is an article (topic = source); the alternative of a sentence with
+    pos % 3 = 1 is the sentence at the same position of the document's donor, if any.
+    Only those sentences are joined.
     """
-    hosts = (sentences.filter((F.col("lang") == "en") & (F.col("doc_id") % LM_TRAIN_MOD != 0))
-             .select(F.col("source").alias("topic"), "doc_id", "pos", F.col("text").alias("sentence")))
-    other = sentences.filter(F.col("lang") != "en")
-    donors = (other.groupBy("doc_id").count().filter(F.col("count") >= DONOR_MIN_SENTENCES)
-              .groupBy((F.col("doc_id") % DONOR_BUCKETS).alias("bucket"))
-              .agg(F.min("doc_id").alias("doc_id")))
-    donor_sent = (other.join(donors, "doc_id")
-                  .select("bucket", F.col("pos").alias("_apos"), F.col("text").alias("alternative")))
-    h = (hosts.withColumn("bucket", F.col("doc_id") % DONOR_BUCKETS)
-         .withColumn("_apos", F.when(F.col("pos") % ALT_EVERY == 1, F.col("pos"))))
-    return h.join(donor_sent, ["bucket", "_apos"], "left").drop("bucket", "_apos")
+    art = sentences.select(F.col("source").alias("topic"), "doc_id", "model", "pos", F.col("text").alias("sentence"))
+    chosen = F.col("pos") % ALT_EVERY == 1
+    donated = sentences.filter(chosen).select(F.col("doc_id").alias("donor_id"), "pos", F.col("text").alias("alternative"))
+    edited = (art.filter(chosen).join(donor_pairs(documents), "doc_id", "left")
+              .join(donated, ["donor_id", "pos"], "left").drop("donor_id"))
+    return edited.unionByName(art.filter(~chosen).withColumn("alternative", F.lit(None).cast("string")))
 
 
 def build_articles(flat: DataFrame, doc_keys=("topic", "doc_id")) -> DataFrame:

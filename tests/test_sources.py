@@ -135,3 +135,39 @@ def test_registered_pairs_need_their_split(spark):
     name, (machine, human, _) = next((k, v) for k, v in PAIR_REGISTRY.items() if v[2])
     with pytest.raises(ValueError):
         load_registered(spark.createDataFrame([("m", "h")], [machine, human]), name)
+
+
+def test_donors_are_of_another_language_and_dealt_evenly(spark):
+    from authorscan.sources.articles import document_sentences, donor_pairs, fixture_article_sentences
+    langs = ["en"] * 7 + ["de"] * 2 + [None] * 2
+    docs = spark.createDataFrame([(i, f"S {i} a. S {i} b. S {i} c.", lang, "src") for i, lang in enumerate(langs)],
+                                 "doc_id long, text string, lang string, source string")
+    donor = {r["doc_id"]: r["donor_id"] for r in donor_pairs(docs).collect()}
+    assert sorted(donor) == list(range(11))
+    assert all(langs[a] != langs[b] for a, b in donor.items())
+    uses = {d: sum(donor[i] == d for i in range(7)) for d in range(7, 11)}  # seven en documents on four donors
+    assert sorted(uses.values()) == [1, 2, 2, 2]
+    flat = fixture_article_sentences(document_sentences(docs), docs).collect()
+    assert len(flat) == 33
+    for r in flat:
+        assert r["alternative"] == (f"S {donor[r['doc_id']]} b." if r["pos"] == 1 else None)
+    alone = docs.filter("lang = 'en'")
+    assert {r["donor_id"] for r in donor_pairs(alone).collect()} == {None}
+    assert donor_pairs(docs.limit(0)).count() == 0
+
+
+def test_keyed_bigram_models_equal_separate_models(spark):
+    from authorscan.operators.lm import fit_bigram, ngram_counts, score_bigram
+    train = spark.createDataFrame([("m1", "a b a b c"), ("m1", "b c"), ("m2", "a c a c"), ("m2", "x")], "model string, text string")
+    rows = spark.createDataFrame([("m1", "a b c"), ("m2", "a b c"), ("m3", "a b c"), ("m2", None), ("m1", "a")],
+                                 "model string, text string")
+    keyed = fit_bigram(train, keys=("model",))
+    got = {(r["model"], r["text"]): r["response"] for r in score_bigram(rows, keyed).collect()}
+    for m in ("m1", "m2"):
+        one = fit_bigram(train.filter(F.col("model") == m))
+        want = {(r["model"], r["text"]): r["response"] for r in score_bigram(rows.filter(F.col("model") == m), one).collect()}
+        assert {k: v for k, v in got.items() if k[0] == m} == want
+        assert (sorted(map(tuple, ngram_counts(keyed).filter(F.col("model") == m).drop("model").collect()))
+                == sorted(map(tuple, ngram_counts(one).collect())))
+    assert got[("m1", "a b c")] != got[("m2", "a b c")]
+    assert got[("m3", "a b c")] == 0.0  # a model without training text: N = V = 0
