@@ -252,7 +252,7 @@ def normalise(sql: str, spec: list[tuple[str, str]]) -> str:
     cols = []
     for c, t in spec:
         if t == "double":
-            cols.append(f"CAST(round(CAST({c} AS DOUBLE), 6) AS DOUBLE) AS {c}")
+            cols.append(f"CAST(round(CAST({c} AS DOUBLE), 6) AS DOUBLE) + CAST(0 AS DOUBLE) AS {c}")  # no -0.0
         elif t == "bigint":
             cols.append(f"CAST({c} AS BIGINT) AS {c}")
         elif t == "string":
