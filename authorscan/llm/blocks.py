@@ -36,6 +36,7 @@ from authorscan.session import checkpoint_dir
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 16 << 20
 MIN_PARTS = 64
+MAX_BUCKETS = 100_000  # what Spark allows
 
 U64 = np.uint64
 _BASE = 0x9E6C63D0876A9A47  # any odd 64-bit number
@@ -52,6 +53,15 @@ def store(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_by(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``store`` in ``n`` hash buckets of ``key``: a cogroup on ``key`` reads them without a shuffle of ``df``."""
+    spark = df.sparkSession
+    name = f"llm_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    df.write.format("parquet").option("path", path).option("compression", "uncompressed").bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)
+
+
 # ------------------------------------------------------------------ packing
 
 
@@ -136,8 +146,8 @@ def gather_blocks(docs: DataFrame, block_bytes: int, emit, schema: str, text: st
     return docs.mapInArrow(gather, schema)
 
 
-def seal(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, bytes, payload): blocks of ``docs`` as compressed Arrow, written once."""
+def seal(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucketed: bool = False) -> DataFrame:
+    """(block, bytes, payload): blocks of ``docs`` as compressed Arrow, written once; if ``bucketed``, ``meet_blocks`` doesn't shuffle them."""
 
     def emit(block, t):
         sink = pa.BufferOutputStream()
@@ -146,7 +156,11 @@ def seal(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         size = pc.sum(pc.binary_length(t.column("text"))).as_py() or 0
         return {"block": block, "bytes": size + t.num_rows, "payload": sink.getvalue().to_pybytes()}
 
-    return store(gather_blocks(docs, block_bytes, emit, "block long, bytes long, payload binary"), "uncompressed")
+    blocks = gather_blocks(docs, block_bytes, emit, "block long, bytes long, payload binary")
+    if not bucketed:
+        return store(blocks, "uncompressed")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return store_by(blocks, "block", min(max(MIN_PARTS, total // PART_BYTES), MAX_BUCKETS))
 
 
 def open_block(payload: bytes) -> pa.Table:

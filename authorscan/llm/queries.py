@@ -22,7 +22,7 @@ def op1_quality_rules(spark, sf_dir):
 
 
 def op2_lm_scoring(spark, sf_dir):
-    return backoff_scores(read_table(spark, sf_dir, "documents"))
+    return backoff_scores(read_table(spark, sf_dir, "documents"), order=3)
 
 
 def op3_sharding(spark, sf_dir):

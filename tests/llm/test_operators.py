@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from authorscan.llm import (decontamination, line_dedup, lm_scoring, packing, quality_rules, sharding, simhash, substring_dedup,
+from authorscan.llm import blocks as B
+from authorscan.llm import (decontamination, line_dedup, lm_scoring, packing, quality_rules, queries, sharding, simhash, substring_dedup,
                             suffix_dedup, url_filters)
 from authorscan.llm.queries import URL_RULES, tokenizer_path
 from tests.llm import brute
@@ -67,6 +68,24 @@ def test_backoff_scores(spark, order):
     _same([(*tuple(r)[:4], round(r.logscore, 6)) for r in got], brute.backoff_scores(ROWS, order))
 
 
+def test_backoff_query_counts_trigrams(spark, tmp_path):
+    _df(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op2_lm_scoring(spark, str(tmp_path)).collect()
+    _same([(*tuple(r)[:4], round(r.logscore, 6)) for r in got], brute.backoff_scores(ROWS, 3))
+
+
+def test_backoff_rounds_of_longer_orders(spark):
+    got = lm_scoring.backoff_scores(_df(spark), 5, block_bytes=700).collect()
+    _same([(*tuple(r)[:4], round(r.logscore, 6)) for r in got], brute.backoff_scores(ROWS, 5))
+
+
+def test_meeting_blocks_moves_no_text(spark):
+    sealed = B.seal(_df(spark).select("doc_id", "text"), 700, bucketed=True)
+    met = B.meet_blocks(sealed, spark.createDataFrame([], B.PACKED), lambda b, t, got: t.select(["doc_id"]), "doc_id long")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and met.count() == len(ROWS)
+
+
 def test_simhash_groups(spark):
     _same(simhash.simhash_groups(_df(spark), 4, 4).collect(), brute.simhash_groups(ROWS))
 
