@@ -4,8 +4,9 @@ Rules are ``host/path`` with a verdict; one fits its host and all subdomains if
 the rule's path, and the longest wins. Hosts with a page that a rule allows are trusted seeds, hosts with a blocked page
 are blocked seeds. Over the host edges that absolute links in the pages make, trust is personalised PageRank from the trusted
 seeds, and distrust the same from the blocked seeds over the reversed edges (who links to blocked hosts).
-A host is blocked if its distrust is at least ``least`` (a share of all distrust) and larger than its trust. Ranks are
-whole numbers of 1e-12, so sums don't depend on their order. Edges are added up per pair of hosts before they
+Every seed gives the same mass, one, however many there are, so hosts that have no links with a host don't change its verdict.
+A host is blocked if its distrust is at least ``least`` (a share of one seed's mass) and larger than its trust. Ranks are
+whole numbers of 1e-10, so sums don't depend on their order. Edges are added up per pair of hosts before they
 meet ranks; ranks and edges are stored tables, so a hub's rows can be split in the join.
 
 Defined cases: a null url or one without ``://`` has the empty host and path, which no rule fits and which is no node of
@@ -15,14 +16,12 @@ pages without links, rules or seeds leave ranks at zero; other columns are ignor
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from authorscan.llm.blocks import store
 
-UNIT = 10 ** 12
+UNIT = 10 ** 10  # of one seed; a long holds the mass of 9e8 seeds on one host
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?is)\b(?:href|src|action)\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s<>]+)"
@@ -60,11 +59,9 @@ def _shares(pairs: DataFrame, kind: str, src: str, dst: str) -> DataFrame:
 
 
 def propagate(pairs: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(host, trust, distrust) in units of 1e-12 from ``seeds(kind, host)``; kinds are trust and distrust."""
+    """(host, trust, distrust) in units of 1e-10 of a seed from ``seeds(kind, host)``; kinds are trust and distrust."""
     edges = store(_shares(pairs, "trust", "src", "dst").unionByName(_shares(pairs, "distrust", "dst", "src")))
-    n = {r["kind"]: r["n"] for r in seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    start = reduce(lambda c, k: c.when(F.col("kind") == k, F.lit(int(UNIT * (1 - damping) / n[k]))), n, F).otherwise(0) if n else F.lit(0)
-    base = store(seeds.select("kind", "host", start.cast("long").alias("rank")))
+    base = store(seeds.select("kind", "host", F.lit(round(UNIT * (1 - damping))).cast("long").alias("rank")))
     rank = base
     for _ in range(rounds):
         moved = (edges.join(rank, (edges["kind"] == rank["kind"]) & (edges["src"] == rank["host"]))
@@ -81,7 +78,7 @@ def propagate(pairs: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
 
 def judge_pages(pages: DataFrame, rules: list[tuple[str, str]], least: float = 1e-4, damping: float = 0.85,
                 rounds: int = 20) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust (units of 1e-12) for each row of ``pages``."""
+    """page_id, host, path, rule, verdict, trust, distrust (units of 1e-10 of a seed) for each row of ``pages``."""
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = store(named.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "r.rule", "r.verdict"))
     seeds = store(ruled.where("rule is not null and host <> ''").select(

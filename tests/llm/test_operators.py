@@ -223,6 +223,19 @@ def test_url_filters(spark):
                    7: ("", "", None, "allow"), 8: ("x.example.com", "/de/y", "example.com/de/", "block"), 9: ("y.net", "", None, "allow")}
 
 
+def test_url_verdicts_do_not_depend_on_unrelated_seeds(spark):
+    pages = [(1, "http://a.net/", ""), (2, "http://e.org/z", '<a href="http://a.net/">'), (3, "http://t.org/fr/1", '<a href="http://u.org/">'),
+             (4, "http://u.org/z", '<a href="http://a.net/">')]
+    pad = [(k, f"http://p{k}.net/", "") for k in range(10, 3010)] + [(k, f"http://q{k}.org/fr/", "") for k in range(3010, 6010)]
+
+    def verdicts(rows):
+        out = url_filters.judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES)
+        return {r.page_id: (r.verdict, r.trust, r.distrust) for r in out.where("page_id < 10").collect()}
+
+    few = verdicts(pages)
+    assert few == verdicts(pages + pad) and {k: v[0] for k, v in few.items()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
