@@ -6,7 +6,8 @@ are blocked seeds. Over the host edges that absolute links in the pages make, tr
 seeds, and distrust the same from the blocked seeds over the reversed edges (who links to blocked hosts).
 Every seed gives the same mass, one, however many there are, so hosts that have no links with a host don't change its verdict.
 A host is blocked if its distrust is at least ``least`` (a share of one seed's mass) and larger than its trust. Ranks are
-whole numbers of 1e-10, so sums don't depend on their order. Edges are added up per pair of hosts before they
+whole numbers of 1e-10, so sums don't depend on their order, and only grow from round to round up to a bound, so that
+rounds end when no rank changes. Edges are added up per pair of hosts before they
 meet ranks; ranks and edges are stored tables, so a hub's rows can be split in the join.
 
 Defined cases: a null url or one without ``://`` has the empty host and path, which no rule fits and which is no node of
@@ -58,32 +59,30 @@ def _shares(pairs: DataFrame, kind: str, src: str, dst: str) -> DataFrame:
                                        (F.col("n") / F.col("total")).alias("share"))
 
 
-def propagate(pairs: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def propagate(pairs: DataFrame, seeds: DataFrame, damping: float = 0.85) -> DataFrame:
     """(host, trust, distrust) in units of 1e-10 of a seed from ``seeds(kind, host)``; kinds are trust and distrust."""
     edges = store(_shares(pairs, "trust", "src", "dst").unionByName(_shares(pairs, "distrust", "dst", "src")))
     base = store(seeds.select("kind", "host", F.lit(round(UNIT * (1 - damping))).cast("long").alias("rank")))
     rank = base
-    for _ in range(rounds):
+    settled = False
+    while not settled:
         moved = (edges.join(rank, (edges["kind"] == rank["kind"]) & (edges["src"] == rank["host"]))
                  .select(edges["kind"], F.col("dst").alias("host"), F.floor(F.col("rank") * damping * F.col("share")).alias("rank")))
         after = store(base.unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
         change = after.join(rank.withColumnRenamed("rank", "was"), ["kind", "host"], "left")
         settled = change.where("rank <> coalesce(was, 0)").isEmpty()
         rank = after
-        if settled:
-            break
     one = lambda k: F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0)).alias(k)
     return rank.groupBy("host").agg(one("trust"), one("distrust"))
 
 
-def judge_pages(pages: DataFrame, rules: list[tuple[str, str]], least: float = 1e-4, damping: float = 0.85,
-                rounds: int = 20) -> DataFrame:
+def judge_pages(pages: DataFrame, rules: list[tuple[str, str]], least: float = 1e-4, damping: float = 0.85) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust (units of 1e-10 of a seed) for each row of ``pages``."""
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = store(named.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "r.rule", "r.verdict"))
     seeds = store(ruled.where("rule is not null and host <> ''").select(
         F.when(F.col("verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host").distinct())
-    ranks = propagate(host_edges(pages.select(host_of(F.col("url")).alias("host"), "html")), seeds, damping, rounds)
+    ranks = propagate(host_edges(pages.select(host_of(F.col("url")).alias("host"), "html")), seeds, damping)
     bad = (F.col("distrust") >= int(least * UNIT)) & (F.col("distrust") > F.col("trust"))
     hosts = store(ranks.select(F.col("host").alias("h"), "trust", "distrust", F.when(bad, "block").otherwise("allow").alias("v")))
     return ruled.join(hosts, ruled["host"] == hosts["h"], "left").select(

@@ -236,6 +236,13 @@ def test_url_verdicts_do_not_depend_on_unrelated_seeds(spark):
     assert few == verdicts(pages + pad) and {k: v[0] for k, v in few.items()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
 
 
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    pages = [(0, "http://h0.net/", "")] + [(k, f"http://h{k}.org/", f'<a href="http://h{k - 1}.{"net" if k == 1 else "org"}/">') for k in range(1, 23)]
+    out = url_filters.judge_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()
+    assert {r.verdict for r in out} == {"block"}
+    assert all(abs(r.distrust / url_filters.UNIT - 0.15 * 0.85 ** r.page_id) < 1e-8 for r in out)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
