@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -53,6 +54,25 @@ def test_suffix_dedup(spark):
     _same(suffix_dedup.suffix_dedup(_df(spark), 40, 12, 15, block_bytes=900).collect(), brute.suffix_dedup(ROWS, 40))
 
 
+@pytest.mark.parametrize("hot", [1, 5])
+def test_suffix_dedup_deals_out_hot_digits(spark, hot):
+    phrase = "one frequent line of a licence"
+    rows = ROWS + [(1000 + k, f"{k * 7919:09d} {phrase} {k % 40 * 104729:09d} {'tail' * (k % 3)}") for k in range(120)]
+    _same(suffix_dedup.suffix_dedup(_df(spark, rows), 40, 12, 15, block_bytes=900, hot=hot).collect(), brute.suffix_dedup(rows, 40))
+
+
+def test_suffix_dedup_sends_a_hot_digit_to_many_partitions():
+    texts = pa.table({"doc_id": pa.array(range(200), pa.int64()),
+                      "text": [f"{k * 7919:060d} one frequent line of words, fifty bytes of it here {k * 104729:060d}" for k in range(200)]})
+    x = suffix_dedup._Runs(texts, 100, 30)
+    probe = [(rb.column("p").to_pylist(), rb.column("data").to_pylist()) for rb in suffix_dedup._probe(x, 0, 64, 100)]
+    known = [d for ps, ds in probe for p, data in zip(ps, ds, strict=True) for _, d in suffix_dedup._repeated(p, [0], [data], 50)]
+    sent = suffix_dedup._Sent(x, known, 100).send(x, 0, 64, 100)
+    assert max(suffix_dedup._Sent(x, known, 100).hot.key.size, 0) > 1000 and sum(p >= 64 for p in sent.column("p").to_pylist()) == 64
+    runs = np.unique(suffix_dedup._Sent(x, known, 100).key >> suffix_dedup.LOW, return_counts=True)[1]
+    assert not runs.size or runs.max() <= 50
+
+
 def test_line_dedup(spark):
     _same(line_dedup.line_dedup(_df(spark), 4, block_bytes=700).collect(), brute.line_dedup(ROWS, 4))
 
