@@ -159,8 +159,13 @@ def seal(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucketed: bool = False
     blocks = gather_blocks(docs, block_bytes, emit, "block long, bytes long, payload binary")
     if not bucketed:
         return store(blocks, "uncompressed")
+    return store_by(blocks, "block", bucket_number(docs))
+
+
+def bucket_number(docs: DataFrame) -> int:
+    """Buckets for blocks of ``docs``: one for each ``PART_BYTES`` of text."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return store_by(blocks, "block", min(max(MIN_PARTS, total // PART_BYTES), MAX_BUCKETS))
+    return min(max(MIN_PARTS, total // PART_BYTES), MAX_BUCKETS)
 
 
 def open_block(payload: bytes) -> pa.Table:
