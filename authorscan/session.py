@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +59,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_STAGES: list[tuple[str, str | None]] = []
+
+
+def note_stage(path: str, table: str | None = None) -> None:
+    """Remember a stage table (a folder, and its name in the catalog if it has one) for ``recorded_stages``."""
+    _STAGES.append((path, table))
+
+
+@contextmanager
+def recorded_stages() -> Iterator[list[tuple[str, str | None]]]:
+    """The list fills, when the block ends, with the stage tables written inside it."""
+    first, written = len(_STAGES), []
+    try:
+        yield written
+    finally:
+        written += _STAGES[first:]
+
+
+def remove_stages(spark: SparkSession, stages: list[tuple[str, str | None]]) -> None:
+    """Delete stage tables that nothing will read again."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path, table in stages:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    gone = set(stages)
+    _STAGES[:] = [s for s in _STAGES if s not in gone]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table under ``spark.checkpoint.dir`` and read it back.
 
@@ -68,6 +100,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     root = checkpoint_dir(spark).rstrip("/")
     path = f"{root}/stage-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    note_stage(path)
     return spark.read.parquet(path)
 
 
