@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from authorscan.session import checkpoint_dir
+from authorscan.session import checkpoint_dir, note_stage
 
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 16 << 20
@@ -50,6 +50,7 @@ def store(df: DataFrame, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    note_stage(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,9 +60,18 @@ def store_by(df: DataFrame, key: str, n: int) -> DataFrame:
     name = f"llm_{uuid.uuid4().hex}"
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
     df.write.format("parquet").option("path", path).option("compression", "uncompressed").bucketBy(n, key).saveAsTable(name)
+    note_stage(path, name)
     return spark.table(name)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # ------------------------------------------------------------------ packing
 
 
@@ -203,6 +213,22 @@ def meet_blocks(blocks: DataFrame, answers: DataFrame, fn, schema: str) -> DataF
     return left.cogroup(answers.select("block", "p", "data").groupBy("block")).applyInArrow(run, schema)
 
 
+def pick_rows(sealed: DataFrame, rows: DataFrame, schema: StructType, keep: bool = True) -> DataFrame:
+    """The rows of the documents in ``sealed`` that ``rows(block, nth)`` names, or without ``keep`` all others. Only the numbers move."""
+    out = arrow_schema(schema)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return out.empty_table()
+        t = open_block(left.column("payload")[0].as_py())
+        chosen = np.full(t.num_rows, not keep)
+        chosen[right.column("nth").to_numpy()] = keep
+        return t.filter(pa.array(chosen)).cast(out)
+
+    left = sealed.select("block", "payload").groupBy("block")
+    return left.cogroup(rows.select("block", "nth").groupBy("block")).applyInArrow(run, schema)
+
+
 def reduce_parts(packed: DataFrame, fn, schema: str = PACKED) -> DataFrame:
     """``fn(p, block ids, datas) -> [(block, data)]`` for each hash partition."""
 

@@ -10,12 +10,15 @@ one's postings, moved back by its offset in the window, are the candidates, and
 offset, is intersected with what is left. What survives all lists is an exact phrase match; what has
 each term within ``slop`` words of the rarest term's position is a proximity match of the item.
 
-The benchmark goes to the tasks in blocks of ``query_bytes`` of text by hash of the item (one block here), so it
-may be of any size: what is sent at once is bounded, and every block meets every segment.
+The benchmark's distinct texts go to the tasks in blocks of ``query_bytes`` by hash of the text (one block here), so it
+may be of any size and hold any number of copies: what is sent at once is bounded but for a single longer text, and every block
+meets every segment. Equal windows of a block are one query, and candidates are intersected ``CANDIDATES`` at a time, so text of
+few repeated words needs no more memory than other text. Item ids never leave Spark: a document's hits name texts, and the
+items of each distinct set of texts are joined and digested once.
 
 Defined cases: null texts have no words; a null item_id's windows hit words but it isn't listed among the items;
 repeated items count once; repeated rows of ``documents`` are judged each; an empty
-benchmark hits nothing; columns other than id and text pass unchanged in ``decontaminate``.
+benchmark hits nothing; all columns pass unchanged in ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from authorscan.llm import blocks as B
 
 U64 = np.uint64
 QUERY_BYTES = 4 << 20
+CANDIDATES = 1 << 19
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -43,27 +47,40 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 # -------------------------------------------------------------------- index
 
 
+INDEX = "block long, docs binary, terms binary, postings binary"
+
+
+def _segment(block: int, t: pa.Table, gap: int) -> dict:
+    """Positions of neighbouring documents lie ``gap`` apart at least."""
+    row, words = _words(B.texts_of(t))
+    position = (np.arange(words.size) + gap * row).astype(np.uint32)
+    order = np.argsort(words, kind="stable")
+    first = B.firsts(words[order])
+    n = np.diff(np.r_[first, words.size]).astype(np.uint32)
+    lists = position[order]
+    step = lists.copy()
+    step[1:] -= lists[:-1]
+    step[first] = lists[first]
+    ids = t.column("doc_id").combine_chunks().cast(pa.int64())
+    return {"block": block,
+            "docs": B.pack(ids.fill_null(0).to_numpy(), np.array(ids.is_null().to_numpy(zero_copy_only=False), np.uint8),
+                           np.bincount(row, minlength=t.num_rows).astype(np.int64)),
+            "terms": B.pack(B.delta(words[order][first]), n), "postings": B.pack(step)}
+
+
 def build_index(docs: DataFrame, gap: int, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
-    """(block, docs, terms, postings): segments. Positions of neighbouring documents lie ``gap`` apart at least."""
-
-    def segment(block: int, t: pa.Table) -> dict:
-        row, words = _words(B.texts_of(t))
-        position = (np.arange(words.size) + gap * row).astype(np.uint32)
-        order = np.argsort(words, kind="stable")
-        first = B.firsts(words[order])
-        n = np.diff(np.r_[first, words.size]).astype(np.uint32)
-        lists = position[order]
-        step = lists.copy()
-        step[1:] -= lists[:-1]
-        step[first] = lists[first]
-        ids = t.column("doc_id")
-        return {"block": block,
-                "docs": B.pack(ids.fill_null(0).to_numpy().astype(np.int64), np.array(ids.is_null().to_numpy(), np.uint8),
-                               np.bincount(row, minlength=t.num_rows).astype(np.int64)),
-                "terms": B.pack(B.delta(words[order][first]), n), "postings": B.pack(step)}
-
-    return B.store(B.gather_blocks(docs, block_bytes, segment, "block long, docs binary, terms binary, postings binary"),
-                   "uncompressed")
+    """(block, docs, terms, postings): segments of ``docs``."""
+    return B.store(B.gather_blocks(docs, block_bytes, lambda b, t: _segment(b, t, gap), INDEX), "uncompressed")
+
+
+def index_blocks(sealed: DataFrame, gap: int) -> DataFrame:
+    """``build_index`` of sealed documents; a segment has its block's number."""
+    out = B.arrow_schema(INDEX)
+
+    def segments(block, t):
+        yield pa.RecordBatch.from_pylist([_segment(block, t, gap)], schema=out)
+
+    return B.store(B.map_blocks(sealed, segments, INDEX), "uncompressed")
 
 
 def _open_terms(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -84,22 +101,35 @@ def _open_postings(data: bytes, n: np.ndarray) -> np.ndarray:
 
 
 class _Queries:
-    """Windows of one block of the benchmark: terms, where each window lies, and its item."""
+    """The distinct windows of one block of the benchmark: terms, where each window lies, and the texts that have it."""
 
     def __init__(self, rows: list, window: int):
-        row, words = _words([(r["text"] or "").encode() for r in rows])
+        row, words = _words([r["text"].encode() for r in rows])
         n = np.bincount(row, minlength=len(rows))
         begin = np.cumsum(n) - n
         size = np.minimum(n, window)
         some = np.flatnonzero(n)
         count = (n - size + 1)[some]
-        self.item = np.repeat(some, count)
-        step = np.arange(self.item.size) - np.repeat(np.cumsum(count) - count, count)
-        self.at, self.size = begin[self.item] + step, size[self.item]
+        text = np.repeat(some, count)
+        at = begin[text] + np.arange(text.size) - np.repeat(np.cumsum(count) - count, count)
+        same = B.span_hash(words, at, at + size[text])
+        _, first, of = np.unique(same, return_index=True, return_inverse=True)
+        self.at, self.size = at[first], size[text[first]]
+        has = np.unique(np.stack([of, text]), axis=1) if of.size else np.zeros((2, 0), np.int64)
+        self.text_of = np.searchsorted(has[0], np.arange(first.size + 1)), np.array([r["t"] for r in rows], np.int64)[has[1]]
+        self.number = np.arange(first.size)
         self.terms, self.word = np.unique(words, return_inverse=True)
-        self.ids = [r["item_id"] for r in rows]
         self.longest = int(self.size.max(initial=0))
 
+    def texts(self, windows: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, text) of the given (window, row) pairs, each once."""
+        begin, of = self.text_of
+        w, r = np.unique(np.stack([self.number[windows], rows]), axis=1) if windows.size else (windows, rows)
+        n = begin[w + 1] - begin[w]
+        i = np.repeat(begin[w] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        pairs = np.unique(np.stack([np.repeat(r, n), of[i]]), axis=1) if i.size else np.zeros((2, 0), np.int64)
+        return pairs[0], pairs[1]
+
     def plan(self, frequency: np.ndarray) -> None:
         """For every window its offsets from the rarest term to the most common (-1: none left)."""
         grid = np.arange(self.longest)[None, :]
@@ -111,20 +141,27 @@ class _Queries:
         self.offset = np.where(np.take_along_axis(inside, order, 1), order, -1)
         self.term = np.take_along_axis(term, order, 1)
         found = np.flatnonzero((often > 0).all(axis=1)) if self.longest else np.zeros(0, np.int64)
-        for name in ("item", "size", "offset", "term"):
+        for name in ("number", "size", "offset", "term"):
             setattr(self, name, getattr(self, name)[found])
 
 
-def _match(q: _Queries, terms: np.ndarray, n: np.ndarray, postings: np.ndarray, slop: int):
-    """(window, first position) of the phrase matches and (window, position) of the proximity matches."""
-    none = np.zeros(0, np.int64)
-    if not q.item.size or not terms.size:
-        return (none, none), (none, none)
+def _matches(q: _Queries, terms: np.ndarray, n: np.ndarray, postings: np.ndarray, slop: int):
+    """Batches of (window, first position) of the phrase matches and (window, position) of the proximity matches."""
+    if not q.number.size or not terms.size:
+        return
     k = np.minimum(np.searchsorted(terms, q.terms), terms.size - 1)
     here = np.where(terms[k] == q.terms, k, -1)
     term = np.where(q.term >= 0, here[q.term], -2)
     live = np.flatnonzero((term != -1).all(axis=1))
-    first = np.cumsum(n) - n
+    first, ends = np.cumsum(n) - n, np.cumsum(n[term[live, 0]])
+    at = 0
+    while at < live.size:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CANDIDATES, "right")))
+        yield _intersect(q, term, live[at:to], first, n, postings, slop)
+        at = to
+
+
+def _intersect(q, term, live, first, n, postings, slop):
     rarest = term[live, 0]
     count = n[rarest]
     w = np.repeat(live, count)
@@ -148,10 +185,12 @@ def _match(q: _Queries, terms: np.ndarray, n: np.ndarray, postings: np.ndarray,
     return (w[exact], p[exact] - q.offset[w[exact], 0]), (w, p)
 
 
-def _hits(index: DataFrame, items: DataFrame, window: int, slop: int, gap: int) -> DataFrame:
-    """(block, p, data): of each segment, the hit words and (row, item) pairs found for one block of the benchmark."""
-    q = _Queries(items.collect(), window)  # one block: at most about QUERY_BYTES of text
-    spark = index.sparkSession
+HITS = "block long, data binary"
+
+
+def _hits(index: DataFrame, texts: DataFrame, window: int, slop: int, gap: int) -> DataFrame | None:
+    """(block, data): of each segment, the hit words and the (row, text) pairs found for one block of the benchmark."""
+    q = _Queries(texts.collect(), window)  # at most about QUERY_BYTES of distinct texts
 
     def count(it):
         for rb in it:
@@ -168,86 +207,127 @@ def _hits(index: DataFrame, items: DataFrame, window: int, slop: int, gap: int)
     for r in index.select("terms").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
         frequency[r["t"]] = r["n"]  # one row for each term of this block of the benchmark
     q.plan(frequency)
-    if not q.item.size:
-        return spark.createDataFrame([], "block long, data binary")
+    if not q.number.size:
+        return None
+
+    def find(docs, data, lists):
+        _, _, words = B.unpack(docs, np.int64, np.uint8, np.int64)
+        ends = np.cumsum(words) + gap * np.arange(words.size)
+        terms, n = _open_terms(data)
+        none = np.zeros(0, np.int64)
+        hit, pairs = none, [(none, none), (none, none)]
+        for (w, p), near in _matches(q, terms, n, _open_postings(lists, n), slop):
+            size = q.size[w]
+            hit = np.union1d(hit, np.repeat(p - (np.cumsum(size) - size), size) + np.arange(int(size.sum())))
+            for k, (v, x) in enumerate(((w, p), near)):
+                new = q.texts(v, np.searchsorted(ends, x, "right"))
+                both = np.unique(np.concatenate([np.stack(pairs[k]), np.stack(new)], axis=1), axis=1)
+                pairs[k] = both[0], both[1]
+        return hit, pairs
 
     def match(it):
         for rb in it:
             rows = zip(*(rb.column(c).to_pylist() for c in ("block", "docs", "terms", "postings")), strict=True)
             for block, docs, data, lists in rows:
-                _, _, words = B.unpack(docs, np.int64, np.uint8, np.int64)
-                ends = np.cumsum(words) + gap * np.arange(words.size)
-                terms, n = _open_terms(data)
-                (w, p), (near, at) = _match(q, terms, n, _open_postings(lists, n), slop)
-                if not near.size:
+                hit, pairs = find(docs, data, lists)
+                if not pairs[1][0].size:
                     continue
-                size = q.size[w]
-                hit = np.unique(np.repeat(p - (np.cumsum(size) - size), size) + np.arange(int(size.sum())))
-                pairs = [np.unique(np.stack([np.searchsorted(ends, x, "right"), q.item[v]]), axis=1) for v, x in ((w, p), (near, at))]
-                data = [hit.astype(np.uint32), *pairs[0].astype(np.uint32), *pairs[1].astype(np.uint32)]
-                lens = b"".join(len(d := B.pack(x)).to_bytes(8, "little") + d for x in data)
+                parts = [B.pack(hit), *(B.pack(*p) for p in pairs)]
+                lens = b"".join(len(d).to_bytes(8, "little") + d for d in parts)
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "data": pa.array([lens], pa.binary())})
 
-    return index.mapInArrow(match, "block long, data binary"), q.ids
+    return index.mapInArrow(match, HITS)
 
 
 def _open_hits(data: bytes) -> list[np.ndarray]:
     out, at = [], 0
-    while at < len(data):
+    for columns in (1, 2, 2):
         n = int.from_bytes(data[at:at + 8], "little")
-        out.append(B.unpack(data[at + 8:at + 8 + n], np.uint32)[0].astype(np.int64))
+        out += B.unpack(data[at + 8:at + 8 + n], *[np.int64] * columns)
         at += 8 + n
     return out
 
 
+def _all_hits(index: DataFrame, texts: DataFrame, window: int, slop: int, gap: int, query_bytes: int) -> DataFrame:
+    """``_hits`` of all blocks of the benchmark's distinct ``texts(t, text)``."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-total // query_bytes)
+    hits = index.sparkSession.createDataFrame([], HITS)
+    for k in range(n):
+        found = _hits(index, texts.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k), window, slop, gap)
+        hits = hits if found is None else hits.unionByName(found)
+    return hits
+
+
+def _texts(benchmark: DataFrame) -> DataFrame:
+    distinct = benchmark.select("text").dropna().distinct()
+    return B.store(distinct.withColumn("t", F.monotonically_increasing_id()))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 20,
                   block_bytes: int = B.BLOCK_BYTES, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and n_near_items for each row of ``docs``."""
     gap = 2 * slop + window
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    index = build_index(docs, gap, block_bytes)
+    index = build_index(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), gap, block_bytes)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // query_bytes)
-    ids, hits = [], docs.sparkSession.createDataFrame([], "q int, block long, data binary")
-    for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        found = _hits(index, block, window, slop, gap)
-        if isinstance(found, DataFrame):
-            ids.append([])
-            continue
-        ids.append(found[1])
-        hits = hits.unionByName(found[0].withColumn("q", F.lit(k)))
-
-    def merge(left: pa.Table, right: pa.Table) -> pa.Table:
+    texts = _texts(items)
+    hits = _all_hits(index, texts, window, slop, gap, query_bytes)
+
+    def rows(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return empty.empty_table()
         doc_id, null, words = B.unpack(left.column("docs")[0].as_py(), np.int64, np.uint8, np.int64)
         ends = np.cumsum(words) + gap * np.arange(words.size)
-        hit, exact, near = [np.zeros(0, np.int64)], [set() for _ in words], [set() for _ in words]
-        for k, data in zip(right.column("q").to_pylist(), right.column("data").to_pylist(), strict=True):
-            h, row, item, near_row, near_item = _open_hits(data)
-            hit.append(h)
-            for into, r, i in ((exact, row, item), (near, near_row, near_item)):
-                for a, b in zip(r.tolist(), i.tolist(), strict=True):
-                    if ids[k][b] is not None:
-                        into[a].add(ids[k][b])
-        row = np.searchsorted(ends, np.unique(np.concatenate(hit)), "right")
-        n_hit = np.bincount(row, minlength=words.size)
-        return pa.table({
-            "doc_id": pa.array(doc_id, pa.int64(), mask=null.astype(bool)), "n_words": words, "n_hit": n_hit.astype(np.int64),
-            "n_items": pa.array([len(x) for x in exact], pa.int64()),
-            "items_sha256": [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in exact],
-            "contaminated": n_hit > 0, "n_near_items": pa.array([len(x) for x in near], pa.int64())})
-
-    schema = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
-              "n_near_items long")
-    empty = B.arrow_schema(schema)
-    return index.select("block", "docs").groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(
-        lambda left, right: merge(left, right) if left.num_rows else empty.empty_table(), schema)
+        got = [_open_hits(d) for d in right.column("data").to_pylist()]
+        hit = np.unique(np.concatenate([np.zeros(0, np.int64), *(g[0] for g in got)]))
+
+        def lists(k):
+            pairs = np.concatenate([np.zeros((2, 0), np.int64), *(np.stack(g[k:k + 2]) for g in got)], axis=1)
+            row, text = np.unique(pairs, axis=1) if pairs.size else pairs
+            return pa.ListArray.from_arrays(np.searchsorted(row, np.arange(words.size + 1)).astype(np.int32), pa.array(text, pa.int64()))
+
+        return pa.table({"doc_id": pa.array(doc_id, pa.int64(), mask=null.astype(bool)), "n_words": words,
+                         "n_hit": np.bincount(np.searchsorted(ends, hit, "right"), minlength=words.size).astype(np.int64),
+                         "exact": lists(1), "near": lists(3)}).cast(empty)
 
+    schema = "doc_id long, n_words long, n_hit long, exact array<long>, near array<long>"
+    empty = B.arrow_schema(schema)
+    found = B.store(index.select("block", "docs").groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(rows, schema))
+
+    touched = found.where(F.size("near") > 0)  # every phrase match is a proximity match
+    sets = touched.select(F.col("exact").alias("texts")).union(touched.select("near")).distinct()
+    ids = items.join(texts, "text").where("item_id IS NOT NULL").select("t", "item_id").distinct()
+    listed = sets.select("texts", F.explode("texts").alias("t")).join(ids, "t").groupBy("texts").agg(
+        F.sort_array(F.collect_set("item_id")).alias("items"))  # the ids that the digest of one document is of
+    digests = B.store(listed.select("texts", F.size("items").cast("long").alias("n"), F.sha2(F.concat_ws(",", "items"), 256).alias("sha")))
+    nothing = F.sha2(F.lit(""), 256)
+    exact, near = (digests.select(F.col("texts").alias(c), F.col("n").alias(f"n_{c}"), F.col("sha").alias(f"sha_{c}")) for c in ("exact", "near"))
+    some = touched.join(exact, "exact", "left").join(near, "near", "left").select(
+        "doc_id", "n_words", "n_hit", F.coalesce("n_exact", F.lit(0)).cast("long").alias("n_items"), F.coalesce("sha_exact", nothing).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near_items"))
+    zero = F.lit(0).cast("long")
+    clean = found.where(F.size("near") == 0).select("doc_id", "n_words", "n_hit", zero.alias("n_items"), nothing.alias("items_sha256"),
+                                                    F.lit(False).alias("contaminated"), zero.alias("n_near_items"))
+    return clean.unionByName(some)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 20, block_bytes: int = B.BLOCK_BYTES,
+                  query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """``docs`` with all columns, without the rows that hold a benchmark window; no text is shuffled."""
+    gap = 2 * slop + window
+    sealed = B.seal(docs, block_bytes, bucketed=True)
+    index = index_blocks(sealed, gap)
+    hits = _all_hits(index, _texts(benchmark), window, slop, gap, query_bytes)
+
+    def bad(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return none.empty_table()
+        _, _, words = B.unpack(left.column("docs")[0].as_py(), np.int64, np.uint8, np.int64)
+        ends = np.cumsum(words) + gap * np.arange(words.size)
+        hit = [_open_hits(d)[0] for d in right.column("data").to_pylist()]
+        nth = np.unique(np.searchsorted(ends, np.concatenate([np.zeros(0, np.int64), *hit]), "right"))
+        return pa.table({"block": np.full(nth.size, left.column("block")[0].as_py()), "nth": nth.astype(np.int32)}, schema=none)
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 20) -> DataFrame:
-    """``docs`` with all columns, without the rows that hold a benchmark window."""
-    rows = B.store(docs.withColumn("__row", F.monotonically_increasing_id()))
-    bad = contamination(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark, window, slop)
-    bad = B.store(bad.where("contaminated").select(F.col("doc_id").alias("__row")))
-    return rows.join(bad, "__row", "left_anti").drop("__row")
+    none = B.arrow_schema("block long, nth int")
+    rows = index.select("block", "docs").groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(bad, "block long, nth int")
+    return B.pick_rows(sealed, B.store(rows), docs.schema, keep=False)

@@ -160,7 +160,7 @@ def _earlier(p: int, ids: list[int], datas: list[bytes]):
 
 
 def _judge(docs: DataFrame, min_words: int, finish, schema, block_bytes: int) -> DataFrame:
-    sealed = B.seal(docs, block_bytes)
+    sealed = B.seal(docs, block_bytes, bucketed=True)
     parts = B.partitions(sealed)
     halves = B.map_blocks(sealed, lambda b, t: _probe(_Lines(t), b, min_words, parts), B.PACKED)
     known = B.store(B.reduce_parts(halves, _repeated), "uncompressed")

@@ -9,17 +9,15 @@ task however many rows a source has, and every group leaves one partly filled se
 ``pack_documents`` tokenizes whole texts, adds the end id, cuts documents into pieces of ``tokens`` (each a full
 sequence) and packs the remainders with ``vector_pack``.
 
-Tokenization: the pre-tokenizer's pattern cuts a text into pieces, and the ids of a piece are kept in a bounded
-cache, for most pieces recur; the tokenizer itself sees each piece once. Strings of special tokens in a text are ordinary text.
+Tokenization is that of ``tokens.ByteTokens``, of every whole text. Strings of special tokens in a text are ordinary text.
 
 Defined cases: null text is empty (the end id alone); repeated rows and ids are packed each; an example larger than a
 limit gets a sequence of its own; null sizes count as 0; an empty table gives an empty result; other columns are
-ignored.
+ignored by ``pack_documents`` and passed on by ``vector_pack``.
 """
 
 from __future__ import annotations
 
-import functools
 import zlib
 
 import numpy as np
@@ -29,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from authorscan.llm import blocks as B
+from authorscan.llm.tokens import byte_tokens
+from authorscan.session import shuffle_partitions
 
-# Unicode's White_Space property, which the tokenizer's \\s means
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-CACHE = 500_000
 END_ID = 1
 GROUP = 2000
+MAX_TASKS = 10_000
 
 
 # ------------------------------------------------------------------ packing
@@ -74,9 +72,11 @@ def vector_pack(examples: DataFrame, sizes: list[str], limits: list[int], group:
 
     Other columns pass unchanged; input columns named sequence_id or offset are replaced.
     """
-    rows = B.store(examples.drop("sequence_id", "offset").withColumn("__row", F.monotonically_increasing_id()))
+    examples = examples.drop("sequence_id", "offset")
+    key = B.free_name(examples, "__row")
+    rows = B.store(examples.withColumn(key, F.monotonically_increasing_id()))
     n_groups = max(1, -(-rows.count() // group))
-    narrow = rows.select("__row", *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(f"s{i}") for i, c in enumerate(sizes)])
+    narrow = rows.select(F.col(key).alias("__row"), *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(f"s{i}") for i, c in enumerate(sizes)])
     narrow = narrow.withColumn("g", F.pmod(F.xxhash64("__row"), F.lit(n_groups)))
     lim = np.array(limits, np.int64)
 
@@ -92,68 +92,32 @@ def vector_pack(examples: DataFrame, sizes: list[str], limits: list[int], group:
         offset[order] = before - np.repeat(before[first], np.diff(np.r_[first, seq.size]))
         return pa.table({"__row": t.column("__row"), "sequence_id": seq * n_groups + t.column("g").to_numpy(), "offset": offset})
 
-    placed = narrow.groupBy("g").applyInArrow(run, "__row long, sequence_id long, offset long")
-    return rows.join(placed, "__row").drop("__row")
+    # a group is little to read and much to pack: as many tasks as groups, not as many as its bytes ask for
+    dealt = narrow.repartition(max(shuffle_partitions(rows.sparkSession), min(n_groups, MAX_TASKS)), "g")
+    placed = dealt.groupBy("g").applyInArrow(run, "__row long, sequence_id long, offset long").withColumnRenamed("__row", key)
+    return rows.join(placed, key).drop(key)
 
 
 # ------------------------------------------------------------- tokenization
 
 
-class _Ids:
-    """Piece -> its ids, little-endian unsigned 32-bit, in two generations of at most about CACHE pieces: what
-    recurs moves on to the young one, the rest goes with the old one."""
-
-    def __init__(self, path: str):
-        self.young, self.old = {}, {}
-        import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.pieces = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]")
-                                    .replace(r"\s", f"[{SPACE}]")).findall
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(x) for x in texts]
-        if len(self.young) > CACHE:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = set().union(*cut).difference(young)
-        for p in new & old.keys():
-            young[p] = old[p]
-        new = list(new.difference(young))
-        for i in range(0, len(new), 4096):
-            some = new[i:i + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                young[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(young.__getitem__, c)) for c in cut]
-
-
-@functools.lru_cache(1)
-def _ids(path: str) -> _Ids:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return _Ids(path)
-
-
 def cut_documents(docs: DataFrame, path: str, tokens: int, end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, loss (tokens that have a token before them)."""
-    end = np.array([end_id], "<u4").tobytes()
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long"
     out = B.arrow_schema(schema)
 
     def run(it):
+        encode = byte_tokens(path).ids
         for rb in it:
             texts, ids = rb.column("text"), rb.column("doc_id")
             lens = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             cuts = [0, *(np.flatnonzero(np.diff(lens // (1 << 20))) + 1).tolist(), rb.num_rows] if rb.num_rows else []
             for i, j in zip(cuts, cuts[1:], strict=False):
                 rows = []
-                for d, raw in zip(ids.slice(i, j - i).to_pylist(), _ids(path).encode([x or "" for x in texts.slice(i, j - i).to_pylist()]), strict=True):
-                    raw += end
-                    n = len(raw) // 4
+                for d, text in zip(ids.slice(i, j - i).to_pylist(), texts.slice(i, j - i).to_pylist(), strict=True):
+                    got = encode(text) if text else []
+                    got.append(end_id)
+                    raw, n = np.array(got, "<u4").tobytes(), len(got)
                     for s in range(0, n, tokens):
                         m = min(tokens, n - s)
                         rows.append((d, s, m, zlib.crc32(raw[4 * s:4 * (s + m)]), n, m - (s == 0)))

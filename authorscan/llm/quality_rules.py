@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from authorscan.llm import blocks as B
 from authorscan.llm.blocks import store
 
 BUCKETS = 1 << 16
@@ -114,8 +115,8 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smooth:
     return store(counts.agg(F.transform(rows, lambda x: x["w"]).alias("w")))
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept in a struct ``q``."""
+def judge(docs: DataFrame, labels: DataFrame, into: str, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept in a struct ``into``."""
     model = weights(docs.select("doc_id", "text"), labels, buckets)
     hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
 
@@ -126,23 +127,25 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
         return F.struct(n.cast("long").alias("n_words"), repeated(h).alias("n_repeat_words"),
                         F.when(n > 0, total / (2 * n - 1) / SCALE).otherwise(F.lit(0.0)).alias("score"))
 
-    pair = F.struct(hashes.alias("h"), F.col("__model").alias("m"))
-    out = docs.withColumn("__model", model.scalar()).withColumn("__q", let(pair, of)).drop("__model")
-    out = out.withColumns({f"__{k}": v for k, v in base_columns(F.col("text")).items()})
-    failed = (F.col("__q.n_words") < 50) | (100 * F.col("__q.n_repeat_words") > 50 * F.col("__q.n_words"))
+    m, q, base = (B.free_name(docs, c) for c in ("__model", "__q", "__base"))
+    pair = F.struct(hashes.alias("h"), F.col(m).alias("m"))
+    out = docs.withColumn(m, model.scalar()).withColumn(q, let(pair, of)).drop(m)
+    out = out.withColumn(base, F.struct(*[v.alias(k) for k, v in base_columns(F.col("text")).items()]))
+    failed = (F.col(f"{q}.n_words") < 50) | (100 * F.col(f"{q}.n_repeat_words") > 50 * F.col(f"{q}.n_words"))
     return out.select(*docs.columns, F.struct(
-        F.col("__q.n_words"), F.col("__word_chars").alias("word_chars"), F.col("__n_symbols").alias("n_symbols"),
-        F.col("__n_dup_lines").alias("n_dup_lines"), F.col("__q.n_repeat_words"), F.col("__q.score"), failed.alias("base_failed"),
-        (~failed & (F.col("__q.score") >= threshold)).alias("kept")).alias("__judged"))
+        F.col(f"{q}.n_words"), *[F.col(f"{base}.{c}") for c in ("word_chars", "n_symbols", "n_dup_lines")], F.col(f"{q}.n_repeat_words"),
+        F.col(f"{q}.score"), failed.alias("base_failed"), (~failed & (F.col(f"{q}.score") >= threshold)).alias("kept")).alias(into))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """doc_id and the judgement's columns for each row of ``docs``."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
-    return judge(docs, labels, threshold, buckets).select("doc_id", *[F.col(f"__judged.{n}").alias(n) for n in names])
+    return judge(docs, labels, "judged", threshold, buckets).select("doc_id", *[F.col(f"judged.{n}").alias(n) for n in names])
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """The kept rows of ``docs``."""
-    return judge(docs, labels, threshold, buckets).where("__judged.kept").select(*docs.columns)
+    """The kept rows of ``docs``. The row number holds the filter above the judgement, which would be evaluated in both otherwise."""
+    into, number = B.free_name(docs, "__judged"), B.free_name(docs, "__number")
+    judged = judge(docs, labels, into, threshold, buckets).select("*", F.monotonically_increasing_id().alias(number))
+    return judged.where(f"{into}.kept").select(*docs.columns)

@@ -71,6 +71,25 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprints_of(texts: list[bytes], shingle: int) -> np.ndarray:
+    """Fingerprints of ``texts``; a bounded number of hashes is held at once, beside one text's."""
+    fps, got, sizes, held = [np.zeros(0, U64)], [], [], 0
+
+    def flush():
+        h = np.fromiter((x for g in got for x in g), U64, sum(sizes))
+        return majority(h, np.array(sizes, np.int64))
+
+    for x in texts:
+        got.append(shingle_hashes(x, shingle))
+        sizes.append(len(got[-1]))
+        held += sizes[-1]
+        if held > 200_000:
+            fps.append(flush())
+            got, sizes, held = [], [], 0
+    fps.append(flush())
+    return np.concatenate(fps)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """``docs`` (its columns but text) with ``fp``, the fingerprint as a long."""
     keep = [c for c in docs.columns if c != "text"]
@@ -79,24 +98,9 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
     def run(it):
         for rb in it:
-            t = pa.Table.from_batches([rb])
-            texts, fps, got, sizes = B.texts_of(t), [], [], []
-
-            def flush(got, sizes):
-                h = np.fromiter((x for g in got for x in g), U64, sum(sizes))
-                return majority(h, np.array(sizes, np.int64))
-
-            held = 0
-            for x in texts:
-                got.append(shingle_hashes(x, shingle))
-                sizes.append(len(got[-1]))
-                held += sizes[-1]
-                if held > 200_000:
-                    fps.append(flush(got, sizes))
-                    got, sizes, held = [], [], 0
-            fps.append(flush(got, sizes))
+            fps = fingerprints_of(B.texts_of(pa.Table.from_batches([rb])), shingle)
             cols = [rb.column(rb.schema.get_field_index(c)) for c in keep]
-            yield from pa.table([*cols, np.concatenate(fps).view(np.int64)], schema=out).to_batches()
+            yield from pa.table([*cols, fps.view(np.int64)], schema=out).to_batches()
 
     return docs.mapInArrow(run, schema)
 
@@ -218,11 +222,17 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFr
     return groups(rows, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each component, the one with the smallest doc_id (null ids last)."""
-    rows = B.store(docs.withColumn("__row", F.monotonically_increasing_id()))
-    narrow = rows.select("__row", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = groups(B.store(fingerprints(narrow, shingle)), radius)
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row")))
-    keep = B.store(found.groupBy("root").agg(first.alias("k")).select("k.__row"))
-    return rows.join(keep, "__row", "left_semi").drop("__row")
+def near_dedup(docs: DataFrame, shingle: int = 4, radius: int = 4, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest doc_id (null ids last); no text is shuffled."""
+    sealed = B.seal(docs, block_bytes, bucketed=True)
+
+    def rows_of(block, t):
+        fps = fingerprints_of(B.texts_of(t), shingle).view(np.int64)
+        ids = t.column("doc_id").combine_chunks().cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(fps.size, block)), pa.array(np.arange(fps.size, dtype=np.int32)), ids, pa.array(fps)],
+                                         names=["block", "nth", "doc_id", "fp"])
+
+    found = groups(B.store(B.map_blocks(sealed, rows_of, "block long, nth int, doc_id long, fp long")), radius)
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("block"), F.col("nth")))
+    keep = B.store(found.groupBy("root").agg(first.alias("k")).select("k.block", "k.nth"))
+    return B.pick_rows(sealed, keep, docs.schema)
