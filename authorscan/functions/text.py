@@ -55,11 +55,14 @@ def cache_key(c) -> Column:
     return strip_ws(F.lower(s))
 
 
-def sentence_pieces(c, mode: str = "punct") -> Column:
+def sentence_pieces(c, mode="punct") -> Column:
     """Raw sentence pieces of a text as ``ARRAY<STRING>``.
 
-    ``newline``: one piece per line; ``punct``: runs closed by . ! ?.
+    ``newline``: one piece per line; ``punct``: runs closed by . ! ?; or the user's own
+    splitter (P3), a function from the text column to such an array column.
     """
+    if callable(mode):
+        return mode(_c(c))
     if mode == "newline":
         return F.split(_c(c), "\n")
     if mode == "punct":

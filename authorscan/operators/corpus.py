@@ -8,7 +8,9 @@ split across tasks instead of landing in one window partition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from authorscan.functions.text import sentence_pieces, strip_ws, word_count
@@ -21,7 +23,7 @@ TAG_EDIT = "<edit>"
 
 
 def split_sentences(docs: DataFrame, id_cols=("doc_id",), text_col: str = "text",
-                    mode: str = "punct", keep=()) -> DataFrame:
+                    mode="punct", keep=()) -> DataFrame:
     """T3 + T1: one row per non-empty sentence piece.
 
     Output: ``id_cols, keep, pos (0-based piece index, gaps kept), text, length``.
@@ -35,28 +37,25 @@ def split_sentences(docs: DataFrame, id_cols=("doc_id",), text_col: str = "text"
             .drop("piece"))
 
 
-def _atom_struct(edited: int, kind: int, text: Column, length: Column, context: Column,
-                 tag: str, atom_no: Column, keep: Column) -> Column:
-    return F.struct(F.lit(edited).alias("edited"), F.lit(kind).alias("kind"), text.alias("text"),
-                    length.alias("length"), context.alias("context"), F.lit(tag).alias("tag"),
-                    atom_no.cast("int").alias("atom_no"), keep.alias("_keep"))
+@dataclass(frozen=True)
+class Setting:
+    """One version of every article: the original, or one with a budget of edits; ``max_sentences`` cuts it.
+    A column's name in place of a number takes each row's own."""
 
+    edited: int
+    edit_ratio: float | str | None = None
+    max_sentences: int | str | None = None
 
-def article_atoms(sentences: DataFrame, params: Params, doc_keys=("topic", "doc_id"),
-                  versions=(0, 1)) -> DataFrame:
-    """Article sentences -> tagged atoms.
+
+def candidate_atoms(sentences: DataFrame, params: Params, doc_keys=("topic", "doc_id")) -> DataFrame:
+    """F1 W1 (one scan): every sentence and alternative of min..max words, with the running counts from which
+    the atoms of any edit ratio and article size follow (:func:`atoms_of`).
 
     Input: one row per article sentence ``doc_keys, pos, sentence, alternative``
     (optional ``context``, ``alternative_context``), ``pos`` ordering the article.
-    Output: ``doc_keys, pos, edited, kind (0 original / 1 alternative), text, length,
-    context, tag, atom_no`` for every requested version (0 = original article,
-    1 = article with the budgeted edits inserted after their sentence).
-
-    The edit budget is floor(n_sentences * edit_ratio) over all sentences of the
-    article (or the number of alternatives when the ratio is None); only
-    alternatives with min..max words use it, in document order. With
-    ``max_sentences`` set, an article keeps the sentences up to the one at which
-    its atom count reaches the maximum and is dropped if it never does.
+    Output: ``doc_keys, pos, kind (0 original / 1 alternative), text, length, context, tag`` and the counts
+    ``orig_before, alt_before`` (eligible ones before the sentence), ``orig_here``, ``orig_total, alt_total``,
+    ``n_sentences, n_alternatives`` (all of the article).
     """
     lo, hi = params.min_tokens, params.max_tokens
     keys = list(doc_keys)
@@ -74,39 +73,63 @@ def article_atoms(sentences: DataFrame, params: Params, doc_keys=("topic", "doc_
         col = F.lit(1) if name == "_one" else F.col(name)
         accs += [Acc(f"{name}_b", "sum", col, "before"), Acc(f"{name}_f", "sum", col, "from")]
     s = scan(s, keys, ["pos"], accs)
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    n_sent = z("_one_b") + z("_one_f")
-    if params.edit_ratio is None:
-        budget = z("_has_alt_b") + z("_has_alt_f")
-    else:
-        budget = F.floor(n_sent * F.lit(float(params.edit_ratio)))
-    s = (s.withColumn("_budget", budget.cast("long"))
-         .withColumn("_inc", (F.col("_alt_ok") == 1) & (z("_alt_ok_b") + 1 <= F.col("_budget")))
-         .withColumn("_ob", z("_orig_ok_b"))
-         .withColumn("_eb", F.least(z("_alt_ok_b"), F.col("_budget")))
-         .withColumn("_otot", z("_orig_ok_b") + z("_orig_ok_f"))
-         .withColumn("_etot", F.least(z("_alt_ok_b") + z("_alt_ok_f"), F.col("_budget"))))
-    m = params.max_sentences
-    orig_ok = F.col("_orig_ok") == 1
-    structs = []
-    if 0 in versions:
-        before0 = F.col("_ob")
-        keep0 = orig_ok
-        if m:
-            keep0 = keep0 & (before0 < m) & (F.col("_otot") >= m)
-        structs.append(_atom_struct(0, 0, F.col("sentence"), F.col("_olen"), ctx, TAG_ORIGINAL,
-                                    before0 + 1, keep0))
-    if 1 in versions:
-        before1 = F.col("_ob") + F.col("_eb")
-        cut = F.lit(True)
-        if m:
-            cut = (before1 < m) & ((F.col("_otot") + F.col("_etot")) >= m)
-        structs.append(_atom_struct(1, 0, F.col("sentence"), F.col("_olen"), ctx, TAG_ORIGINAL,
-                                    before1 + 1, orig_ok & cut))
-        structs.append(_atom_struct(1, 1, F.col("alternative"), F.col("_alen"), actx, TAG_EDIT,
-                                    before1 + F.col("_orig_ok") + 1, F.col("_inc") & cut))
-    out = s.select(*keys, "pos", F.inline(F.filter(F.array(*structs), lambda a: a["_keep"])))
-    return out.drop("_keep")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    counts = [z("_orig_ok_b").alias("orig_before"), z("_alt_ok_b").alias("alt_before"),
+              F.coalesce("_orig_ok", F.lit(0)).cast("long").alias("orig_here"),
+              (z("_orig_ok_b") + z("_orig_ok_f")).alias("orig_total"), (z("_alt_ok_b") + z("_alt_ok_f")).alias("alt_total"),
+              (z("_one_b") + z("_one_f")).alias("n_sentences"), (z("_has_alt_b") + z("_has_alt_f")).alias("n_alternatives")]
+
+    def atom(kind, text, length, context, tag, keep):
+        return F.struct(F.lit(kind).alias("kind"), F.col(text).alias("text"), F.col(length).alias("length"),
+                        context.alias("context"), F.lit(tag).alias("tag"), (F.col(keep) == 1).alias("_keep"))
+
+    atoms = F.filter(F.array(atom(0, "sentence", "_olen", ctx, TAG_ORIGINAL, "_orig_ok"),
+                             atom(1, "alternative", "_alen", actx, TAG_EDIT, "_alt_ok")), lambda a: a["_keep"])
+    return s.select(*keys, "pos", *counts, F.inline(atoms)).drop("_keep")
+
+
+COUNTS = ("orig_before", "alt_before", "orig_here", "orig_total", "alt_total", "n_sentences", "n_alternatives")
+
+
+def atoms_of(candidates: DataFrame, settings: list[Setting]) -> DataFrame:
+    """The atoms of every setting, from the candidates' counts alone (no shuffle).
+
+    The counts make way for ``setting`` (its place in the list), ``edited`` and ``atom_no``. The edit budget is
+    floor(n_sentences * edit_ratio) over all sentences of the article (the number of alternatives when the
+    ratio is None); only eligible alternatives use it, in document order. With ``max_sentences`` an article
+    keeps the sentences up to the one at which its atom count reaches the maximum and is dropped if it never does.
+    """
+    alt = F.col("kind") == 1
+    versions = []
+    for i, s in enumerate(settings):
+        before, total, keep = F.col("orig_before"), F.col("orig_total"), ~alt
+        if s.edited:
+            budget = (F.col("n_alternatives") if s.edit_ratio is None
+                      else F.floor(F.col("n_sentences") * (F.col(s.edit_ratio) if isinstance(s.edit_ratio, str)
+                                                           else F.lit(float(s.edit_ratio)))).cast("long"))
+            before = before + F.least(F.col("alt_before"), budget)
+            total = total + F.least(F.col("alt_total"), budget)
+            keep = ~alt | (F.col("alt_before") + 1 <= budget)
+        if s.max_sentences:
+            most = F.col(s.max_sentences) if isinstance(s.max_sentences, str) else F.lit(int(s.max_sentences))
+            keep = keep & (before < most) & (total >= most)
+        no = (before + 1 + F.when(alt, F.col("orig_here")).otherwise(0)).cast("int")
+        versions.append(F.struct(F.lit(i).alias("setting"), F.lit(int(s.edited)).alias("edited"), no.alias("atom_no"), keep.alias("_keep")))
+    rest = [c for c in candidates.columns if c not in COUNTS]
+    return candidates.select(*rest, F.inline(F.filter(F.array(*versions), lambda v: v["_keep"]))).drop("_keep")
+
+
+def article_atoms(sentences: DataFrame, params: Params, doc_keys=("topic", "doc_id"),
+                  versions=(0, 1)) -> DataFrame:
+    """Article sentences -> tagged atoms of one edit ratio and size.
+
+    Output: ``doc_keys, pos, edited, kind (0 original / 1 alternative), text, length,
+    context, tag, atom_no`` for every requested version (0 = original article,
+    1 = article with the budgeted edits inserted after their sentence).
+    """
+    settings = [Setting(v, params.edit_ratio, params.max_sentences) for v in versions]
+    atoms = atoms_of(candidate_atoms(sentences, params, doc_keys), settings)
+    return atoms.select(*doc_keys, "pos", "edited", "kind", "text", "length", "context", "tag", "atom_no")
 
 
 def atoms_per_document(atoms: DataFrame, doc_keys=("topic", "doc_id", "edited")) -> DataFrame:

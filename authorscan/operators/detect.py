@@ -80,26 +80,29 @@ def sentence_pvalues(scored: DataFrame, grid: DataFrame, params: Params, keys=("
                      doc_keys=None) -> DataFrame:
     """M6: policy + grid lookup. Adds ``eff_length, comment, pvalue``."""
     d = apply_length_policy(scored, params, doc_keys=doc_keys)
-    return grid_pvalue(d, grid, keys, "eff_length", "response", "pvalue")
+    return grid_pvalue(d, grid, keys, "eff_length", "response", "pvalue", (params.min_len, params.max_len),
+                       params.log_space)
 
 
 def document_tests(pv: DataFrame, doc_keys, params: Params, p_col: str = "pvalue",
-                   documents: DataFrame | None = None) -> DataFrame:
+                   documents: DataFrame | None = None, weight_col: str | None = None) -> DataFrame:
     """Per-document HC (+threshold), Fisher (+p-value), minP, Bonferroni, n valid.
 
     HC: over the smallest imax = max(1, floor(gamma n + 0.5)) ordered p-values,
     max of the standardised excess; the threshold is p at the first maximiser.
     Tied p-values form one group whose best index is min(last index, imax)
     (the excess grows with i at fixed p). ``documents`` (the full list of
-    document keys) brings back documents without any valid atom with NULL tests.
+    document keys) brings back documents without any valid atom with NULL tests. A row stands for
+    ``weight_col`` p-values if that is given.
     """
     keys = list(doc_keys)
-    valid = pv.filter(F.col(p_col).isNotNull()).select(*keys, F.col(p_col).alias("p"))
+    weight = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
+    valid = pv.filter(F.col(p_col).isNotNull()).select(*keys, F.col(p_col).alias("p"), weight.alias("_w"))
     per_doc = (valid.groupBy(*keys)
-               .agg(F.count(F.lit(1)).alias("n_valid"),
-                    F.sum(-2 * F.log("p")).alias("fisher"),
+               .agg(F.sum("_w").alias("n_valid"),
+                    F.sum(F.col("_w") * -2 * F.log("p")).alias("fisher"),
                     F.min("p").alias("_pmin")))
-    groups = valid.groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("m"))
+    groups = valid.groupBy(*keys, "p").agg(F.sum("_w").alias("m"))
     groups = scan(groups, keys, ["p"], [Acc("c", "sum", "m", "upto"), Acc("_rest", "sum", "m", "after")])
     n = F.col("c") + F.coalesce("_rest", F.lit(0))
     g = (groups.withColumn("_n", n)
@@ -175,7 +178,7 @@ def hc_null_table(doc_scores: DataFrame, params: Params, keys=(), sizes=None) ->
     src = doc_scores if "_k" not in keys else doc_scores.withColumn("_k", F.lit(1))
     null = (src.filter(F.col("HC").isNotNull())
             .select(*keys, nearest_bucket("n_valid", sizes).alias("length"), F.col("HC").alias("x")))
-    p = params.with_(grid_points=HC_GRID[2], parity=False)
+    p = params.with_(grid_points=HC_GRID[2], parity=False, log_space=True)
     grid = fit_null_grid(null, p, keys=keys, xrange=HC_GRID[:2], fill_lengths=False)
     bounds = grid.groupBy(*keys).agg(F.min("length").alias("lmin"), F.max("length").alias("lmax"))
     return (grid.join(bounds, keys).withColumn("gamma", F.lit(float(params.gamma)))
@@ -193,5 +196,5 @@ def hc_pvalue(doc_scores: DataFrame, hc_null: DataFrame, keys=()) -> DataFrame:
     present = tbl.groupBy(*keys).agg(F.collect_set("length").alias("_present"))  # at most one value per bucket size
     near = F.array_min(F.transform("_present", lambda s: F.struct(F.abs(s - F.col("n_valid")).alias("d"), s.alias("s"))))
     d = d.join(present, list(keys), "left").withColumn("_bucket", near["s"])
-    out = grid_pvalue(d, tbl, keys, "_bucket", "HC", "HC_pvalue")
+    out = grid_pvalue(d, tbl, keys, "_bucket", "HC", "HC_pvalue", ())  # a bucket that is present needs no neighbour
     return out.drop("_bucket", "_present", "_k")

@@ -3,14 +3,14 @@ null-only thresholds and power (A13-A25, T10, T12, J7).
 
 The ROC needs running sums over thresholds inside one experiment key; they come
 from the skew-safe scan over pre-aggregated distinct scores. Threshold sweeps
-(steps of 0.01 / 0.1) bucket every score once — O(N + T) instead of re-scanning
-all rows for each of the T thresholds — and only the per-threshold table
-(bounded by range / step, not by the data) goes through a window.
+(steps of 0.01 / 0.1) bucket every score once instead of re-scanning all rows for
+each threshold, and only the steps at which a count changes become rows of a skew-safe
+scan: a range of any number of steps costs no more than the distinct scores.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from authorscan.operators.scan import Acc, scan
@@ -109,27 +109,23 @@ def threshold_sweep(df: DataFrame, y: str, score: str, keys=(), step: float = 0.
     src = df if keys else df.withColumn("_all", F.lit(1))
     src = src.filter(F.col(score).isNotNull())
     st = src.groupBy(*ks).agg(F.min(score).alias("mn"), F.max(score).alias("mx"))
-    st = st.withColumn("J", F.ceil((F.col("mx") - F.col("mn")) / F.lit(step)).cast("int"))
+    st = st.withColumn("J", F.ceil((F.col("mx") - F.col("mn")) / F.lit(step)))
     yy = F.col(y).cast("long")
-    b = src.join(st, ks).withColumn(
+    b = src.join(st.filter(F.col("J") > 0), ks).withColumn(
         "b", F.least(_sweep_index(F.col(score), F.col("mn"), F.lit(step), False), F.col("J") - 1))
     cnt = b.groupBy(*ks, "b").agg(F.sum(yy).alias("pos"), F.sum(1 - yy).alias("neg"))
-    tot = cnt.groupBy(*ks).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    scaf = (st.filter(F.col("J") > 0)
-            .select(*ks, "mn", F.explode(F.sequence(F.lit(0), F.col("J") - 1)).alias("b")))
-    t = scaf.join(cnt, [*ks, "b"], "left").join(tot, ks)
-    w = Window.partitionBy(*ks).orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    t = (t.withColumn("TP", F.coalesce(F.sum("pos").over(w), F.lit(0)))
-         .withColumn("FP", F.coalesce(F.sum("neg").over(w), F.lit(0))))
-    acc = (F.col("TP") + (F.col("N") - F.col("FP"))) / (F.col("P") + F.col("N"))
-    t = t.withColumn("acc", acc).withColumn("fpr", F.try_divide(F.col("FP").cast("double"), F.col("N")))
-    t = t.filter(F.col("acc") > 0)
+    # a step's counts are those of the next step that a score lies on: only such steps are rows
+    t = scan(cnt, ks, ["b"], [Acc("TP", "sum", "pos", "from"), Acc("FP", "sum", "neg", "from"), Acc("_p", "sum", "pos", "before"),
+                              Acc("_n", "sum", "neg", "before"), Acc("_prev", "max", "b", "before")])
+    P = F.col("TP") + F.coalesce("_p", F.lit(0))
+    N = F.col("FP") + F.coalesce("_n", F.lit(0))
+    t = t.select(*ks, (F.coalesce("_prev", F.lit(-1)) + 1).alias("j"), ((F.col("TP") + N - F.col("FP")) / (P + N)).alias("acc"),
+                 F.try_divide(F.col("FP").cast("double"), N).alias("fpr")).filter(F.col("acc") > 0)
     if max_fpr is not None:
         t = t.filter(F.col("fpr") <= max_fpr)
-    best = t.groupBy(*ks).agg(F.max_by(F.struct("b", "mn"), F.struct(F.col("acc"), -F.col("b"))).alias("bb"),
-                              F.max("acc").alias("best_acc"))
+    best = t.groupBy(*ks).agg(F.max_by("j", F.struct(F.col("acc"), -F.col("j"))).alias("_j"), F.max("acc").alias("best_acc"))
     out = (st.join(best, ks, "left")
-           .select(*ks, F.coalesce(F.col("bb.mn") + F.col("bb.b") * F.lit(step), F.col("mx")).alias("threshold"),
+           .select(*ks, F.coalesce(F.col("mn") + F.col("_j") * F.lit(step), F.col("mx")).alias("threshold"),
                    F.col("best_acc")))
     return out if keys else out.drop("_all")
 
@@ -156,18 +152,16 @@ def null_threshold(df: DataFrame, score: str, keys=(), step: float = 0.1, alpha:
     src = src.filter(F.col(score).isNotNull())
     st = (src.groupBy(*ks).agg(F.floor(F.min(score)).cast("double").alias("f"),
                                F.ceil(F.max(score)).cast("double").alias("c"), F.count(F.lit(1)).alias("n"))
-          .withColumn("J", F.ceil((F.col("c") - F.col("f")) / F.lit(step)).cast("int")))
-    b = src.join(st, ks).withColumn("b", F.least(_sweep_index(F.col(score), F.col("f"), F.lit(step), True),
-                                                 F.col("J") - 1))
+          .withColumn("J", F.ceil((F.col("c") - F.col("f")) / F.lit(step))))
+    b = src.join(st.filter(F.col("J") > 0), ks).withColumn("b", F.least(_sweep_index(F.col(score), F.col("f"), F.lit(step), True),
+                                                                        F.col("J") - 1))
     cnt = b.filter(F.col("b") >= 0).groupBy(*ks, "b").agg(F.count(F.lit(1)).alias("cnt"))
-    scaf = (st.filter(F.col("J") > 0)
-            .select(*ks, "f", "n", F.explode(F.sequence(F.lit(0), F.col("J") - 1)).alias("b")))
-    t = scaf.join(cnt, [*ks, "b"], "left")
-    w = Window.partitionBy(*ks).orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("FP", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-    ok = t.filter(F.col("FP") / F.col("n") <= alpha).groupBy(*ks).agg(F.min("b").alias("jb"), F.first("f").alias("f0"))
-    out = st.join(ok, ks, "left").select(
-        *ks, F.coalesce(F.col("f0") + F.col("jb") * F.lit(step), F.lit(-1.0)).alias("threshold"))
+    # the share falls only behind a step that a score lies on; the first step is one more candidate
+    after = scan(cnt, ks, ["b"], [Acc("FP", "sum", "cnt", "after")]).select(*ks, (F.col("b") + 1).alias("_at"), F.coalesce("FP", F.lit(0)).alias("FP"))
+    first = st.join(cnt.groupBy(*ks).agg(F.sum("cnt").alias("FP")), ks, "left").select(*ks, F.lit(0).cast("long").alias("_at"), F.coalesce("FP", F.lit(0)).alias("FP"))
+    t = after.unionByName(first).join(st, ks).filter((F.col("_at") < F.col("J")) & (F.col("FP") / F.col("n") <= alpha))
+    out = st.join(t.groupBy(*ks).agg(F.min("_at").alias("_j")), ks, "left").select(
+        *ks, F.coalesce(F.col("f") + F.col("_j") * F.lit(step), F.lit(-1.0)).alias("threshold"))
     return out if keys else out.drop("_all")
 
 

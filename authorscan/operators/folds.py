@@ -71,7 +71,7 @@ def fold_roles(articles: DataFrame, params: Params, group_keys=("topic",), order
     groups = idx.select(*keys, "n_rows").distinct()
     bt = block_table(groups, params, keys)
     if params.parity:
-        block = F.floor(F.col("row_index") / F.floor(F.col("n_rows") / k))
+        block = F.floor(F.try_divide(F.col("row_index"), F.floor(F.col("n_rows") / k)))  # NULL: fewer than k rows
     else:
         block = F.floor(F.col("row_index") * k / F.col("n_rows"))
     rows = idx.withColumn("block", block.cast("int"))
@@ -83,6 +83,33 @@ def fold_roles(articles: DataFrame, params: Params, group_keys=("topic",), order
     return j.withColumn("role", role).drop("is_test", "block_rows", "test_before", "n_null", "cut")
 
 
+def fold_segments(articles: DataFrame, params: Params, group_keys=("topic",),
+                  order=("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """W4 W5 W6 J5 without a row per (article, fold): ``(docs, roles)``.
+
+    A block is cut where the null part of some fold ends, so all articles of a segment share their role in every fold.
+    ``docs``: the articles with ``segment``; ``roles``: ``group_keys, segment, fold, role``, whose size depends on
+    k alone (at most k blocks of k + 1 segments in k folds). ``docs`` joined with ``roles`` equals :func:`fold_roles`.
+    """
+    keys = list(group_keys)
+    k = int(params.k_folds)
+    idx = indexed(articles, keys, order)
+    bt = block_table(idx.select(*keys, "n_rows").distinct(), params, keys)
+    bt = bt.withColumn("_end", F.when(~F.col("is_test"), F.col("test_before") + F.col("cut")))
+    ends = bt.groupBy(*keys, "block").agg(F.array_sort(F.collect_set("_end")).alias("_ends"))  # at most k of them
+    block = (F.floor(F.try_divide(F.col("row_index"), F.floor(F.col("n_rows") / k))) if params.parity
+             else F.floor(F.col("row_index") * k / F.col("n_rows"))).cast("int")
+    number = F.col("block") * (k + 1)
+    docs = (idx.withColumn("block", block).join(ends, [*keys, "block"])
+            .withColumn("segment", (number + F.size(F.filter("_ends", lambda e: e <= F.col("row_index")))).cast("int"))
+            .drop("_ends", "block"))
+    roles = (bt.join(ends, [*keys, "block"])
+             .withColumn("_s", F.explode(F.sequence(F.lit(0), F.size("_ends")))))
+    role = (F.when(F.col("is_test"), "test")
+            .when(F.col("_s") < F.array_position("_ends", F.col("_end")), "null").otherwise("calibration"))
+    return docs, roles.select(*keys, (number + F.col("_s")).cast("int").alias("segment"), "fold", role.alias("role"))
+
+
 def shuffled_split(df: DataFrame, group_keys, id_col: str, seed: int, split: float,
                    out: str = "part") -> DataFrame:
     """Seeded shuffle then an 80/20 prefix split.

@@ -32,6 +32,7 @@ class Params:
     length_policy: str = "max_available"  # truncate | ignore | max_available
     ignore_first_sentence: bool = False
     grid_points: int = 43
+    log_space: bool = True  # the grid holds -ln S (interpolated there) or S itself
     gamma: float = 0.15
     hc_variant: str = "2004"  # "2004" (p in the denominator) or "2008" (i/n)
     # evaluation

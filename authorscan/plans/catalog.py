@@ -23,7 +23,7 @@ from authorscan.operators import survival as S
 from authorscan.operators.scan import Acc, scan
 from authorscan.params import Params
 from authorscan.plans import oracle as O
-from authorscan.plans.experiments import ARTICLE_KEYS, Corpus, accuracy_run, detect_folds, power_run, scored_atoms
+from authorscan.plans.experiments import HC_BUCKETS, Corpus, accuracy_run, detect_folds, power_run
 from authorscan.sources import articles as A
 
 PARAMS = Params()
@@ -78,17 +78,17 @@ def register(name: str, ids: str, spec: list, sql: str | None):
 # ---------------------------------------------------------------- shared stages
 
 def _atoms(c: Corpus, ratio=RATIO, max_sentences=None) -> DataFrame:
-    p = PARAMS.with_(edit_ratio=ratio, max_sentences=max_sentences)
-    return _memo(c, ("atoms", ratio, max_sentences),
-                 lambda: C.article_atoms(c.flat_articles(), p, ARTICLE_KEYS).withColumn("edit_ratio", F.lit(float(ratio))))
+    settings = [C.Setting(v, ratio, max_sentences) for v in (0, 1)]
+    return C.atoms_of(c.candidates(PARAMS), settings).withColumn("edit_ratio", F.lit(float(ratio)))
 
 
 def _detect(c: Corpus) -> dict:
     return _memo(c, ("detect", RATIO), lambda: detect_folds(c, PARAMS, (RATIO,)))
 
 
-def _scored_text(c: Corpus) -> DataFrame:
-    return _memo(c, ("scored_text", RATIO), lambda: scored_atoms(c, PARAMS, (RATIO,), keep_text=True))
+def _scored(c: Corpus) -> DataFrame:
+    """Scored atoms of both versions (narrow: no text)."""
+    return _detect(c)["atoms"]
 
 
 def _labelled(c: Corpus) -> DataFrame:
@@ -263,6 +263,32 @@ def q_pair_long(spark, sf):
     return pairs_long(conversation_pairs(corpus(spark, sf).table("conversations")))
 
 
+@register("pair_registry", "S8 S9 O3", [("name", "string"), ("form", "string"), ("id", "bigint"), ("shuffle_rank", "bigint"), ("human_text", "string"),
+                                        ("machine_text", "string")],
+          """
+WITH pairs AS (SELECT u.conv_id, u.turn, u.text AS human_text, a.text AS machine_text, CASE WHEN u.conv_id % 5 = 0 THEN 'evaluation' ELSE 'train' END AS split
+               FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+               WHERE u.role = 'user' AND a.role = 'assistant'),
+one AS (SELECT name, 'split' AS form, row_number() OVER (PARTITION BY name ORDER BY conv_id, turn) - 1 AS id, human_text, machine_text
+        FROM pairs JOIN (VALUES ('wiki-intro', 'train'), ('wikibio', 'evaluation')) r(name, split) USING (split))
+SELECT name, form, id, row_number() OVER (PARTITION BY name ORDER BY md5(CAST(id AS VARCHAR) || '|42'), id) - 1 AS shuffle_rank, human_text, machine_text FROM one
+UNION ALL SELECT 'news-long', 'long', NULL, NULL, human_text, machine_text FROM pairs
+WHERE len(list_filter(regexp_extract_all(machine_text, '[^.!?\\n]+[.!?]*'), lambda q: regexp_matches(q, '[^ \\t\\n\\f\\r]'))) >= 15""")
+def q_pair_registry(spark, sf):
+    """Three registered datasets (two splits with ids and seeded shuffle, one long form) over the pairs of ``conversations``."""
+    from authorscan.sources.pairs import PAIR_REGISTRY, conversation_pairs, load_registered
+    base = (conversation_pairs(corpus(spark, sf).table("conversations")).drop("id")
+            .withColumn("split", F.when(F.col("conv_id") % 5 == 0, "evaluation").otherwise("train")))
+    out = []
+    for name, form in (("wiki-intro", "split"), ("wikibio", "split"), ("news-long", "long")):
+        machine, human, _ = PAIR_REGISTRY[name]
+        df = load_registered(base.withColumnsRenamed({"machine_text": machine, "human_text": human}), name, long_form=form == "long",
+                             shuffle=form != "long", order=["conv_id", "turn"])
+        none = {c: F.lit(None).cast("long") for c in ("id", "shuffle_rank") if c not in df.columns}
+        out.append(df.withColumns({"name": F.lit(name), "form": F.lit(form), **none}).select("name", "form", "id", "shuffle_rank", "human_text", "machine_text"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # ---------------------------------------------------------------- language model
 
 @register("ngram_counts", "M1", [("model", "string"), ("u", "string"), ("w", "string"), ("c_uw", "bigint"),
@@ -279,7 +305,38 @@ def q_ngram_counts(spark, sf):
                                      ("atom_no", "bigint"), ("kind", "bigint"), ("response", "double")],
           O.with_(*SQL_SCORED) + "\nSELECT topic, doc_id, edited, atom_no, kind, response FROM scored")
 def q_ngram_logloss(spark, sf):
-    return _scored_text(corpus(spark, sf))
+    return _scored(corpus(spark, sf))
+
+
+@register("truncate_logloss", "O5 M1 F8", [("topic", "string"), ("doc_id", "bigint"), ("edited", "bigint"), ("atom_no", "bigint"),
+                                           ("length", "bigint"), ("eff_length", "bigint"), ("comment", "string"), ("response", "double")],
+          O.with_(*SQL_LM, O.atoms_cte("whole", RATIO),
+                  f"atoms AS (SELECT * REPLACE (CASE WHEN length > 50 THEN array_to_string({O.words('text')}[1:50], ' ') ELSE text END AS text) FROM whole)",
+                  O.score_cte("ts", "atoms"), O.scored_cte("scored", "atoms"))
+          + "\nSELECT topic, doc_id, edited, atom_no, length, {0} AS eff_length, {1} AS comment, response FROM scored".format(*O.policy_sql(policy="truncate")))
+def q_truncate_logloss(spark, sf):
+    """The ``truncate`` policy: a long sentence is cut before it is scored."""
+    c, p = corpus(spark, sf), PARAMS.with_(length_policy="truncate")
+    return D.apply_length_policy(_memo(c, "detect_truncate", lambda: detect_folds(c, p, (RATIO,)))["atoms"], p)
+
+
+@register("context_logloss", "M1 W9", [("topic", "string"), ("doc_id", "bigint"), ("edited", "bigint"), ("atom_no", "bigint"), ("response", "double")],
+          O.with_(*SQL_LM, O.atoms_cte("atoms", RATIO), """ctx AS (SELECT topic, doc_id, edited, atom_no, model, text,
+       lag(text) OVER (PARTITION BY topic, doc_id, edited ORDER BY atom_no) AS context FROM atoms JOIN docmodel USING (doc_id))""",
+                  f"""cpair AS (SELECT topic, doc_id, edited, atom_no, model, unnest(t[1:len(t) - 1]) AS u, unnest(t[2:len(t)]) AS w FROM (
+    SELECT * EXCLUDE (text, context), CASE WHEN context IS NULL THEN {O.lm_tokens('text')}
+        ELSE list_concat(list_slice({O.lm_tokens('context')}, -1, -1), {O.lm_tokens('text')}) END AS t
+    FROM ctx) WHERE len(t) >= 2)""",
+                  f"""cnll AS (SELECT topic, doc_id, edited, atom_no, round(avg(-ln((coalesce(b.c_uw, 0) + {O.d(5.0)} * ((coalesce(un.c_w, 0) + {O.d(1.0)})
+        / coalesce(nv.denom, {O.d(1.0)}))) / (coalesce(pr.c_u, 0) + {O.d(5.0)}))), 9) AS response
+    FROM cpair p LEFT JOIN big b USING (model, u, w) LEFT JOIN pre pr USING (model, u) LEFT JOIN uni un USING (model, w) LEFT JOIN nv USING (model)
+    GROUP BY topic, doc_id, edited, atom_no)""")
+          + "\nSELECT a.topic, a.doc_id, a.edited, a.atom_no, n.response FROM atoms a LEFT JOIN cnll n USING (topic, doc_id, edited, atom_no)")
+def q_context_logloss(spark, sf):
+    """Each atom scored after the previous one of its document (conditioned on, not scored)."""
+    c = corpus(spark, sf)
+    atoms = _atoms(c).select("topic", "doc_id", "model", "edited", "atom_no", "text")
+    return L.score_bigram(C.previous_context(atoms, ("topic", "doc_id", "edited"), "atom_no"), c.lm(), context_col="context")
 
 
 def _cache_table(c: Corpus) -> DataFrame:
@@ -296,21 +353,21 @@ def _cache_table(c: Corpus) -> DataFrame:
     return _memo(c, "cache", build)
 
 
-SQL_CACHE = [*SQL_SCORED, "trs AS (SELECT * FROM sentences WHERE text IN "
-             "(SELECT text FROM sentences GROUP BY text HAVING count(DISTINCT doc_id) > 1))",
+SQL_KEY = O.strip("lower(trim(" + O.strip("regexp_replace(text, '\\\\[nrt]', '', 'g')") + ", ''''))")
+SQL_CACHE = [*SQL_SCORED, "shared AS (SELECT md5(text) AS tid FROM sentences GROUP BY 1 HAVING min(doc_id) < max(doc_id))",
+             "trs AS (SELECT * FROM sentences WHERE md5(text) IN (SELECT tid FROM shared))",
              O.score_cte("cs", "trs"),
-             "cache AS (SELECT {k} AS sent_key, min(response) AS response FROM cs WHERE response IS NOT NULL "
-             "GROUP BY 1)".format(k=O.strip("lower(trim(" + O.strip("regexp_replace(text, '\\\\[nrt]', '', 'g')")
-                                          + ", ''''))"))]
-SENT_KEY_SQL = O.strip("lower(trim(" + O.strip("regexp_replace(a.text, '\\\\[nrt]', '', 'g')") + ", ''''))")
+             f"cache AS (SELECT {SQL_KEY} AS sent_key, min(response) AS response FROM cs JOIN cs_tok USING (tid, model) "
+             "WHERE response IS NOT NULL GROUP BY 1)",
+             f"keyed AS (SELECT *, {SQL_KEY} AS sent_key FROM scored)"]
 
 
 @register("cache_lookup", "J1", [("topic", "string"), ("doc_id", "bigint"), ("edited", "bigint"),
                                  ("atom_no", "bigint"), ("from_cache", "boolean"), ("response", "double")],
-          O.with_(*SQL_CACHE) + f"""
+          O.with_(*SQL_CACHE) + """
 SELECT a.topic, a.doc_id, a.edited, a.atom_no, c.response IS NOT NULL AS from_cache,
        coalesce(c.response, a.response) AS response
-FROM scored a LEFT JOIN cache c ON c.sent_key = {SENT_KEY_SQL}""")
+FROM keyed a LEFT JOIN cache c USING (sent_key)""")
 def q_cache_lookup(spark, sf):
     c = corpus(spark, sf)
     atoms = _atoms(c).select("topic", "doc_id", "model", "edited", "atom_no", "text")
@@ -320,9 +377,9 @@ def q_cache_lookup(spark, sf):
 
 @register("cache_misses", "J1", [("topic", "string"), ("doc_id", "bigint"), ("edited", "bigint"),
                                  ("atom_no", "bigint"), ("sent_key", "string")],
-          O.with_(*SQL_CACHE) + f"""
-SELECT a.topic, a.doc_id, a.edited, a.atom_no, {SENT_KEY_SQL} AS sent_key FROM atoms a
-WHERE {SENT_KEY_SQL} NOT IN (SELECT sent_key FROM cache)""")
+          O.with_(*SQL_CACHE) + """
+SELECT a.topic, a.doc_id, a.edited, a.atom_no, a.sent_key FROM keyed a
+WHERE NOT EXISTS (SELECT 1 FROM cache c WHERE c.sent_key = a.sent_key)""")
 def q_cache_misses(spark, sf):
     c = corpus(spark, sf)
     return L.cache_misses(_atoms(c), _cache_table(c))
@@ -339,7 +396,7 @@ s AS (SELECT *, sum(cnt) OVER (PARTITION BY length ORDER BY x ROWS BETWEEN CURRE
              sum(cnt) OVER (PARTITION BY length) AS n FROM vc)
 SELECT length, x, cnt, n, ge / n AS surv, -ln(ge / n) AS z FROM s""")
 def q_null_survival(spark, sf):
-    sc = _scored_text(corpus(spark, sf)).filter(F.col("edited") == 0)
+    sc = _scored(corpus(spark, sf)).filter(F.col("edited") == 0)
     return S.survival_1d(S.null_sample(sc), ["length"])
 
 
@@ -347,7 +404,20 @@ def q_null_survival(spark, sf):
                                             ("length", "bigint"), ("g", "bigint"), ("xg", "double"), ("z", "double")],
           O.with_(*SQL_DETECT) + f"\nSELECT {KS}, length, g, xg, z FROM grid")
 def q_null_grid(spark, sf):
-    return _detect(corpus(spark, sf))["grid"]
+    return _detect(corpus(spark, sf))["grid"].withColumn("edit_ratio", F.lit(RATIO))
+
+
+SQL_LINEAR = [x.replace(O.grid_cte("nul", KS), O.grid_cte("nul", KS, log=False)).replace("exp(-zi)", "zi") for x in SQL_DETECT[:-3]]
+
+
+@register("linear_pvalue", "A3 J2", [("topic", "string"), ("edit_ratio", "double"), ("fold", "bigint"), ("doc_id", "bigint"), ("edited", "bigint"),
+                                     ("atom_no", "bigint"), ("pvalue", "double")],
+          O.with_(*SQL_LINEAR) + f"\nSELECT {DKS}, atom_no, pvalue FROM pv")
+def q_linear_pvalue(spark, sf):
+    """P-values from grids in linear space (S itself is interpolated)."""
+    d, p = _detect(corpus(spark, sf)), PARAMS.with_(log_space=False)
+    grid = S.fit_fold_grids(d["null_counts"], d["segments"][1], p).withColumn("edit_ratio", F.lit(RATIO))
+    return D.sentence_pvalues(d["pvalues_report"].drop("pvalue", "eff_length", "comment"), grid, p, FK)
 
 
 PV_SPEC = [("topic", "string"), ("edit_ratio", "double"), ("fold", "bigint"), ("doc_id", "bigint"),
@@ -358,7 +428,7 @@ PV_SPEC = [("topic", "string"), ("edit_ratio", "double"), ("fold", "bigint"), ("
 @register("grid_pvalue", "J2 M6 P2 F8 F9", PV_SPEC,
           O.with_(*SQL_DETECT) + f"\nSELECT {DKS}, atom_no, eff_length, comment, pvalue FROM pv")
 def q_grid_pvalue(spark, sf):
-    return _detect(corpus(spark, sf))["pvalues"]
+    return _detect(corpus(spark, sf))["pvalues_report"]
 
 
 @register("exact_pvalue", "J3", PV_SPEC, O.with_(*SQL_DETECT) + f""",
@@ -381,8 +451,8 @@ SELECT p.topic, p.edit_ratio, p.fold, p.doc_id, p.edited, p.atom_no, p.eff_lengt
 FROM pol p LEFT JOIN ez USING (topic, edit_ratio, fold, doc_id, edited, atom_no)""")
 def q_exact_pvalue(spark, sf):
     d = _detect(corpus(spark, sf))
-    pol = d["pvalues"].drop("pvalue")
-    return S.exact_pvalue(pol, d["null"], FK, "eff_length", "response", ("doc_id", "edited", "atom_no"))
+    pol = d["pvalues_report"].drop("pvalue")
+    return S.exact_pvalue(pol, d["null"].withColumn("edit_ratio", F.lit(RATIO)), FK, "eff_length", "response", ("doc_id", "edited", "atom_no"))
 
 
 def _policy_sql_union() -> str:
@@ -413,7 +483,7 @@ SELECT topic, doc_id, edited, atom_no, CASE WHEN atom_no = first THEN NULL ELSE
        CASE WHEN atom_no = first THEN 'ignored (first sentence)' ELSE com0 END AS comment FROM pol""".format(
               *O.policy_sql()))
 def q_first_sentence(spark, sf):
-    sc = _scored_text(corpus(spark, sf))
+    sc = _scored(corpus(spark, sf))
     return D.apply_length_policy(sc, PARAMS.with_(ignore_first_sentence=True),
                                  doc_keys=("topic", "doc_id", "edited"))
 
@@ -428,19 +498,19 @@ DOC_SPEC = [("topic", "string"), ("edit_ratio", "double"), ("fold", "bigint"), (
                                                  ("hc_threshold", "double")],
           O.with_(*SQL_DETECT) + f"\nSELECT {DKS}, n_valid2 AS n_valid, HC, hc_threshold FROM tests_all")
 def q_doc_hc(spark, sf):
-    return _detect(corpus(spark, sf))["tests"]
+    return _detect(corpus(spark, sf))["tests_report"]
 
 
 @register("doc_fisher", "A7", [*DOC_SPEC, ("fisher", "double"), ("fisher_pvalue", "double")],
           O.with_(*SQL_DETECT) + f"\nSELECT {DKS}, fisher, fisher_pvalue FROM tests_all")
 def q_doc_fisher(spark, sf):
-    return _detect(corpus(spark, sf))["tests"]
+    return _detect(corpus(spark, sf))["tests_report"]
 
 
 @register("doc_minp_bonf", "A8 A9", [*DOC_SPEC, ("minP", "double"), ("bonf", "double")],
           O.with_(*SQL_DETECT) + f"\nSELECT {DKS}, minP, bonf FROM tests_all")
 def q_doc_minp_bonf(spark, sf):
-    return _detect(corpus(spark, sf))["tests"]
+    return _detect(corpus(spark, sf))["tests_report"]
 
 
 @register("doc_hc_mask", "W12", [*DOC_SPEC, ("atom_no", "bigint"), ("pvalue", "double"), ("mask", "boolean")],
@@ -449,7 +519,7 @@ SELECT pv.topic, pv.edit_ratio, pv.fold, pv.doc_id, pv.edited, pv.atom_no, pv.pv
        CASE WHEN pv.pvalue IS NOT NULL AND t.hc_threshold IS NOT NULL THEN pv.pvalue <= t.hc_threshold END AS mask
 FROM pv LEFT JOIN tests t USING ({DKS})""")
 def q_doc_hc_mask(spark, sf):
-    return _detect(corpus(spark, sf))["masked"]
+    return _detect(corpus(spark, sf))["masked_report"]
 
 
 @register("doc_top_sentences", "O6", [*DOC_SPEC, ("atom_no", "bigint"), ("pvalue", "double"), ("rank", "bigint")],
@@ -458,7 +528,7 @@ rk AS (SELECT {DKS}, atom_no, pvalue, row_number() OVER (PARTITION BY {DKS} ORDE
        FROM pv WHERE pvalue IS NOT NULL)
 SELECT * FROM rk WHERE rank <= 3""")
 def q_doc_top_sentences(spark, sf):
-    return D.top_sentences(_detect(corpus(spark, sf))["pvalues"], DK, 3)
+    return D.top_sentences(_detect(corpus(spark, sf))["pvalues_report"], DK, 3)
 
 
 @register("doc_precision_recall", "A12 A11", [*DOC_SPEC, ("edit_rate", "double"), ("precision", "double"),
@@ -473,7 +543,7 @@ SELECT {DKS}, edit_rate, CASE WHEN mm > 0 THEN tp / mm END AS precision,
        CASE WHEN ee > 0 THEN tp / ee END AS recall FROM agg""")
 def q_doc_precision_recall(spark, sf):
     d = _detect(corpus(spark, sf))
-    return D.precision_recall(d["masked"], DK)
+    return D.precision_recall(d["masked_report"], DK)
 
 
 @register("doc_stats_responses", "M5 P4", [("doc_id", "bigint"), ("n_valid", "bigint"), ("HC", "double"),
@@ -501,17 +571,28 @@ def q_doc_stats_responses(spark, sf):
     return D.document_tests(pv, ["doc_id"], PARAMS)
 
 
-# ---------------------------------------------------------------- HC null
+@register("event_windows", "X2 P4 M5", [("window_start", "string"), ("user_id", "bigint"), ("n_valid", "bigint"), ("HC", "double"),
+                                        ("hc_threshold", "double"), ("fisher", "double"), ("fisher_pvalue", "double"), ("minP", "double"), ("bonf", "double")],
+          O.with_("ev AS (SELECT ts, user_id, event_type, user_id % 2 AS half, CAST(1 AS INTEGER) AS eff_length, value AS response FROM events)",
+                  "nul AS (SELECT 1 - user_id % 2 AS half, event_type, CAST(1 AS INTEGER) AS length, value AS x FROM events "
+                  "WHERE value IS NOT NULL AND event_type IS NOT NULL AND user_id IS NOT NULL)",
+                  O.grid_cte("nul", "half, event_type"),
+                  O.pvalue_cte("pw", "ev", "half, event_type", "gg.half = j.half AND gg.event_type = j.event_type"),
+                  "pe AS (SELECT date_trunc('day', ts) AS window_start, user_id, round(pvalue, 9) AS pvalue FROM pw WHERE pvalue IS NOT NULL)",
+                  O.tests_cte("pe", "window_start, user_id"))
+          + "\nSELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, user_id, n_valid, HC, hc_threshold, fisher, fisher_pvalue, minP, bonf FROM tests")
+def q_event_windows(spark, sf):
+    """The batch form of the event stream: every user's days, tested against the null of their event types."""
+    from authorscan.streaming.event_windows import event_null_grid, event_pvalues, window_counts, window_tests
+    events = corpus(spark, sf).table("events")
+    pv = event_pvalues(events, event_null_grid(events, PARAMS))
+    out = window_tests(window_counts(pv), PARAMS)
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
-HCN_SIZES = (5, 10, 20, 40, 80)
 
+# ---------------------------------------------------------------- HC null
 
-def _hc_null(c: Corpus) -> DataFrame:
-    def build():
-        ds = _detect(c)["doc_scores"]
-        null_docs = ds.filter((F.col("edited") == 0) & (F.col("role") == "calibration"))
-        return D.hc_null_table(null_docs, PARAMS, keys=FK, sizes=HCN_SIZES)  # a fold's own calibration documents
-    return _memo(c, "hc_null", build)
+HCN_SIZES = HC_BUCKETS
 
 
 def _bucket_sql(col: str) -> str:
@@ -531,21 +612,43 @@ SQL_HCN = [*SQL_DETECT, f"""hnull AS (SELECT {KS}, {_bucket_sql('t.n_valid2')} A
                                  ("length", "bigint"), ("g", "bigint"), ("xg", "double"), ("z", "double")],
           O.with_(*SQL_HCN) + f"\nSELECT {KS}, length, g, xg, z FROM hgrid")
 def q_hc_null(spark, sf):
-    return _hc_null(corpus(spark, sf))
+    return _detect(corpus(spark, sf))["hc_null"].withColumn("edit_ratio", F.lit(RATIO))
+
+
+SQL_HCP = [*SQL_HCN, f"hpres AS (SELECT DISTINCT {KS}, length FROM hgrid)",
+           "tested AS (SELECT * FROM tests_all WHERE role = 'test')",  # the others make the null
+           f"hnear AS (SELECT {DKS}, arg_min(h.length, row(abs(h.length - t.n_valid2), h.length)) AS eff_length "
+           f"FROM tested t JOIN hpres h USING ({KS}) GROUP BY {DKS})",
+           f"hsrc AS (SELECT {DKS}, t.n_valid2 AS n_valid, t.HC, n.eff_length, t.HC AS response "
+           f"FROM tested t LEFT JOIN hnear n USING ({DKS}))",
+           O.pvalue_cte("hp", "hsrc", KS, "gg.topic = j.topic AND gg.edit_ratio = j.edit_ratio AND gg.fold = j.fold",
+                        grid="hgrid")]
 
 
 @register("hc_pvalue", "J4", [*DOC_SPEC, ("n_valid", "bigint"), ("HC", "double"), ("HC_pvalue", "double")],
-          O.with_(*SQL_HCN, f"hpres AS (SELECT DISTINCT {KS}, length FROM hgrid)",
-                  f"hnear AS (SELECT {DKS}, arg_min(h.length, row(abs(h.length - t.n_valid2), h.length)) AS eff_length "
-                  f"FROM tests_all t JOIN hpres h USING ({KS}) GROUP BY {DKS})",
-                  f"hsrc AS (SELECT {DKS}, t.n_valid2 AS n_valid, t.HC, n.eff_length, t.HC AS response "
-                  f"FROM tests_all t LEFT JOIN hnear n USING ({DKS}))",
-                  O.pvalue_cte("hp", "hsrc", KS, "gg.topic = j.topic AND gg.edit_ratio = j.edit_ratio AND gg.fold = j.fold",
-                               grid="hgrid"))
-          + f"\nSELECT {DKS}, n_valid, HC, pvalue AS HC_pvalue FROM hp")
+          O.with_(*SQL_HCP) + f"\nSELECT {DKS}, n_valid, HC, pvalue AS HC_pvalue FROM hp")
 def q_hc_pvalue(spark, sf):
-    c = corpus(spark, sf)
-    return D.hc_pvalue(_detect(c)["tests"], _hc_null(c), FK)
+    return _detect(corpus(spark, sf))["doc_scores"].filter(F.col("role") == "test")
+
+
+SQL_PR = [f"""mk AS (SELECT pv.*, coalesce(pv.pvalue IS NOT NULL AND t.hc_threshold IS NOT NULL AND pv.pvalue <= t.hc_threshold,
+                             false) AS m FROM pv LEFT JOIN tests t USING ({DKS}))""",
+          f"""agg AS (SELECT {DKS}, sum(CASE WHEN m AND tag = '<edit>' THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN m THEN 1 ELSE 0 END) AS mm,
+               sum(CASE WHEN tag = '<edit>' THEN 1 ELSE 0 END) AS ee,
+               avg(CASE WHEN tag = '<edit>' THEN 1.0 ELSE 0.0 END) AS edit_rate FROM mk GROUP BY {DKS})"""]
+
+
+@register("doc_scores", "S14 M9 J4 T13 A10 A11 A12", [
+    *DOC_SPEC, ("role", "string"), ("name", "string"), ("model", "string"), ("n_valid", "bigint"), ("edit_rate", "double"), ("HC", "double"),
+    ("HC_pvalue", "double"), ("precision", "double"), ("recall", "double"), ("fisher", "double"), ("fisher_pvalue", "double"), ("minP", "double")],
+          O.with_(*SQL_HCP, *SQL_PR) + f"""
+SELECT t.topic, t.edit_ratio, t.fold, t.doc_id, t.edited, t.role,
+       'article_' || CAST(t.doc_id AS VARCHAR) || '_sentences_' || CASE WHEN t.edited = 1 THEN 'edited' ELSE 'original' END AS name, 'bigram' AS model,
+       t.n_valid2 AS n_valid, agg.edit_rate, t.HC, hp.pvalue AS HC_pvalue, CASE WHEN mm > 0 THEN tp / mm END AS precision,
+       CASE WHEN ee > 0 THEN tp / ee END AS recall, t.fisher, t.fisher_pvalue, t.minP
+FROM tests_all t LEFT JOIN agg USING ({DKS}) LEFT JOIN hp USING ({DKS})""")
+def q_doc_scores(spark, sf):
+    return _detect(corpus(spark, sf))["doc_scores"]
 
 
 # ---------------------------------------------------------------- folds
@@ -555,7 +658,7 @@ def q_hc_pvalue(spark, sf):
           O.with_(*SQL_BASE, f"arts AS (SELECT DISTINCT topic, {O.d(RATIO)} AS edit_ratio, doc_id FROM flat)",
                   O.roles_cte("arts")) + "\nSELECT topic, edit_ratio, doc_id, fold, role FROM roles")
 def q_fold_roles(spark, sf):
-    return _detect(corpus(spark, sf))["roles"]
+    return _detect(corpus(spark, sf))["roles"].withColumn("edit_ratio", F.lit(RATIO))
 
 
 @register("shuffled_split", "W7 O3 O4", [("edited", "bigint"), ("vec_id", "bigint"), ("shuffle_rank", "bigint"),
@@ -893,10 +996,38 @@ def q_power_summary(spark, sf):
     return power_run(corpus(spark, sf), PARAMS)["summary"]
 
 
+SQL_EMBEDDED = """embedded AS (SELECT vec_id, 'pair_' || CAST(label // 2 AS VARCHAR) AS topic, CASE WHEN label % 2 = 0 THEN 1 ELSE 0 END AS edited,
+    CASE vec_id % 3 WHEN 0 THEN CAST(0.05 AS DOUBLE) WHEN 1 THEN CAST(0.1 AS DOUBLE) ELSE CAST(0.15 AS DOUBLE) END AS edit_ratio FROM embeddings)"""
+
+
+def _lor(c: Corpus) -> dict:
+    """The classifier on ``embeddings``: two labels make a topic (the even one is edited), ids are dealt to three edit ratios."""
+    from authorscan.operators.classify import embedding_features, lor_cv
+    ratio = F.element_at(F.array(F.lit(0.05), F.lit(0.1), F.lit(0.15)), (F.col("vec_id") % 3 + 1).cast("int"))
+    rows = embedding_features(c.table("embeddings")).select(
+        F.concat(F.lit("pair_"), F.floor(F.col("label") / 2).cast("string")).alias("topic"), ratio.alias("edit_ratio"), "vec_id",
+        (F.col("label") % 2 == 0).cast("int").alias("edited"), "features")
+    return _memo(c, "lor", lambda: lor_cv(rows, PARAMS, ["topic", "edit_ratio"], "vec_id"))
+
+
+@register("lor_folds", "U2 W4 W7 M8", [("topic", "string"), ("edit_ratio", "double"), ("edited", "bigint"), ("vec_id", "bigint"),
+                                      ("fold", "bigint"), ("part", "string")],
+          O.with_(SQL_EMBEDDED, """placed AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY topic, edit_ratio, edited) AS n
+    FROM embedded WINDOW w AS (PARTITION BY topic, edit_ratio, edited ORDER BY vec_id))""",
+                  "folded AS (SELECT p.*, f.fold, floor(i * 10 / n) = f.fold AS test FROM placed p, range(0, 10) f(fold))",
+                  """ranked AS (SELECT *, row_number() OVER (PARTITION BY topic, edit_ratio, fold, test
+        ORDER BY md5(CAST(vec_id AS VARCHAR) || '|555'), vec_id, edited) - 1 AS r,
+    count(*) OVER (PARTITION BY topic, edit_ratio, fold, test) AS m FROM folded)""") + f"""
+SELECT topic, edit_ratio, edited, vec_id, fold,
+       CASE WHEN test THEN 'test' WHEN r < floor(m * {O.d(0.8)}) THEN 'train' ELSE 'validation' END AS part FROM ranked""")
+def q_lor_folds(spark, sf):
+    part = F.element_at(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), F.col("_p") + 1)
+    return _lor(corpus(spark, sf))["parts"].select("topic", "edit_ratio", "edited", "vec_id", F.posexplode("parts").alias("fold", "_p")).withColumn("part", part)
+
+
 @register("lor_cv", "S4 U2 S5 M7 M8 A25 A28", [
     ("topic", "string"), ("model", "string"), ("statistics", "string"), ("edit_ratio", "double"),
     ("accuracy", "double"), ("accuracy_std", "double"), ("FPR", "double"), ("FPR_std", "double"),
     ("accuracy_005", "double"), ("accuracy_005_std", "double")], None)
 def q_lor_cv(spark, sf):
-    from authorscan.operators.classify import lor_cv
-    return lor_cv(corpus(spark, sf).table("embeddings"), PARAMS)["summary"]
+    return _lor(corpus(spark, sf))["summary"]

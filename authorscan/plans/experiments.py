@@ -1,43 +1,52 @@
 """End-to-end runs composed from the operators.
 
-One DAG per run: articles -> atoms (narrow) -> responses (joins on distinct
-texts and pairs) -> x fold roles (join on (group, block)) -> null grid (hash
-aggregation + windows over <= G rows) -> p-values (join to the grid) -> document
-tests -> calibration -> metrics -> mean / std over folds. The topic x ratio x fold
-loops of the published scripts are group keys here.
+One DAG per run: articles -> candidate atoms (one scan) -> responses (one scoring: joins on
+distinct texts and pairs) -> atoms of every ratio and size (conditions on stored counts) -> null
+counts per fold segment -> grids of all folds -> p-values of test and calibration documents (one join
+to the packed grid) -> document tests -> calibration -> metrics -> mean / std over folds. The
+topic x size x ratio x fold loops of the published scripts are group keys here, and null atoms are never
+multiplied by the folds.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from authorscan.operators.corpus import article_atoms
-from authorscan.operators.detect import document_tests, precision_recall, sentence_mask, sentence_pvalues
+from authorscan.operators.corpus import COUNTS, Setting, atoms_of, candidate_atoms
+from authorscan.operators.detect import (document_tests, hc_null_table, hc_pvalue, precision_recall, sentence_mask,
+                                        sentence_pvalues, truncate_for_scoring)
 from authorscan.operators.evaluate import (apply_threshold, binary_metrics, null_threshold, power_tpr,
                                            roc_curve, threshold_sweep, youden_threshold)
-from authorscan.operators.folds import fold_roles, parity_eval_split
+from authorscan.operators.folds import fold_segments, parity_eval_split
 from authorscan.operators.lm import BigramLM, fit_bigram, score_bigram
-from authorscan.operators.survival import fit_null_grid
-from authorscan.params import ACCURACY_EDIT_RATIOS, Params
+from authorscan.operators.survival import fit_fold_grids, segment_counts
+from authorscan.params import ACCURACY_EDIT_RATIOS, POWER_EDIT_RATIOS, POWER_SENTENCES, Params
 from authorscan.session import cut_lineage, read_table, spread
-from authorscan.sources.articles import (document_sentences, fixture_article_sentences,
-                                         lm_training_sentences)
+from authorscan.sources.articles import (document_sentences, explode_articles, fixture_article_sentences,
+                                         lm_training_sentences, read_articles)
 
 STATISTICS = ("HC", "minP")
-ARTICLE_KEYS = ("topic", "doc_id", "model")  # the model follows from the document
+# The published list of article sizes starts at 25 valid sentences; the fixture's articles are shorter.
+HC_BUCKETS = (5, 10, 20, 40, 80)
 
 
 @dataclass
 class Corpus:
-    """Lazily built shared inputs of one data directory."""
+    """Lazily built shared inputs of one data directory (the article fixture of ``documents``).
+
+    ``keys`` are the columns of an article's group (its file, in the published layout); ``carry`` are columns
+    that scoring needs.
+    """
 
     spark: SparkSession
     sf_dir: str
     _cache: dict = field(default_factory=dict)
+    keys = ("topic",)
+    carry = ("model",)  # follows from the document
+    model = "bigram"
 
     def _memo(self, key, fn):
         if key not in self._cache:
@@ -60,28 +69,64 @@ class Corpus:
     def articles(self) -> DataFrame:
         return self._memo("articles", lambda: self.flat_articles().select("topic", "doc_id").distinct())
 
+    def candidates(self, params: Params) -> DataFrame:
+        return self._memo(("candidates", params.min_tokens, params.max_tokens),
+                          lambda: candidate_atoms(self.flat_articles(), params, (*self.keys, "doc_id", *self.carry)))
+
     def lm(self) -> BigramLM:
         return self._memo("lm", lambda: fit_bigram(
             lm_training_sentences(self.sentences()), keys=("model",)))
 
+    def score(self, atoms: DataFrame, params: Params, text_col: str) -> DataFrame:
+        return score_bigram(atoms, self.lm(), text_col, "response", decimals=params.response_decimals)
+
+
+class ArticleFiles(Corpus):
+    """Articles of the published file layouts (see :func:`~authorscan.sources.articles.read_articles`); every file
+    (topic, size, edit ratio) is a group of its own, and its key columns are its articles' edit ratio and size.
+
+    ``scorer`` (DataFrame with ``text`` -> the same with ``response``) is a score cache, a score store, the user's own model
+    or a chain of them; ``model`` names it in the reports. Unreadable rows are in ``quarantine``.
+    """
+
+    carry = ()
 
-def ratio_atoms(corpus: Corpus, params: Params, ratios) -> DataFrame:
-    """Atoms of both versions for every edit ratio (``edit_ratio`` column)."""
-    return reduce(DataFrame.unionByName, [
-        article_atoms(corpus.flat_articles(), params.with_(edit_ratio=r), ARTICLE_KEYS).withColumn("edit_ratio", F.lit(float(r)))
-        for r in ratios])
+    def __init__(self, spark: SparkSession, paths, scorer, layout: str = "accuracy", fmt: str = "csv", model: str = "user"):
+        super().__init__(spark, str(paths))
+        self.paths, self.layout, self.fmt, self.scorer, self.model = paths, layout, fmt, scorer, model
+        self.keys = ("topic", "edit_ratio") if layout == "accuracy" else ("topic", "number_sentence", "edit_ratio")
 
+    def _read(self) -> tuple[DataFrame, DataFrame]:
+        def build():
+            good, bad = read_articles(self.spark, self.paths, self.layout, self.fmt)
+            return good.withColumn("doc_id", F.col("article_index").cast("long")), bad
+        return self._memo("read", build)
 
-ATOM_COLS = ("topic", "edit_ratio", "doc_id", "pos", "edited", "kind", "atom_no", "length", "tag", "response")
+    @property
+    def quarantine(self) -> DataFrame:
+        return self._read()[1]
 
+    def flat_articles(self) -> DataFrame:
+        return self._memo("flat", lambda: cut_lineage(explode_articles(self._read()[0], (*self.keys, "doc_id"))))
+
+    def articles(self) -> DataFrame:
+        return self._read()[0].select(*self.keys, "doc_id")
 
-def scored_atoms(corpus: Corpus, params: Params, ratios=(0.15,), keep_text: bool = False) -> DataFrame:
-    """Atoms with their response, stored once (stage boundary: scoring is the
-    expensive step and everything downstream re-reads it)."""
-    atoms = ratio_atoms(corpus, params, ratios)
-    scored = score_bigram(atoms, corpus.lm(), "text", "response", decimals=params.response_decimals)
-    cols = [*ATOM_COLS, "text"] if keep_text else list(ATOM_COLS)
-    return cut_lineage(scored.select(*cols))
+    def score(self, atoms: DataFrame, params: Params, text_col: str) -> DataFrame:
+        if text_col == "text":
+            return self.scorer(atoms)
+        return self.scorer(atoms.withColumnsRenamed({"text": "_whole", text_col: "text"})).withColumnsRenamed({"text": text_col, "_whole": "text"})
+
+
+def scored_candidates(corpus: Corpus, params: Params) -> DataFrame:
+    """Every candidate atom with its response, without its text, stored once: one scan and one scoring serve
+    all edit ratios, article sizes and folds. With the ``truncate`` policy the text is cut before it is scored (O5)."""
+    def build():
+        atoms = truncate_for_scoring(corpus.candidates(params), params)
+        scored = corpus.score(atoms, params, "scored_text" if params.length_policy == "truncate" else "text")
+        return cut_lineage(scored.select(*corpus.keys, "doc_id", "pos", "kind", "length", "tag", "response", *COUNTS))
+    cut = params.max_len if params.length_policy == "truncate" else None
+    return corpus._memo(("scored", params.min_tokens, params.max_tokens, params.response_decimals, cut), build)
 
 
 class Stages(dict):
@@ -98,50 +143,106 @@ class Stages(dict):
         return dict.__getitem__(self, key)
 
 
-def detect_folds(corpus: Corpus, params: Params, ratios=(0.15,)) -> Stages:
-    """Atom p-values and document tests for every (topic, ratio, fold)."""
-    gkeys = ["topic", "edit_ratio"]
+def detect_folds(corpus: Corpus, params: Params, ratios=(0.15,), sizes=(None,)) -> Stages:
+    """Atom p-values and document tests for every (topic, size, ratio, fold).
+
+    What a thing depends on is its key and no more: articles have one segment and one role table per article group,
+    null grids one per (group, size, fold), original documents one test per (size, fold), edited ones per ratio as well.
+    Only ``doc_scores`` repeats the originals' results for every ratio. Internally a document version is ``setting``.
+    Articles from files have the ratio and the size among their own keys; ``ratios`` and ``sizes`` don't apply to them.
+    """
+    group = list(corpus.keys)
+    own_ratio, own_size = "edit_ratio" in group, "number_sentence" in group
+    if own_ratio:
+        ratios, sizes = ("edit_ratio",), ("number_sentence" if own_size else None,)
+    sized = tuple(sizes) != (None,) and not own_size
+    gkeys = [*group, *(["number_sentence"] if sized else [])]
     fkeys = [*gkeys, "fold"]
-    dkeys = [*fkeys, "doc_id", "edited"]
+    dkeys = [*fkeys, "doc_id", "setting"]
+    settings = [Setting(0, None, m) for m in sizes] + [Setting(1, r, m) for r in ratios for m in sizes]
+    edited = (F.col("setting") >= len(sizes)).cast("int")
 
-    def roles(st):
-        arts = reduce(DataFrame.unionByName,
-                      [corpus.articles().withColumn("edit_ratio", F.lit(float(r))) for r in ratios])
-        return cut_lineage(fold_roles(arts, params, gkeys, ["doc_id"]).select(*gkeys, "doc_id", "fold", "role"))
+    def atoms(st):
+        a = atoms_of(st["scored"], settings)
+        return a.withColumn("number_sentence", F.get(F.array(*[F.lit(int(s.max_sentences)) for s in settings]), F.col("setting"))) if sized else a
 
-    def with_roles(st):
-        return st["scored"].join(st["roles"], [*gkeys, "doc_id"])
+    def segments(st):
+        docs, roles = fold_segments(corpus.articles(), params, group, ["doc_id"])
+        return (cut_lineage(docs.select(*group, "doc_id", "segment")), cut_lineage(roles))
+
+    def null_counts(st):
+        docs, _ = st["segments"]
+        null = (st["atoms"].filter((F.col("edited") == 0) & F.col("response").isNotNull() & ~F.isnan("response"))
+                .select(*gkeys, "doc_id", "length", F.col("response").alias("x")))
+        return cut_lineage(segment_counts(null.join(docs, [*group, "doc_id"]), gkeys))
+
+    def grid(st):
+        _, roles = st["segments"]
+        return cut_lineage(fit_fold_grids(st["null_counts"], roles, params, gkeys, group))
 
     def null(st):
-        return (st["with_roles"].filter((F.col("role") == "null") & (F.col("edited") == 0))
-                .select(*fkeys, "length", F.col("response").alias("x"))
-                .filter(F.col("x").isNotNull()))
+        """Null values with their counts for every fold (for the exact p-values; the grids don't need it)."""
+        include = st["segments"][1].filter(F.col("role") == "null").select(*group, "segment", "fold")
+        return st["null_counts"].join(include, [*group, "segment"]).select(*fkeys, "length", "x", "cnt")
+
+    def roles(st):
+        docs, by_segment = st["segments"]
+        return docs.join(by_segment, [*group, "segment"]).select(*group, "doc_id", "fold", "role")
 
     def docs(st):
-        return st["with_roles"].filter(F.col("role") != "null")
+        return st["atoms"].join(st["roles"].filter(F.col("role") != "null"), [*group, "doc_id"])
+
+    def pvalues(st):
+        return cut_lineage(sentence_pvalues(st["docs"].drop("edited"), st["grid"], params, fkeys, doc_keys=dkeys))
 
     def tests(st):
-        return cut_lineage(document_tests(st["pvalues"], dkeys, params,
-                                          documents=st["docs"].select(*dkeys, "role").distinct()))
+        return cut_lineage(document_tests(st["pvalues"], dkeys, params, documents=st["pvalues"].select(*dkeys, "role").distinct()))
+
+    def hc_null(st):
+        """A fold's own unedited calibration documents, per (group, size, fold)."""
+        unedited = st["tests"].withColumn("edited", edited).filter(F.col("edited") == 0)
+        calibration = unedited.join(st["roles"].filter(F.col("role") == "calibration"), [*group, "fold", "doc_id"])
+        return cut_lineage(hc_null_table(calibration, params, keys=fkeys, sizes=HC_BUCKETS))
 
     def doc_scores(st):
-        pr = precision_recall(st["masked"], dkeys)
+        scores = st["tests"].join(precision_recall(st["masked"], dkeys), dkeys, "left").join(st["roles"], [*group, "fold", "doc_id"])
+        scores = hc_pvalue(scores, st["hc_null"], fkeys).withColumn("edited", edited)
+        # the null is made of calibration documents: they have no p-value of their own
+        scores = scores.withColumn("HC_pvalue", F.when(F.col("role") == "test", F.col("HC_pvalue")))
+        if not own_ratio:
+            each = F.array(*[F.lit(float(r)) for r in ratios])
+            mine = F.array(F.get(F.array(*[F.lit(float(s.edit_ratio or 0)) for s in settings]), F.col("setting")))
+            scores = scores.withColumn("edit_ratio", F.explode(F.when(F.col("edited") == 0, each).otherwise(mine)))
         return cut_lineage(
-            st["tests"].join(pr, dkeys, "left").join(st["roles"], [*fkeys, "doc_id"])
+            scores.drop("setting").withColumn("model", F.lit(corpus.model))
             .withColumn("name", F.format_string("article_%d_sentences_%s", F.col("doc_id"),
                                                 F.when(F.col("edited") == 1, "edited").otherwise("original"))))
 
+    def labelled(key):
+        """A stage with ``edited`` and ``edit_ratio`` for ``setting`` (originals take the first ratio)."""
+        def build(st):
+            out = st[key].withColumn("edited", edited)
+            if not own_ratio:
+                of = F.array(*[F.lit(float(s.edit_ratio or ratios[0])) for s in settings])
+                out = out.withColumn("edit_ratio", F.get(of, F.col("setting")))
+            return out.drop("setting")
+        return build
+
     return Stages({
-        "scored": lambda st: scored_atoms(corpus, params, ratios),
-        "roles": roles,
-        "with_roles": with_roles,
+        "scored": lambda st: scored_candidates(corpus, params),
+        "atoms": atoms,
+        "segments": segments,
+        "null_counts": null_counts,
         "null": null,
-        "grid": lambda st: cut_lineage(fit_null_grid(st["null"], params, fkeys)),
+        "grid": grid,
+        "roles": roles,
         "docs": docs,
-        "pvalues": lambda st: cut_lineage(sentence_pvalues(st["docs"], st["grid"], params, fkeys, doc_keys=dkeys)),
+        "pvalues": pvalues,
         "tests": tests,
         "masked": lambda st: sentence_mask(st["pvalues"], st["tests"], dkeys),
+        "hc_null": hc_null,
         "doc_scores": doc_scores,
+        **{f"{key}_report": labelled(key) for key in ("pvalues", "tests", "masked")},
     })
 
 
@@ -153,7 +254,7 @@ def _long_stats(doc_scores: DataFrame, keys) -> DataFrame:
         *keys, "doc_id", "edited", "role", "sv.statistic", "sv.value")
 
 
-def accuracy_run(corpus: Corpus, params: Params, ratios=ACCURACY_EDIT_RATIOS) -> dict:
+def accuracy_run(corpus: Corpus, params: Params, ratios=ACCURACY_EDIT_RATIOS) -> Stages:
     """M9: thresholds from calibration documents, metrics on test documents, per fold;
     then mean / sample std over folds per topic x ratio x statistic (A26)."""
     d = detect_folds(corpus, params, ratios)
@@ -162,8 +263,9 @@ def accuracy_run(corpus: Corpus, params: Params, ratios=ACCURACY_EDIT_RATIOS) ->
     if params.parity:
         # Q6: the published evaluation takes the first floor(n/k) results of a fold
         # by string order of their names as test rows (original and edited mixed)
-        sizes = corpus.articles().groupBy("topic").agg(F.count(F.lit(1)).alias("_n_articles"))
-        ds = (parity_eval_split(ds.join(sizes, "topic"), params, "_n_articles", fkeys)
+        group = list(corpus.keys)
+        sizes = corpus.articles().groupBy(*group).agg(F.count(F.lit(1)).alias("_n_articles"))
+        ds = (parity_eval_split(ds.join(sizes, group), params, "_n_articles", fkeys)
               .withColumn("role", F.col("eval_role")).drop("eval_role", "_n_articles", "row_index", "n_rows"))
     longs = _long_stats(ds, fkeys).filter(F.col("value").isNotNull())
     ck = [*fkeys, "statistic"]
@@ -185,20 +287,15 @@ def accuracy_run(corpus: Corpus, params: Params, ratios=ACCURACY_EDIT_RATIOS) ->
         F.avg("FPR_optimal_acc").alias("FPR"), F.stddev_samp("FPR_optimal_acc").alias("FPR_std"),
         F.avg("accuracy_005").alias("accuracy_005"), F.stddev_samp("accuracy_005").alias("accuracy_005_std"))
     d["per_fold"] = per_fold
-    d["summary"] = summary
+    d["summary"] = summary.withColumn("model", F.lit(corpus.model))
     return d
 
 
-def power_run(corpus: Corpus, params: Params, ratios=(0.1, 0.2), sizes=(50, 100, 200)) -> dict:
+def power_run(corpus: Corpus, params: Params, ratios=POWER_EDIT_RATIOS, sizes=POWER_SENTENCES) -> Stages:
     """Threshold from unedited documents (first step with share(x > t) <= 5 %),
     strict prediction on edited documents, TPR per fold; mean / std (A27)."""
-    outs = []
-    for m in sizes:
-        d = detect_folds(corpus, params.with_(max_sentences=m), ratios)
-        outs.append(d["doc_scores"].withColumn("number_sentence", F.lit(int(m))))
-    ds = outs[0]
-    for o in outs[1:]:
-        ds = ds.unionByName(o)
+    d = detect_folds(corpus, params, ratios, sizes)
+    ds = d["doc_scores"]
     fkeys = ["topic", "number_sentence", "edit_ratio", "fold"]
     longs = (_long_stats(ds.filter(F.col("role") != "null"), fkeys)
              .filter(F.col("value").isNotNull()))
@@ -212,4 +309,5 @@ def power_run(corpus: Corpus, params: Params, ratios=(0.1, 0.2), sizes=(50, 100,
         F.avg("accuracy_at_FPR_005").alias("accuracy_at_FPR_005"),
         F.stddev_samp("accuracy_at_FPR_005").alias("accuracy_at_FPR_005_std"),
         F.avg("TPR_at_FPR_005").alias("TPR_at_FPR_005"), F.stddev_samp("TPR_at_FPR_005").alias("TPR_at_FPR_005_std"))
-    return {"doc_scores": ds, "thresholds": th, "per_fold": per_fold, "summary": summary}
+    d["thresholds"], d["per_fold"], d["summary"] = th, per_fold, summary.withColumn("model", F.lit(corpus.model))
+    return d

@@ -93,23 +93,24 @@ nv AS (SELECT model, CAST(sum(c_w) + count(*) + 1 AS DOUBLE) AS denom FROM uni G
 
 
 def score_cte(name: str, src: str) -> str:
-    """``name(text, model, response)`` for the distinct texts of ``src(doc_id, text)``, each by its document's model."""
+    """``name(tid, model, response)`` for the distinct texts (``tid`` = md5) of ``src(doc_id, text)``, each by its document's model."""
     return f"""
-{name}_tok AS (SELECT DISTINCT text, model FROM {src} JOIN docmodel USING (doc_id)),
-{name}_pairs AS (SELECT text, model, unnest(t[1:len(t) - 1]) AS u, unnest(t[2:len(t)]) AS w
-                 FROM (SELECT text, model, {lm_tokens('text')} AS t FROM {name}_tok) WHERE len(t) >= 2),
+{name}_tok AS (SELECT md5(text) AS tid, model, any_value(text) AS text FROM {src} JOIN docmodel USING (doc_id)
+               WHERE text IS NOT NULL GROUP BY 1, 2),
+{name}_pairs AS (SELECT tid, model, unnest(t[1:len(t) - 1]) AS u, unnest(t[2:len(t)]) AS w
+                 FROM (SELECT tid, model, {lm_tokens('text')} AS t FROM {name}_tok) WHERE len(t) >= 2),
 {name}_nll AS (
-  SELECT p.text, p.model, -ln((coalesce(b.c_uw, 0) + {d(5.0)} * ((coalesce(un.c_w, 0) + {d(1.0)}) / coalesce(nv.denom, {d(1.0)})))
+  SELECT p.tid, p.model, -ln((coalesce(b.c_uw, 0) + {d(5.0)} * ((coalesce(un.c_w, 0) + {d(1.0)}) / coalesce(nv.denom, {d(1.0)})))
                     / (coalesce(pr.c_u, 0) + {d(5.0)})) AS nll
   FROM {name}_pairs p LEFT JOIN big b USING (model, u, w) LEFT JOIN pre pr USING (model, u)
   LEFT JOIN uni un USING (model, w) LEFT JOIN nv USING (model)),
-{name} AS (SELECT text, model, round(avg(nll), 9) AS response FROM {name}_nll GROUP BY text, model)"""
+{name} AS (SELECT tid, model, round(avg(nll), 9) AS response FROM {name}_nll GROUP BY tid, model)"""
 
 
 def scored_cte(name: str, src: str, ts: str = "ts") -> str:
     """``name`` = ``src`` with its model and response."""
     return (f"{name} AS (SELECT a.*, m.model, {ts}.response FROM {src} a JOIN docmodel m USING (doc_id) "
-            f"LEFT JOIN {ts} ON {ts}.text = a.text AND {ts}.model = m.model)")
+            f"LEFT JOIN {ts} ON {ts}.tid = md5(a.text) AND {ts}.model = m.model)")
 
 
 def roles_cte(src: str, gkeys: str = "topic, edit_ratio", k: int = 10, split: float = 0.8) -> str:
@@ -133,10 +134,12 @@ roles AS (SELECT i.topic, i.edit_ratio, i.doc_id, bt.fold, bt.block, i.row_index
                              AND CAST(floor(i.row_index * {k} / i.n_rows) AS BIGINT) = bt.block)"""
 
 
-def grid_cte(null_src: str, K: str, G: int = 43, p: str = "", fill: bool = True, xrange=None) -> str:
+def grid_cte(null_src: str, K: str, G: int = 43, p: str = "", fill: bool = True, xrange=None, log: bool = True) -> str:
     """null grid over ``null_src(K..., length, x)``; K = comma separated key list;
     CTE names get the prefix ``p``; ``xrange`` fixes the x range."""
     g1 = G - 1
+    first, last = (d(0), "ln(CAST(n AS DOUBLE))") if log else (d(1), d(0))
+    zlo, zhi = ("(-ln((above + cmlo) / n))", "(-ln(above / n))") if log else ("((above + cmlo) / n)", "(above / n)")
     if xrange is None:
         xs = f"min(x) AS xmin, max(x) AS xmax, (max(x) - min(x))"
     else:
@@ -158,9 +161,8 @@ gr2 AS (SELECT *, max(mxx) OVER wu AS xlo, last_value(cm IGNORE NULLS) OVER wu A
         FROM gr WINDOW wu AS (PARTITION BY {K}, length ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                        wa AS (PARTITION BY {K}, length ORDER BY g ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
 gr3 AS (SELECT {K}, length, g, xg, xmin, xmax, dx,
-               CASE WHEN xlo IS NULL THEN {d(0)} WHEN xhi IS NULL THEN ln(CAST(n AS DOUBLE))
-                    ELSE ((-ln(above / n)) - (-ln((above + cmlo) / n))) / (xhi - xlo) * (xg - xlo)
-                         + (-ln((above + cmlo) / n)) END AS z FROM gr2),
+               CASE WHEN xlo IS NULL THEN {first} WHEN xhi IS NULL THEN {last}
+                    ELSE ({zhi} - {zlo}) / (xhi - xlo) * (xg - xlo) + {zlo} END AS z FROM gr2),
 lr AS (SELECT {K}, min(length) AS lmin, max(length) AS lmax, any_value(xmin) AS xmin, any_value(xmax) AS xmax,
               any_value(dx) AS dx FROM gr3 GROUP BY {K}),"""
     if fill:

@@ -124,32 +124,45 @@ def parse_articles(df: DataFrame, json_col: str = "article_json") -> tuple[DataF
     return good.drop(json_col), bad.drop("article")
 
 
-def read_articles(spark: SparkSession, paths, layout: str = "accuracy") -> tuple[DataFrame, DataFrame]:
-    """Read article CSV files, one JSON article per row.
+LAYOUTS = {  # path pattern and the keys that it names
+    "accuracy": (r"([^/]+)/edit_ratio_([^/]+)/[^/]+$", {"topic": "string", "edit_ratio": "double"}),
+    "lines": (r"topic=([^/]+)/edit_ratio=([^/]+)/[^/]+$", {"topic": "string", "edit_ratio": "double"}),  # of write_article_lines
+    "power": (r"([^/]+)/([0-9]+)_sentences/([^/]+)/[^/]+$", {"topic": "string", "number_sentence": "int", "edit_ratio": "double"}),
+}
 
-    ``topic``, ``edit_ratio`` (and ``number_sentence`` for the power layout) come
-    from the path; ``article_index`` is the row number inside each file (file order).
+
+def read_articles(spark: SparkSession, paths, layout: str = "accuracy", fmt: str = "csv",
+                  multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Read article files, one JSON article per row: ``(articles, quarantine)``.
+
+    ``fmt``: ``csv`` with a column ``article_json``, or ``jsonl`` (one article object a line). JSON text holds no line
+    break, so a row is a line and large files of both kinds are split among tasks; ``multi_line`` reads
+    CSV whose quoted fields do hold line breaks (one task a file then). ``topic``, ``edit_ratio`` (and
+    ``number_sentence`` for the power layout) come from the path; ``article_index`` is the row's number in its file.
     """
-    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-           .csv(paths).withColumn("_path", F.input_file_name()))
-    if layout == "accuracy":
-        pat = r"([^/]+)/edit_ratio_([^/]+)/[^/]+\.csv$"
-        raw = raw.withColumn("topic", F.regexp_extract("_path", pat, 1)).withColumn(
-            "edit_ratio", F.regexp_extract("_path", pat, 2).cast("double"))
-    elif layout == "power":
-        pat = r"([^/]+)/([0-9]+)_sentences/([^/]+)/[^/]+\.csv$"
-        raw = (raw.withColumn("topic", F.regexp_extract("_path", pat, 1))
-               .withColumn("number_sentence", F.regexp_extract("_path", pat, 2).cast("int"))
-               .withColumn("edit_ratio", F.regexp_extract("_path", pat, 3).cast("double")))
-    # file order inside one file: monotonically_increasing_id is increasing within a partition
-    # and a CSV file with multiLine is read by one task, so it orders rows of a file.
-    raw = raw.withColumn("_mono", F.monotonically_increasing_id())
-    from authorscan.operators.scan import row_index
-    keys = [c for c in ("topic", "number_sentence", "edit_ratio") if c in raw.columns]
-    raw = row_index(raw, keys, ["_mono"], "article_index").drop("_mono", "_path")
+    if fmt == "csv":
+        raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(paths)
+    elif fmt == "jsonl":
+        raw = spark.read.text(paths).filter(F.col("value") != "").withColumnRenamed("value", "article_json")
+    else:
+        raise ValueError(f"unknown article format {fmt!r}")
+    # rows of a split are numbered in order, and splits of a file by where they begin
+    raw = raw.select("article_json", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
+                     F.monotonically_increasing_id().alias("_seen"))
+    pattern, types = LAYOUTS.get(layout, (None, {}))
+    for i, (key, kind) in enumerate(types.items()):
+        raw = raw.withColumn(key, F.url_decode(F.regexp_extract("_path", pattern, i + 1)).cast(kind))
+    raw = row_index(raw, [*types], ["_path", "_start", "_seen"], "article_index").drop("_start", "_seen", "_path")
     return parse_articles(raw)
 
 
+def write_article_lines(articles: DataFrame, path: str) -> None:
+    """Articles as JSON lines partitioned by topic and edit ratio (layout ``lines``, format ``jsonl``), in ``article_index`` order."""
+    (to_article_json(articles.select("topic", "edit_ratio", "article_index", "article")).withColumnRenamed("article_json", "value")
+     .repartitionByRange("topic", "edit_ratio", "article_index").sortWithinPartitions("topic", "edit_ratio", "article_index")
+     .drop("article_index").write.mode("overwrite").partitionBy("topic", "edit_ratio").text(path))
+
+
 def explode_articles(articles: DataFrame, doc_keys=("topic", "doc_id")) -> DataFrame:
     """Nested articles -> flat sentence rows (``pos`` = sentence index in the article)."""
     flat = F.flatten(F.transform("article.sub_titles", lambda s: s["sentences"]))

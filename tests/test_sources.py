@@ -4,6 +4,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from authorscan.operators.lm import fit_bigram, score_with
@@ -48,7 +49,16 @@ def test_score_cache_json(spark):
         json.dump({"Hello world": 1.5, " 'Quoted' ": 2.0}, f)
     got = {r.sent_key: r.response for r in read_score_cache(spark, p).collect()}
     assert got == {"hello world": 1.5, "quoted": 2.0}
-    assert read_score_cache(spark, "/nonexistent/cache.json").count() == 0
+    assert read_score_cache(spark, "/nonexistent/cache.json", allow_missing=True).count() == 0 and read_score_cache(spark, None).count() == 0
+    with pytest.raises(FileNotFoundError):
+        read_score_cache(spark, "/nonexistent/cache.json")
+    with open(p, "w") as f:
+        json.dump({"Hello world": 1.5, "hello WORLD ": 2.5}, f)
+    with pytest.raises(ValueError):
+        read_score_cache(spark, p)
+    with open(p + "l", "w") as f:
+        f.write("".join(json.dumps({"text": t, "response": r}) + "\n" for t, r in (("Hello world", 1.5), (" 'Quoted' ", 2.0))))
+    assert {r.sent_key: r.response for r in read_score_cache(spark, p + "l", "jsonl").collect()} == got
 
 
 def test_user_scorer_hook(spark):
@@ -97,14 +107,20 @@ def test_read_articles_power_layout(spark):
     assert got == [("News", 50, 0.1), ("News", 100, 0.2)] and bad.count() == 0
 
 
-def test_pair_registry(spark):
-    from authorscan.sources.pairs import load_registered
-    df = spark.createDataFrame([("m1", "h1", "train"), ("m2", "h2", "test")],
-                               "generated_intro string, wiki_intro string, split string")
+def test_pair_registry(spark, tmp_path):
+    from authorscan.sources.pairs import load_registered, read_registered
+    long = "One. Two. Three. Four. Five. Six. Seven. Eight. Nine. Ten. A. B. C. D. E."
+    df = spark.createDataFrame([("m1", "h1", "train"), ("m2", "h2", "test"), (long, "h3", "test"), (long + " . ", "h4", "train")],
+                               "generated_intro string, wiki_intro string, split string").coalesce(1)
     short = load_registered(df, "wiki-intro")
-    assert [(r.id, r.human_text, r.machine_text) for r in short.collect()] == [(0, "h1", "m1")]
-    long = load_registered(df, "wiki-intro-long")
-    assert long.count() == 2 and "id" not in long.columns
+    assert sorted((r.id, r.human_text) for r in short.collect()) == [(0, "h1"), (1, "h4")]  # in the order of the rows
+    whole = load_registered(df, "wiki-intro-long", long_form=True)
+    assert "id" not in whole.columns and sorted(r.human_text for r in whole.collect()) == ["h3", "h4"]
+    df.write.json(f"{tmp_path}/pairs")
+    ranks = {r.id: r.shuffle_rank for r in read_registered(spark, "wiki-intro-long", f"{tmp_path}/pairs", "json", shuffle=True).collect()}
+    import hashlib
+    want = sorted(ranks, key=lambda i: hashlib.md5(f"{i}|42".encode()).hexdigest())
+    assert ranks == {i: n for n, i in enumerate(want)}
 
 
 def test_null_context_keeps_its_score(spark):
