@@ -20,6 +20,7 @@ gives an empty result; other columns are ignored. Strings of special tokens are
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -64,9 +65,10 @@ class Csr:
         return self.indptr.size - 1
 
     def transposed(self) -> Csr:
-        order = np.argsort(self.indices, kind="stable")
         row = np.repeat(np.arange(self.rows), np.diff(self.indptr))
-        return Csr(np.r_[0, np.cumsum(np.bincount(self.indices, minlength=self.columns))], row[order], self.rows)
+        if (self.indices[1:] < self.indices[:-1]).any():
+            row = row[np.argsort(self.indices, kind="stable")]
+        return Csr(np.r_[0, np.cumsum(np.bincount(self.indices, minlength=self.columns))], row, self.rows)
 
 
 def product_sizes(a: Csr, b: Csr) -> np.ndarray:
@@ -116,9 +118,9 @@ def align(texts: list[str | None], path_a: str, path_b: str) -> Aligned:
     for text in texts:
         got = [], []
         if text:
-            want = b" " + text.encode()
-            x, y = a.ids(" " + text), b.ids(text)
-            if b"".join(map(a.bytes.__getitem__, x)) == want == b"".join(map(b.bytes.__getitem__, y)):
+            y = b.ids(text)
+            x = a.ids(" " + text) if b.covers(text, y) else []
+            if x and a.covers(" " + text, x):
                 got = x, y
         for of, new in zip(ids, got, strict=True):
             of.append(np.array(new, np.int64))
@@ -127,28 +129,33 @@ def align(texts: list[str | None], path_a: str, path_b: str) -> Aligned:
     a_bytes, b_bytes = Csr.spans(a.length[a_ids]), Csr.spans(b.length[b_ids])
     links = list(product(a_bytes, b_bytes.transposed()))
     a_ends, b_ends = a_bytes.indptr[1:], b_bytes.indptr[1:]
-    ends = a_ends[np.isin(a_ends, b_ends, assume_unique=True)]  # a document's last token ends in both
-    a_group, b_group = np.searchsorted(ends, a_ends), np.searchsorted(ends, b_ends)
-    shared = product_sizes(Csr.choices(a_group, ends.size), Csr.choices(b_group, ends.size).transposed())
+    ends = np.zeros(a_bytes.columns + 1, np.int8)
+    ends[a_ends] = 1
+    ends[b_ends] += 1  # 2 where both end; a document's last token ends in both
+    before = np.cumsum(ends == 2)
+    a_group, b_group = before[a_ends] - (ends[a_ends] == 2), before[b_ends] - (ends[b_ends] == 2)
+    n = int(before[-1])
+    shared = product_sizes(Csr.choices(a_group, n), Csr.choices(b_group, n).transposed())
     return Aligned(a_ids, b_ids, a_doc, b_doc, a_group, b_group, links, shared)
 
 
+@functools.cache
+def _printed(ids: int) -> list[bytes]:
+    """The decimal form of every id below ``ids`` before a comma, a bar and a semicolon."""
+    return [b"%d%c" % (i, c) for i in range(ids) for c in b",|;"]
+
+
 def group_texts(x: Aligned, docs: int) -> list[bytes]:
     """Of every document its groups as ``a1,a2|b1;a3|b2,b3``."""
-    group, ids = np.r_[x.a_group, x.b_group], np.r_[x.a_ids, x.b_ids]
-    side = np.r_[np.zeros(x.a_ids.size, np.int8), np.ones(x.b_ids.size, np.int8)]
-    order = np.lexsort((side, group))  # stable: tokens stay in order
-    group, ids, side, doc = group[order], ids[order], side[order], np.r_[x.a_doc, x.b_doc][order]
-    after = np.full(ids.size, 44, np.uint8)  # a comma
-    if ids.size:
-        last = np.r_[group[1:] != group[:-1], True]
-        after[np.r_[side[1:] != side[:-1], False] & ~last] = 124  # a bar
-        after[last] = 59  # a semicolon
-    known, of = np.unique(ids * 256 + after, return_inverse=True)
-    words = [b"%d%c" % (k >> 8, k & 255) for k in known.tolist()]
+    na, nb = x.a_ids.size, x.b_ids.size
+    at = np.r_[np.arange(na) + np.searchsorted(x.b_group, x.a_group), np.arange(nb) + np.searchsorted(x.a_group, x.b_group, "right")]
+    code, doc = np.empty(na + nb, np.int64), np.empty(na + nb, np.int64)
+    last_a, last_b = (np.r_[g[1:] != g[:-1], True][:g.size] for g in (x.a_group, x.b_group))
+    code[at] = np.r_[3 * x.a_ids + last_a, 3 * x.b_ids + 2 * last_b]
+    doc[at] = np.r_[x.a_doc, x.b_doc]
     ends = np.searchsorted(doc, np.arange(docs + 1))
-    of = of.tolist()
-    return [b"".join(map(words.__getitem__, of[i:j]))[:-1] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    word, of = _printed(1 << (int(code.max(initial=0)) // 3).bit_length()).__getitem__, code.tolist()
+    return [b"".join(map(word, of[i:j]))[:-1] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:

@@ -54,6 +54,10 @@ class ByteTokens:
                                       mergeable_ranks={self.bytes[i]: i for t, i in vocab.items() if t not in special}) if plain else None
         self.blank = re.compile(rf"\s{{{LONG}}}")
 
+    def covers(self, text: str, ids: list[int]) -> bool:
+        """The joined token bytes are the text's (in the plain case always: every byte is a token, and merges only join)."""
+        return self.fast is not None or b"".join(map(self.bytes.__getitem__, ids)) == text.encode()
+
     def ids(self, text: str) -> list[int]:
         if self.fast is None or len(text) > LONG and self.blank.search(text):
             return self.whole.encode(text, add_special_tokens=False).ids
@@ -72,6 +76,10 @@ class PieceTokens:
         same = sentencepiece.SentencePieceNormalizer(model_file=path).normalize(probe).replace(META, " ").strip() == probe.strip()
         self.cut = re.compile(rf"(?<=[^ {META}]) (?=[^ {META}])") if same and not any(re.search(rf"[^{META}]{META}", p) for p in pieces) else None
 
+    def covers(self, text: str, ids: list[int]) -> bool:
+        """The joined token bytes are space + text."""
+        return b"".join(map(self.bytes.__getitem__, ids)) == b" " + text.encode()
+
     def ids(self, text: str) -> list[int]:
         """Ids of ``text``; the model itself puts a space before it."""
         if len(text) <= LONG or self.cut is None:
