@@ -23,6 +23,7 @@ from authorscan.operators import survival as S
 from authorscan.operators.scan import Acc, scan
 from authorscan.params import Params
 from authorscan.plans import oracle as O
+from authorscan.session import tables_version
 from authorscan.plans.experiments import HC_BUCKETS, Corpus, accuracy_run, detect_folds, power_run
 from authorscan.sources import articles as A
 
@@ -35,10 +36,12 @@ _CORPORA: dict = {}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The stages shared by the queries of one session and state of the tables: changed tables make a new one."""
     key = (id(spark), spark.sparkContext.applicationId, sf_dir)
-    if key not in _CORPORA:
-        _CORPORA[key] = Corpus(spark, sf_dir)
-    return _CORPORA[key]
+    seen = tables_version(spark, sf_dir)
+    if key not in _CORPORA or _CORPORA[key][0] != seen:
+        _CORPORA[key] = (seen, Corpus(spark, sf_dir))
+    return _CORPORA[key][1]
 
 
 def _memo(c: Corpus, key, fn):

@@ -41,6 +41,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tables_version(spark: SparkSession, sf_dir: str) -> tuple:
+    """When each table's file or folder was last changed (None: not there)."""
+    conf, out = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name in TABLES:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = p.getFileSystem(conf)
+        out.append(fs.getFileStatus(p).getModificationTime() if fs.exists(p) else None)
+    return tuple(out)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -69,12 +79,12 @@ def note_stage(path: str, table: str | None = None) -> None:
 
 @contextmanager
 def recorded_stages() -> Iterator[list[tuple[str, str | None]]]:
-    """The list fills, when the block ends, with the stage tables written inside it."""
-    first, written = len(_STAGES), []
+    """The list fills, when the block ends, with the stage tables written inside it and not removed yet."""
+    before, written = set(_STAGES), []
     try:
         yield written
     finally:
-        written += _STAGES[first:]
+        written += [s for s in _STAGES if s not in before]
 
 
 def remove_stages(spark: SparkSession, stages: list[tuple[str, str | None]]) -> None:

@@ -23,6 +23,8 @@ HEADLINE = [
     "exact_pvalue",       # as-of p-values (J3)
     "calibrate",          # ROC / AUC / Youden / threshold sweeps (A18-A23)
     "cv_summary",         # full k-fold accuracy experiment, 3 edit ratios (M9 A26)
+    "power_summary",      # full power experiment, 2 edit ratios x 3 sizes (M10 A27)
+    "lor_cv",             # embedding classifier, 15 keys x 10 folds (M8 A28)
 ]
 
 

@@ -30,3 +30,17 @@ def test_oracle_equal(spark, name):
     rel = con.sql(E.oracle_sql()[name])
     d = sorted((tuple(r[rel.columns.index(c)] for c in cols) for r in rel.fetchall()), key=repr)
     assert s == d
+
+
+def test_changed_tables_give_new_answers(spark, tmp_path):
+    import os
+
+    def write(n):
+        rows = [(c, t, role, f"{role} {c} {t}") for c in range(n) for t, role in ((0, "user"), (1, "assistant"))]
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.mode("overwrite").parquet(f"{tmp_path}/conversations.parquet")
+
+    write(3)
+    assert E.queries()["pair_long"](spark, str(tmp_path)).count() == 6
+    write(5)
+    os.utime(tmp_path / "conversations.parquet", (2e9, 2e9))
+    assert E.queries()["pair_long"](spark, str(tmp_path)).count() == 10
