@@ -14,6 +14,10 @@ corpus itself, so the rows shuffled are packed arrays:
 * a reducer sees all entries of one ``p`` (about 16 MB of text's worth, see
   ``partitions``) and answers each block; answers meet their block again by a
   cogroup on the block id (one block, its answers).
+
+Entries are blocks x partitions. From ``GROWS_FROM`` bytes of text on, blocks and partitions both grow with the square
+root of the table (``grown``), so entries grow in proportion to the table and keep their size; a task's memory grows
+with the root: ten times for a hundred times the text.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ from authorscan.session import checkpoint_dir, note_stage
 
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 16 << 20
+GROWS_FROM = 64 << 30
 MIN_PARTS = 64
 MAX_BUCKETS = 100_000  # what Spark allows
 
@@ -156,6 +161,15 @@ def gather_blocks(docs: DataFrame, block_bytes: int, emit, schema: str, text: st
     return docs.mapInArrow(gather, schema)
 
 
+def grown(size: int, total: int) -> int:
+    """``size`` bytes, more from ``GROWS_FROM`` bytes of text on, by the square root of ``total``."""
+    return size if total <= GROWS_FROM else int(size * (total / GROWS_FROM) ** 0.5)
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def seal(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucketed: bool = False) -> DataFrame:
     """(block, bytes, payload): blocks of ``docs`` as compressed Arrow, written once; if ``bucketed``, ``meet_blocks`` doesn't shuffle them."""
 
@@ -166,16 +180,14 @@ def seal(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucketed: bool = False
         size = pc.sum(pc.binary_length(t.column("text"))).as_py() or 0
         return {"block": block, "bytes": size + t.num_rows, "payload": sink.getvalue().to_pybytes()}
 
-    blocks = gather_blocks(docs, block_bytes, emit, "block long, bytes long, payload binary")
-    if not bucketed:
-        return store(blocks, "uncompressed")
-    return store_by(blocks, "block", bucket_number(docs))
+    total = text_bytes(docs)
+    blocks = gather_blocks(docs, grown(block_bytes, total), emit, "block long, bytes long, payload binary")
+    return store_by(blocks, "block", bucket_number(total)) if bucketed else store(blocks, "uncompressed")
 
 
-def bucket_number(docs: DataFrame) -> int:
-    """Buckets for blocks of ``docs``: one for each ``PART_BYTES`` of text."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(max(MIN_PARTS, total // PART_BYTES), MAX_BUCKETS)
+def bucket_number(total: int) -> int:
+    """Buckets for blocks of ``total`` bytes of text: one for each ``PART_BYTES``."""
+    return min(max(MIN_PARTS, total // grown(PART_BYTES, total)), MAX_BUCKETS)
 
 
 def open_block(payload: bytes) -> pa.Table:
@@ -183,9 +195,9 @@ def open_block(payload: bytes) -> pa.Table:
 
 
 def partitions(blocks: DataFrame, part_bytes: int = PART_BYTES) -> int:
-    """Number of hash partitions: a power of two with about ``part_bytes`` of text for each."""
+    """Number of hash partitions: a power of two with about ``part_bytes`` (``grown``) of text for each."""
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
-    return max(MIN_PARTS, 1 << max(0, (total // part_bytes).bit_length()))
+    return max(MIN_PARTS, 1 << max(0, (total // grown(part_bytes, total)).bit_length()))
 
 
 def map_blocks(blocks: DataFrame, fn, schema: str) -> DataFrame:

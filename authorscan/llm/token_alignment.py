@@ -239,7 +239,7 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, block_bytes: int =
 
     schema = "block long, docs binary, groups binary, pairs binary, links binary"
     blocks = B.gather_blocks(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), block_bytes, emit, schema)
-    return B.store_by(blocks, "block", B.bucket_number(docs))
+    return B.store_by(blocks, "block", B.bucket_number(B.text_bytes(docs)))
 
 
 def _open_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ seeds, and distrust the same from the blocked seeds over the reversed edges (who
 Every seed gives the same mass, one, however many there are, so hosts that have no links with a host don't change its verdict.
 A host is blocked if its distrust is at least ``least`` (a share of one seed's mass) and larger than its trust. Ranks are
 whole numbers of 1e-10, so sums don't depend on their order, and only grow from round to round up to a bound, so that
-rounds end when no rank changes. Edges are added up per pair of hosts before they
+rounds end when no rank changes. ``HOPS`` rounds are one job, whose ranks take the place of those stored before. Edges are added up per pair of hosts before they
 meet ranks; ranks and edges are stored tables, so a hub's rows can be split in the join.
 
 Defined cases: a null url or one without ``://`` has the empty host and path, which no rule fits and which is no node of
@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from authorscan.llm.blocks import store
+from authorscan.session import recorded_stages, remove_stages
 
+HOPS = 8
 UNIT = 10 ** 10  # of one seed; a long holds the mass of 9e8 seeds on one host
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -63,15 +65,22 @@ def propagate(pairs: DataFrame, seeds: DataFrame, damping: float = 0.85) -> Data
     """(host, trust, distrust) in units of 1e-10 of a seed from ``seeds(kind, host)``; kinds are trust and distrust."""
     edges = store(_shares(pairs, "trust", "src", "dst").unionByName(_shares(pairs, "distrust", "dst", "src")))
     base = store(seeds.select("kind", "host", F.lit(round(UNIT * (1 - damping))).cast("long").alias("rank")))
-    rank = base
-    settled = False
+
+    def moved(rank):
+        return (edges.join(rank, (edges["kind"] == rank["kind"]) & (edges["src"] == rank["host"]))
+                .select(edges["kind"], F.col("dst").alias("host"), F.floor(F.col("rank") * damping * F.col("share")).alias("rank")))
+
+    rank, before, settled = base, [], False
     while not settled:
-        moved = (edges.join(rank, (edges["kind"] == rank["kind"]) & (edges["src"] == rank["host"]))
-                 .select(edges["kind"], F.col("dst").alias("host"), F.floor(F.col("rank") * damping * F.col("share")).alias("rank")))
-        after = store(base.unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
-        change = after.join(rank.withColumnRenamed("rank", "was"), ["kind", "host"], "left")
-        settled = change.where("rank <> coalesce(was, 0)").isEmpty()
-        rank = after
+        for _ in range(HOPS - 1):
+            rank = base.unionByName(moved(rank)).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        zero = F.lit(0).cast("long")
+        last = base.unionByName(moved(rank)).withColumn("was", zero).unionByName(rank.select("kind", "host", zero.alias("rank"), F.col("rank").alias("was")))
+        with recorded_stages() as written:
+            both = store(last.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")))
+        remove_stages(pairs.sparkSession, before)
+        before, settled = written, both.where("rank <> was").isEmpty()
+        rank = both.select("kind", "host", "rank")
     one = lambda k: F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0)).alias(k)
     return rank.groupBy("host").agg(one("trust"), one("distrust"))
 
