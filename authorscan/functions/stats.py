@@ -50,11 +50,14 @@ def ln_factorial(k) -> Column:
     return F.when(k < 2, F.lit(0.0)).when(k < 20, exact).otherwise(stirling)
 
 
-def chi2_even_sf(T, n) -> Column:
-    """P[chi2_{2n} >= T] for integer n >= 1 (Fisher's combined p-value)."""
+def chi2_even_sf(T, n, reach: float = 40.0) -> Column:
+    """P[chi2_{2n} >= T] for integer n >= 1 (Fisher's combined p-value).
+
+    Terms farther than ``reach`` standard deviations from the largest are below double precision of the sum and left out.
+    """
     T, n = _c(T), _c(n).cast("long")
     lam = T / 2
-    h = F.lit(40.0) * F.sqrt(lam) + F.lit(40.0)
+    h = F.lit(float(reach)) * F.sqrt(lam) + F.lit(float(reach))
     kmax = F.least(n - 1, F.ceil(lam + h)).cast("long")
     kmin = F.greatest(F.lit(0), F.floor(kmax - 2 * h)).cast("long")
     t0 = kmin.cast("double") * F.log(lam) - lam - ln_factorial(kmin)

@@ -5,14 +5,14 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from authorscan.functions.stats import chi2_even_sf, fisher_of, hc_of_sorted
+from authorscan.functions.stats import bonf_of, chi2_even_sf, fisher_of, hc_of_sorted, minp_of
 from authorscan.functions.text import cache_key, word_count
 from authorscan.operators.corpus import article_atoms, tag_spans
 from authorscan.operators.detect import apply_length_policy, document_tests, hc_null_table, hc_pvalue
 from authorscan.operators.evaluate import (auc, fpr_cut_threshold, null_threshold, roc_curve, threshold_sweep,
                                            youden_threshold)
 from authorscan.operators.folds import fold_roles
-from authorscan.operators.survival import exact_pvalue, fit_null_grid, grid_pvalue, survival_1d
+from authorscan.operators.survival import exact_pvalue, fit_null_grid, grid_pvalue, null_sample, survival_1d
 from authorscan.params import Params
 
 
@@ -51,6 +51,30 @@ def test_fisher_tail(spark, n, T, expected):
     assert v == pytest.approx(expected, rel=1e-4)
 
 
+def test_fisher_tail_equals_the_full_sum(spark):
+    import numpy as np
+    cases = [(n, float(T)) for n in (1, 7, 400, 20_000, 300_000) for T in (0.5, 2 * n * 0.97, 2 * n, 2 * n * 1.02 + 1, 2 * n + 6 * n ** 0.5, 3 * n + 50)]
+    got = spark.createDataFrame(cases, "n long, T double").select("n", "T", chi2_even_sf("T", "n").alias("v")).collect()
+    for r in got:
+        lam = r.T / 2
+        terms = np.arange(r.n) * np.log(lam) - lam - np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, r.n)))])
+        want = min(1.0, float(np.exp(terms.max()) * np.exp(terms - terms.max()).sum()))
+        assert r.v == pytest.approx(want, rel=1e-7, abs=1e-300)
+
+
+def test_array_forms_of_minp_and_bonferroni(spark):
+    r = spark.createDataFrame([([0.5, 0.02, None],), ([None],), ([0.9, 0.8],)], "ps array<double>").select(
+        minp_of("ps").alias("m"), bonf_of("ps").alias("b")).collect()
+    assert r[0].m == pytest.approx(-math.log(0.02)) and r[0].b == pytest.approx(0.04)
+    assert r[1].m is None and r[1].b is None and r[2].b == 1.0
+
+
+def test_null_sample_takes_either_column_and_leaves_the_first_atom(spark):
+    rows = [(1, 10, 2.5), (2, 10, None), (2, 11, float("nan")), (3, 12, 1.5)]
+    assert sorted(tuple(r) for r in null_sample(spark.createDataFrame(rows, "num int, length int, logloss double")).collect()) == [(12, 1.5)]
+    assert sorted(tuple(r) for r in null_sample(spark.createDataFrame(rows, "i int, length int, response double"), ["i"]).collect()) == [(1, 10, 2.5), (3, 12, 1.5)]
+
+
 def test_fisher_array_form(spark):
     r = spark.createDataFrame([([0.5, 0.25, None],)], "ps array<double>").select(fisher_of("ps").alias("f")).first().f
     T = -2 * (math.log(0.5) + math.log(0.25))
