@@ -7,6 +7,7 @@ by the queries of one session through :class:`Corpus`.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from typing import Callable
 
@@ -20,12 +21,13 @@ from authorscan.operators import evaluate as E
 from authorscan.operators import folds as FO
 from authorscan.operators import lm as L
 from authorscan.operators import survival as S
-from authorscan.operators.scan import Acc, scan
+from authorscan.operators.scan import Acc, row_index, scan
 from authorscan.params import Params
 from authorscan.plans import oracle as O
-from authorscan.session import tables_version
+from authorscan.session import checkpoint_dir, note_stage, tables_version
 from authorscan.plans.experiments import HC_BUCKETS, Corpus, accuracy_run, detect_folds, power_run
 from authorscan.sources import articles as A
+from authorscan.sources.cache import ScoreStore
 
 PARAMS = Params()
 RATIO = 0.15
@@ -176,6 +178,25 @@ def q_article_counts(spark, sf):
     return A.article_counts(parsed)
 
 
+@register("article_files", "S1 S2 T4", [("topic", "string"), ("edit_ratio", "double"), ("article_index", "bigint"), ("title", "string"),
+                                        ("n_sentences", "bigint"), ("n_alternatives", "bigint"), ("n_sub_titles", "bigint")],
+          O.with_(*SQL_BASE) + f"""
+SELECT topic, {O.d(RATIO)} AS edit_ratio, row_number() OVER (PARTITION BY topic ORDER BY doc_id) - 1 AS article_index,
+       'doc ' || CAST(doc_id AS VARCHAR) AS title, count(*) AS n_sentences, count(alternative) AS n_alternatives,
+       count(DISTINCT pos // 10) AS n_sub_titles FROM flat GROUP BY topic, doc_id""")
+def q_article_files(spark, sf):
+    """The articles written as files by topic and edit ratio, and read from them."""
+    c = corpus(spark, sf)
+    def build():
+        path = f"{checkpoint_dir(spark).rstrip('/')}/stage-articles-{uuid.uuid4().hex}"
+        articles = row_index(_articles_nested(c), ["topic"], ["doc_id"], "article_index").withColumn("edit_ratio", F.lit(RATIO))
+        A.write_article_lines(articles, path)
+        note_stage(path)
+        return A.read_articles(spark, f"{path}/*/*", "lines", "jsonl")[0]
+    files = _memo(c, "article_files", build).withColumn("title", F.col("article.title"))
+    return A.article_counts(files, ("topic", "edit_ratio", "article_index", "title"))
+
+
 @register("render_articles", "S16", [("topic", "string"), ("doc_id", "bigint"), ("text", "string")],
           O.with_(*SQL_BASE) + """,
 lines AS (SELECT topic, doc_id, pos // 10 AS block, pos,
@@ -388,6 +409,24 @@ def q_cache_misses(spark, sf):
     return L.cache_misses(_atoms(c), _cache_table(c))
 
 
+@register("score_store", "S6 J1 M3", [("doc_id", "bigint"), ("pos", "bigint"), ("response", "double")],
+          O.with_(*SQL_LM, O.score_cte("cs", "sentences"), f"""keys AS (SELECT doc_id, pos, text, m.model, {SQL_KEY} AS sent_key, cs.response
+    FROM sentences JOIN docmodel m USING (doc_id) LEFT JOIN cs ON cs.tid = md5(text) AND cs.model = m.model)""",
+                  """kept AS (SELECT sent_key, response, row_number() OVER (PARTITION BY sent_key ORDER BY doc_id % 2, text, model) AS r FROM keys)""")
+          + "\nSELECT k.doc_id, k.pos, s.response FROM keys k JOIN kept s ON s.sent_key = k.sent_key AND s.r = 1")
+def q_score_store(spark, sf):
+    """A store that grows: a first run scores the sentences of the even documents, a second those that the store lacks."""
+    c = corpus(spark, sf)
+    def build():
+        path = f"{checkpoint_dir(spark).rstrip('/')}/stage-scores-{uuid.uuid4().hex}"
+        store, s = ScoreStore(spark, path), c.sentences().select("doc_id", "model", "pos", "text")
+        note_stage(path)
+        scorer = lambda df: L.score_bigram(df, c.lm())
+        store.score(s.filter(F.col("doc_id") % 2 == 0), scorer, "first", carry=("model",))
+        return store.score(s, scorer, "second", carry=("model",))
+    return _memo(c, "score_store", build)
+
+
 # ---------------------------------------------------------------- survival / p-values
 
 @register("null_survival", "F3 A2 T8", [("length", "bigint"), ("x", "double"), ("cnt", "bigint"),

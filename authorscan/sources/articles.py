@@ -131,6 +131,13 @@ LAYOUTS = {  # path pattern and the keys that it names
 }
 
 
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _unescaped(part: Column) -> Column:
+    return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
+
+
 def read_articles(spark: SparkSession, paths, layout: str = "accuracy", fmt: str = "csv",
                   multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """Read article files, one JSON article per row: ``(articles, quarantine)``.
@@ -151,7 +158,10 @@ def read_articles(spark: SparkSession, paths, layout: str = "accuracy", fmt: str
                      F.monotonically_increasing_id().alias("_seen"))
     pattern, types = LAYOUTS.get(layout, (None, {}))
     for i, (key, kind) in enumerate(types.items()):
-        raw = raw.withColumn(key, F.url_decode(F.regexp_extract("_path", pattern, i + 1)).cast(kind))
+        part = _unescaped(F.regexp_extract("_path", pattern, i + 1))
+        if layout == "lines":  # partition folders are escaped names; the one of NULL is Spark's
+            part = F.when(part != NULL_FOLDER, _unescaped(part))
+        raw = raw.withColumn(key, part.cast(kind))
     raw = row_index(raw, [*types], ["_path", "_start", "_seen"], "article_index").drop("_start", "_seen", "_path")
     return parse_articles(raw)
 
