@@ -145,7 +145,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """The kept rows of ``docs``. The row number holds the filter above the judgement, which would be evaluated in both otherwise."""
+    """The kept rows of ``docs``. The row number in the condition holds the filter above the judgement: pushed below
+    it, the filter would evaluate the score anew for each mention."""
     into, number = B.free_name(docs, "__judged"), B.free_name(docs, "__number")
     judged = judge(docs, labels, into, threshold, buckets).select("*", F.monotonically_increasing_id().alias(number))
-    return judged.where(f"{into}.kept").select(*docs.columns)
+    return judged.where(f"{into}.kept AND {number} >= 0").select(*docs.columns)

@@ -1,5 +1,6 @@
 """Each operator against its brute-force version, on small awkward inputs."""
 
+import os
 import random
 import re
 import zlib
@@ -14,6 +15,7 @@ from authorscan.llm import blocks as B
 from authorscan.llm import (decontamination, line_dedup, lm_scoring, packing, quality_rules, queries, sharding, simhash, substring_dedup,
                             suffix_dedup, url_filters)
 from authorscan.llm.queries import URL_RULES, tokenizer_path
+from authorscan.session import recorded_stages
 from tests.llm import brute
 
 RNG = random.Random(11)
@@ -106,6 +108,22 @@ def test_meeting_blocks_moves_no_text(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and met.count() == len(ROWS)
 
 
+def test_exchanged_entries_grow_in_proportion_to_the_table(spark, monkeypatch):
+    monkeypatch.setattr(B, "MIN_PARTS", 1)
+    monkeypatch.setattr(B, "GROWS_FROM", 1 << 14)
+
+    def entries(n):
+        rng = random.Random(n)
+        rows = [(i, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(20))) for i in range(n)]
+        sealed = B.seal(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 1 << 11)
+        parts = B.partitions(sealed, 1 << 11)
+        sent = B.map_blocks(sealed, lambda b, t: substring_dedup._probe(w := substring_dedup._Words(t), b, *w.windows(7), parts).to_batches(), B.PACKED)
+        return sent.count()
+
+    few, many = entries(200), entries(1600)
+    assert 4 <= many / few <= 16  # eight times the rows; powers of two round the partitions
+
+
 def test_simhash_groups(spark):
     _same(simhash.simhash_groups(_df(spark), 4, 4).collect(), brute.simhash_groups(ROWS))
 
@@ -190,6 +208,30 @@ def test_sharding(spark):
     assert all(abs(of[k, s] - mix[s] / 8) <= 2 for k in range(8) for s in mix)
 
 
+def test_sharding_equals_brute_force(spark):
+    rows = [(i, t, RNG.choice(["a", "a", "a", "b", None])) for i, t in ROWS]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    null_first = lambda v: (v is not None, v if v is not None else 0)
+    made = []
+    for i, t, s in rows:
+        raw = (t or "").encode()
+        h = signed(xxhash.xxh64_intdigest(("7" if i is None else f"7:{i}").encode(), 42))
+        made.append((s, (h, null_first(i), zlib.crc32(raw), len(raw) + 1), i, len(raw) + 1, zlib.crc32(raw)))
+    want, ranked = [], []
+    for s in {m[0] for m in made}:
+        mine = sorted((m for m in made if m[0] == s), key=lambda m: m[1])
+        ranked += [((2 * r + 1) / (2 * len(mine)), null_first(s) if s is None else (True, s), m[1], m) for r, m in enumerate(mine)]
+    n = len(rows)
+    for at, (f, _, _, (s, _, i, size, crc)) in enumerate(sorted(ranked, key=lambda r: r[:3])):
+        shard = at * 8 // n
+        want.append((i, size, crc, "rows", shard, at - (shard * n + 7) // 8, None, s, round(f, 12)))
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), 8).collect()
+    key = lambda x: [(v is None, str(v)) for v in x]
+    assert sorted([(*tuple(r)[:8], round(r.fractional_rank, 12)) for r in got], key=key) == sorted(want, key=key)
+    assert [tuple(r)[:6] for r in sharding.shard_documents(spark.createDataFrame([(1, "x", None)], "doc_id long, text string, source string"), 8).collect()] == [
+        (1, 2, zlib.crc32(b"x"), "rows", 0, 0)]
+
+
 def test_quality_rules(spark):
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)] + [(0, 1), (None, 1), (7, None)], "doc_id long, quality int")
     got = quality_rules.quality_rules(_df(spark), labels, buckets=64).collect()
@@ -263,6 +305,114 @@ def test_distrust_reaches_the_end_of_a_chain(spark):
     assert all(abs(r.distrust / url_filters.UNIT - 0.15 * 0.85 ** r.page_id) < 1e-8 for r in out)
 
 
+def _page_rank(edges, seeds, damping=0.85):
+    """Personalised PageRank with mass one a seed, by plain iteration in doubles; a host without links passes nothing on."""
+    out = defaultdict(Counter)
+    for a, b in edges:
+        out[a][b] += 1
+    rank = {}
+    for _ in range(400):
+        after = Counter({s: 1 - damping for s in seeds})
+        for a, r in rank.items():
+            total = sum(out[a].values())
+            for b, n in out[a].items():
+                after[b] += damping * r * n / total
+        rank = dict(after)
+    return rank
+
+
+def test_ranks_on_a_random_graph_with_hubs_and_cycles(spark):
+    rng = random.Random(8)
+    hosts = [f"h{k}.{rng.choice(['net', 'org', 'com', 'com', 'com'])}" for k in range(30)]
+    hub, links = hosts[0], []
+    for h in hosts:
+        for _ in range(rng.randint(0, 4)):
+            links.append((h, rng.choice(hosts)))
+        links += [(h, hub)] * rng.randint(0, 2) + ([(hub, h)] if rng.random() < 0.7 else [])
+    links += list(zip(hosts[5:12], [*hosts[6:12], hosts[5]], strict=True))  # a cycle of seven
+    pages = [(k, f"http://{h}/{'fr/' if h.endswith('org') else ''}p", " ".join(f'<a href="http://{b}/">' for a, b in links if a == h)) for k, h in enumerate(hosts)]
+    got = {r.host: r for r in url_filters.judge_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()}
+    edges = [(a, b) for a, b in links if a != b]
+    trust = _page_rank(edges, [h for h in hosts if h.endswith("org")])
+    distrust = _page_rank([(b, a) for a, b in edges], [h for h in hosts if h.endswith("net")])
+    for h in hosts:
+        r, t, d = got[h], trust.get(h, 0), distrust.get(h, 0)
+        assert abs(r.trust / url_filters.UNIT - t) < 1e-7 and abs(r.distrust / url_filters.UNIT - d) < 1e-7
+        want = "block" if h.endswith("net") else "allow" if h.endswith("org") else "block" if d >= 1e-4 and d > t else "allow"
+        assert r.verdict == want
+    assert {got[h].verdict for h in hosts if h.endswith("com")} == {"allow", "block"}
+
+
+def test_ranks_leave_one_stored_table(spark):
+    pairs = spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("b", "c", 1)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("trust", "a")], "kind string, host string")
+    with recorded_stages() as written:
+        assert url_filters.propagate(pairs, seeds).count() == 3
+    assert len(written) <= 6 and all(os.path.isdir(p.removeprefix("file:")) for p, _ in written)  # shares, edges, seeds, the last ranks
+
+
+def test_repeated_words_need_no_more_memory(spark):
+    """A text of 200,000 equal words and an item of 1,000 of them: one distinct window, candidates in batches."""
+    import resource
+
+    texts = pa.table({"doc_id": pa.array([1], pa.int64()), "text": ["far " * 200_000]})
+    item = type("R", (), {"__getitem__": lambda self, k: {"text": "far " * 1000, "t": 7}[k]})()
+    q = decontamination._Queries([item], 10)
+    assert q.number.size == 1
+    seg = decontamination._segment(0, texts, 50)
+    terms, n = decontamination._open_terms(seg["terms"])
+    q.plan(np.array([200_000]))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    hits = [h for h, _ in decontamination._matches(q, terms, n, decontamination._open_postings(seg["postings"], n), 20)]
+    assert sum(p.size for _, p in hits) == 200_000 - 9
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20  # KB
+
+
+def test_a_benchmark_of_copies(spark):
+    docs = spark.createDataFrame([(1, "one two three four five"), (2, "nothing here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, "one two three four") for i in range(1000)] + [(i, "five of them") for i in range(1000, 1010)], "item_id long, text string")
+    with recorded_stages() as written:
+        got = {r.doc_id: r for r in decontamination.contamination(docs, bench, 4).collect()}
+    ids = ",".join(sorted(str(i) for i in range(1000)))
+    import hashlib
+    assert got[1].n_items == 1000 and got[1].n_hit == 4 and got[1].items_sha256 == hashlib.sha256(ids.encode()).hexdigest()
+    assert got[2].n_items == 0 and not got[2].contaminated and written
+
+
+CLASH = ["__row", "__q", "__model", "__judged", "__number", "block", "nth", "fp", "sequence_id"]
+
+
+def _clashing(spark, rows=ROWS):
+    values = [(i, t, *[f"{c}!" for c in CLASH], len(t or "")) for i, t in rows]
+    schema = "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASH) + ", n_chars long"
+    return spark.createDataFrame(values, schema).repartition(3) if rows else spark.createDataFrame([], schema)
+
+
+@pytest.mark.parametrize("rows", [ROWS, [], [(None, None)], [(1, "long words here and there " * 60_000), (2, None), (3, "")]], ids=["many", "none", "null", "long"])
+def test_filters_keep_every_column_as_it_is(spark, rows):
+    docs = _clashing(spark, rows)
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "river far river"), (2, None)], "item_id long, text string")
+    for out in (quality_rules.quality_filter(docs, labels), line_dedup.dedup_lines(docs), simhash.near_dedup(docs), decontamination.decontaminate(docs, bench, 3)):
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        got = out.collect()
+        assert len(got) <= len(rows) and all(r[c] == f"{c}!" for r in got for c in CLASH)
+
+
+def test_the_quality_score_is_evaluated_once(spark):
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    a, b = plan(quality_rules.quality_filter(_df(spark), labels)), plan(quality_rules.quality_rules(_df(spark), labels))
+    assert a.count("xxhash64") == b.count("xxhash64") and a.count("scalar-subquery") == b.count("scalar-subquery") == 1
+
+
+def test_picking_rows_moves_no_text(spark):
+    sealed = B.seal(_df(spark).select("doc_id", "text"), 700, bucketed=True)
+    rows = spark.createDataFrame([(0, 0)], "block long, nth int")
+    plan = B.pick_rows(sealed, rows, _df(spark).select("doc_id", "text").schema)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
