@@ -20,6 +20,7 @@ from authorscan.llm.queries import tokenizer_path
 from authorscan.llm.simhash import near_dedup
 from authorscan.session import read_table, recorded_stages, remove_stages
 
+BLOCK_BYTES = 1 << 20  # of text: a block's row stays small for the JVM, whose stages share an executor with the Python workers
 _left: list = []  # stage tables of the stages before
 _result: list = []  # the last stage's DataFrame
 
@@ -50,19 +51,19 @@ def quality_rules(spark, docs, sf_dir):
 @stage
 def line_dedup(spark, docs, sf_dir):
     """Lines that stand, or nearly stand, earlier go; ``n_chars`` follows the text."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return dedup_lines(docs, block_bytes=BLOCK_BYTES).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 @stage
 def simhash_near_dedup(spark, docs, sf_dir):
     """One document of each group of near copies stays."""
-    return near_dedup(docs, shingle=4, radius=4)
+    return near_dedup(docs, shingle=4, radius=4, block_bytes=BLOCK_BYTES)
 
 
 @stage
 def benchmark_decontamination(spark, docs, sf_dir):
     """Documents that hold a benchmark passage go."""
-    return decontaminate(docs, read_table(spark, sf_dir, "benchmark"), window=10)
+    return decontaminate(docs, read_table(spark, sf_dir, "benchmark"), window=10, block_bytes=BLOCK_BYTES)
 
 
 @stage
