@@ -67,7 +67,8 @@ class Corpus:
             fixture_article_sentences(self.sentences(), self.table("documents"))))
 
     def articles(self) -> DataFrame:
-        return self._memo("articles", lambda: self.flat_articles().select("topic", "doc_id").distinct())
+        # the documents with a sentence; their donors don't matter here
+        return self._memo("articles", lambda: self.sentences().select(F.col("source").alias("topic"), "doc_id").distinct())
 
     def candidates(self, params: Params) -> DataFrame:
         return self._memo(("candidates", params.min_tokens, params.max_tokens),
