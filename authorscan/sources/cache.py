@@ -7,16 +7,20 @@ the texts it lacks and adds them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from authorscan.functions.text import cache_key
-from authorscan.session import cut_lineage
+from authorscan.session import cut_lineage, recorded_stages, remove_stages, shuffles_removed
 
 CACHE_SCHEMA = T.StructType([T.StructField("sent_key", T.StringType()), T.StructField("response", T.DoubleType())])
 
 
+def _id(key) -> Column:
+    return F.unhex(F.md5(key)).alias("_id")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -74,14 +78,22 @@ class ScoreStore:
         """``sent_key, response``, one row a key (the least response, should two runs have scored a key at the same time)."""
         if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], CACHE_SCHEMA)
-        rows = self.spark.read.schema("sent_key string, response double, bucket int, run string").parquet(self.path)
-        return rows.groupBy("sent_key").agg(F.min("response").alias("response"))
+        return self._rows().groupBy("sent_key").agg(F.min("response").alias("response"))
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema("sent_key string, response double, bucket int, run string").parquet(self.path)
+
+    def _known(self) -> DataFrame:
+        """``_id, response`` of :meth:`read`: the keys' hashes stand for them, so no text is dealt."""
+        rows = self._rows() if path_exists(self.spark, self.path) else self.spark.createDataFrame([], CACHE_SCHEMA)
+        return rows.select(_id("sent_key"), "response").groupBy("_id").agg(F.min("response").alias("response"))
 
     def add(self, scores: DataFrame, run: str) -> None:
-        rows = scores.groupBy("sent_key").agg(F.min("response").alias("response"))
-        (rows.withColumn("bucket", F.pmod(F.xxhash64("sent_key"), F.lit(self.buckets)).cast("int")).withColumn("run", F.lit(run))
-         .repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("bucket", "run").parquet(self.path))
+        rows = scores.select("sent_key", "response", F.pmod(F.xxhash64("sent_key"), F.lit(self.buckets)).cast("int").alias("bucket"))
+        rows = rows.repartition("bucket").groupBy("bucket", "sent_key").agg(F.min("response").alias("response"))  # keys are dealt once
+        with shuffles_removed(self.spark):
+            (rows.select("sent_key", "response", "bucket", F.lit(run).alias("run")).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket", "run").parquet(self.path))
 
     def score(self, df: DataFrame, scorer, run: str, text_col: str = "text", out: str = "response", carry: tuple = ()) -> DataFrame:
         """J1 with a store that grows: ``df`` with its responses; what the store lacks is scored by ``scorer`` and added.
@@ -89,10 +101,12 @@ class ScoreStore:
         ``scorer`` (DataFrame with ``text_col`` and ``carry`` -> the same with ``out``) sees one text for each missing key (the
         least, with its ``carry`` columns); with none missing it isn't called.
         """
-        keyed = df.withColumn("sent_key", cache_key(text_col))
-        missing = cut_lineage(keyed.filter(F.col("sent_key").isNotNull()).join(self.read().select("sent_key"), "sent_key", "left_anti")
-                              .groupBy("sent_key").agg(F.min(F.struct(text_col, *carry)).alias("s")).select("sent_key", "s.*"))
+        keyed = df.withColumn("_id", _id(cache_key(text_col)))
+        with recorded_stages() as passing:
+            missing = cut_lineage(keyed.filter(F.col("_id").isNotNull()).join(self._known().select("_id"), "_id", "left_anti")
+                                  .groupBy("_id").agg(F.min(F.struct(text_col, *carry)).alias("s")).select("s.*"))
         if not missing.isEmpty():
-            self.add(scorer(missing).select("sent_key", F.col(out).cast("double").alias("response")), run)
-        known = self.read().withColumnRenamed("response", out)
-        return keyed.join(known, "sent_key", "left").drop("sent_key")
+            self.add(scorer(missing.withColumn("sent_key", cache_key(text_col))).select("sent_key", F.col(out).cast("double").alias("response")), run)
+        remove_stages(self.spark, passing)
+        known = self._known().withColumnRenamed("response", out)
+        return keyed.join(known, "_id", "left").drop("_id")
