@@ -92,6 +92,40 @@ def test_answers_have_every_key_once_asked():
     assert [L._unzip_counts(r["c"]).tolist() for r in none.to_pylist()] == [[[0, 0, 0]] * 2, [[0, 0, 9], [0, 0, 0]]]
 
 
+def test_all_tests_from_one_read(spark):
+    """Documents without a p-value stay if they are asked for, as when their keys are given; a NULL key has no tests."""
+    from authorscan.operators.detect import document_tests
+    from authorscan.params import Params
+    rnd = random.Random(3)
+    rows = [(d, None if d == 7 or rnd.random() < 0.2 else rnd.choice((0.01, 0.2, 0.5, 1.0, rnd.random()))) for d in (*range(12), None) for _ in range(rnd.randint(1, 9))]
+    pv = spark.createDataFrame(rows, "doc_id long, pvalue double")
+    key = lambda df: sorted((str(r) for r in df.withColumns({c: F.round(c, 9) for c, t in df.dtypes if t == "double"}).collect()))
+    own = document_tests(pv, ["doc_id"], Params(), documents=pv)
+    given = document_tests(pv, ["doc_id"], Params(), documents=pv.select("doc_id").distinct())
+    assert key(own) == key(given.select(own.columns)) and own.count() == 13
+    empty = {r.doc_id: r for r in own.collect() if r.n_valid == 0}
+    assert {7, None} <= set(empty) and all(v is None for r in empty.values() for k, v in r.asDict().items() if k not in ("doc_id", "n_valid"))
+    assert key(document_tests(pv, ["doc_id"], Params())) == key(own.filter("n_valid > 0"))
+
+
+def test_the_tests_of_a_round_read_its_rows(spark, monkeypatch):
+    from authorscan.params import Params
+    from authorscan.plans import experiments as E
+    from tests.conftest import SF001
+    monkeypatch.setattr(E, "ROUND_ROWS", 1)
+    monkeypatch.setattr(E, "ROUNDS", 3)
+    read, of = [], E.document_tests
+
+    def tests(pv, *a, **kw):
+        read.append(pv.count())
+        return of(pv, *a, **kw)
+    monkeypatch.setattr(E, "document_tests", tests)
+    d = E.detect_folds(E.Corpus(spark, SF001), Params())
+    d["tests"]
+    assert len(read) == 3 and sum(read) == d["pvalues"].count()
+    assert len(d["pvalues"].inputFiles()) > 0 and d["tests"].count() == d["pvalues"].select("topic", "fold", "doc_id", "setting").distinct().count()
+
+
 def test_every_partition_of_a_scan_has_a_bucket(spark):
     for n in (1, 2, 7, 8, 12, 200):
         values = SC._bucket_values(n)
