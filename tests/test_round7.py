@@ -43,6 +43,15 @@ def test_a_key_has_one_part():
     assert L._hashes(pa.array(["", "a", "ab", "ba", "a"])[1:]).tolist() == [L._hashes(pa.array([w]))[0] for w in ("a", "ab", "ba", "a")]
 
 
+def test_distinct_numbers():
+    rng = np.random.default_rng(2)
+    for n, below in ((0, 1), (1, 5), (5000, 300), (5000, 1 << 45), (50, 1 << 60)):
+        values = rng.integers(0, below, n)
+        got, at = L._distinct(values, below)
+        want, where = np.unique(values, return_inverse=True)
+        assert got.tolist() == want.tolist() and at.tolist() == where.tolist()
+
+
 def test_rows_of_a_model_in_blocks():
     """Blocks are cut inside a batch too, hold the rows of one model (NULL is one) and all of them."""
     rows = [(m, t, i) for i, (m, t) in enumerate(zip("xyz" * 100, made(300))) for m in [None if m == "z" else m]]
@@ -144,3 +153,17 @@ def test_a_scan_over_all_rows_of_a_key(spark):
             mine = [v for k, _, v in rows if k == r.k and v is not None]
             assert (r.sum_all, r.min_all, r.max_all) == ((sum(mine), min(mine), max(mine)) if mine else (None,) * 3)
             assert (r.before or 0) == sum(v or 0 for k, i, v in rows if k == r.k and i < r.i)
+
+
+def test_texts_are_made_once(spark, monkeypatch):
+    """No condition makes the words of a text or its pieces a second time."""
+    from authorscan.operators.corpus import split_sentences
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    df = spark.createDataFrame([("x", " "), ("x", "a b"), ("x", None), (None, "c d")], "m string, text string")
+    seen = []
+    with monkeypatch.context() as m:
+        m.setattr(L, "cut_lineage", lambda df, *a, of=L.cut_lineage: (seen.append(plan(df)), of(df, *a))[1])
+        lm = L.fit_bigram(df, keys=("m",))
+    assert {r.w for r in lm.unigrams.collect()} == {"a", "b"}
+    assert seen[0].count("lower(") == plan(df.select(X.lm_text("text").alias("t"))).count("lower(")
+    assert plan(split_sentences(df, ("m",))).count("regexp_extract_all(") == 1
