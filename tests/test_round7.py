@@ -167,3 +167,21 @@ def test_texts_are_made_once(spark, monkeypatch):
     assert {r.w for r in lm.unigrams.collect()} == {"a", "b"}
     assert seen[0].count("lower(") == plan(df.select(X.lm_text("text").alias("t"))).count("lower(")
     assert plan(split_sentences(df, ("m",))).count("regexp_extract_all(") == 1
+
+
+def test_the_lookup_deals_no_comments(spark):
+    from authorscan.operators.detect import apply_length_policy, sentence_pvalues
+    from authorscan.operators.survival import fit_null_grid
+    from authorscan.params import Params
+    rnd = random.Random(4)
+    null = spark.createDataFrame([(f, rnd.randint(8, 60), rnd.gauss(8, 1)) for f in (0, 1) for _ in range(200)], "fold int, length int, x double")
+    rows = [(i % 3, i, rnd.randint(5, 70), None if i % 7 == 0 else float("nan") if i % 11 == 0 else rnd.gauss(8, 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "fold int, atom_no int, length int, response double")
+    for policy in ("max_available", "ignore", "truncate"):
+        p = Params(grid_points=5, length_policy=policy)
+        got = sentence_pvalues(df, fit_null_grid(null, p), p)
+        want = {r.atom_no: (r.eff_length, r.comment) for r in apply_length_policy(df, p).collect()}
+        assert got.columns == [*df.columns, "eff_length", "comment", "pvalue"]
+        assert {r.atom_no: (r.eff_length, r.comment) for r in got.collect()} == want
+        joined = got._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")
+        assert "below minimal" in joined[0] and "below minimal" not in joined[1]
